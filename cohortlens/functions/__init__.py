@@ -1,7 +1,7 @@
 from .exprs import (  # noqa: F401
     bin_edge,
     bucket_ordinal,
-    equal_width_bin,
+    add_equal_width_bin,
     left_closed_bucket,
     round_half_even,
     weekday_monday0,

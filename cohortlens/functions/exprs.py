@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -69,25 +69,38 @@ def bucket_ordinal(value: str | Column, edges: Sequence[float], open_top: bool =
     return expr
 
 
-def equal_width_bin(x: str | Column, lo: str | Column, hi: str | Column, n: int) -> Column:
-    """0-based equal-width bin over ``[lo, hi]`` with ``n`` bins, the top edge closed.
+def add_equal_width_bin(df: DataFrame, x: str | Column, lo: str | Column, hi: str | Column,
+                        n: int, out: str) -> DataFrame:
+    """Add ``out``: the 0-based equal-width bin of ``x`` over ``[lo, hi]`` with
+    ``n`` bins, the top edge closed.
 
     The bin is found from the quotient and then corrected against the actual
-    edges ``lo + i * (hi - lo) / n`` so that values on an edge land in the
+    edges ``lo + i * (hi - lo) / n`` so that a value on an edge lands in the
     bin that edge opens (what a histogram over linspace edges does). A
-    constant column (lo = hi) yields bin 0.
+    constant column (lo = hi) yields bin 0. Built as successive columns so
+    that ``lo``/``hi`` (often scalar subqueries) are evaluated once per row.
     """
-    xv, lov, hiv = col_(x).cast("double"), col_(lo).cast("double"), col_(hi).cast("double")
-    step = (hiv - lov) / F.lit(float(n))
-    raw = F.floor((xv - lov) / step).cast("int")
+    t = "__ewb"
+    step = F.when(F.col(f"{t}_hi") > F.col(f"{t}_lo"),
+                  (F.col(f"{t}_hi") - F.col(f"{t}_lo")) / F.lit(float(n))).otherwise(F.lit(1.0))
+    edge = lambda i: F.col(f"{t}_lo") + i.cast("double") * F.col(f"{t}_step")
+    xv = F.col(f"{t}_x")
+    raw = F.floor((xv - F.col(f"{t}_lo")) / F.col(f"{t}_step")).cast("int")
     raw = F.least(F.greatest(raw, F.lit(0)), F.lit(n - 1))
-    edge = lambda i: lov + i.cast("double") * step
-    down = F.when((raw > 0) & (xv < edge(raw)), raw - 1).otherwise(raw)
-    up = F.when((down < n - 1) & (xv >= edge(down + 1)), down + 1).otherwise(down)
-    return F.when(hiv == lov, F.lit(0)).otherwise(up).cast("int")
+    r, d = F.col(f"{t}_raw"), F.col(f"{t}_down")
+    return (df.withColumn(f"{t}_x", col_(x).cast("double"))
+              .withColumn(f"{t}_lo", col_(lo).cast("double"))
+              .withColumn(f"{t}_hi", col_(hi).cast("double"))
+              .withColumn(f"{t}_step", step)
+              .withColumn(f"{t}_raw", raw)
+              .withColumn(f"{t}_down", F.when((r > 0) & (xv < edge(r)), r - 1).otherwise(r))
+              .withColumn(out, F.when(F.col(f"{t}_hi") == F.col(f"{t}_lo"), F.lit(0))
+                                .when((d < n - 1) & (xv >= edge(d + 1)), d + 1)
+                                .otherwise(d).cast("int"))
+              .drop(f"{t}_x", f"{t}_lo", f"{t}_hi", f"{t}_step", f"{t}_raw", f"{t}_down"))
 
 
 def bin_edge(lo: str | Column, hi: str | Column, n: int, i: str | Column) -> Column:
-    """Left edge of 0-based bin ``i`` (same arithmetic as ``equal_width_bin``)."""
+    """Left edge of 0-based bin ``i`` (same arithmetic as ``add_equal_width_bin``)."""
     lov, hiv = col_(lo).cast("double"), col_(hi).cast("double")
     return lov + col_(i).cast("double") * ((hiv - lov) / F.lit(float(n)))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import bin_edge, equal_width_bin, round_half_even
+from ..functions import add_equal_width_bin, bin_edge, round_half_even
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
            T.DoubleType, T.DecimalType)
@@ -80,7 +80,7 @@ def histogram(df: DataFrame, column: str, bins: int, group: str | None = None,
         binned = data.withColumn("__lo", lo).withColumn("__hi", hi)
         bounds = (data.groupBy(*keys).agg(F.count(x).alias("__n"))
                       .withColumn("__lo", lo).withColumn("__hi", hi))
-    counts = (binned.withColumn("bin", equal_width_bin(x, "__lo", "__hi", bins))
+    counts = (add_equal_width_bin(binned, x, "__lo", "__hi", bins, "bin")
                     .groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("cnt")))
     nbins = F.when(F.col("__hi") == F.col("__lo"), F.lit(1)).otherwise(F.lit(bins))
     grid = bounds.select(*keys, "__lo", "__hi", "__n",

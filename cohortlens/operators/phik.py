@@ -13,11 +13,11 @@ Method (Baak, Koopman, Snoek, Klous, arXiv:1811.11440):
    X being the chi2-like distance between a bivariate normal with
    correlation rho and the independent one on an r x k grid over [-5, 5]^2.
 
-Steps 1-5 are Spark aggregates: the column pairs are exploded per row and
+Steps 1-2 are Spark aggregates: the column pairs are exploded per row and
 partially aggregated on the map side, so the shuffle carries at most
-(number of category pairs) rows per task whatever the data size. Only step
-6 - one scalar per column pair, no row data - runs in a vectorised pandas
-UDF.
+(number of category pairs) rows per task whatever the data size. Steps 3-6
+work on one pair's contingency table at a time (bounded by the category
+counts, never by the row count) in a grouped pandas function.
 """
 
 from __future__ import annotations
@@ -27,11 +27,11 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import equal_width_bin, round_half_even
+from ..functions import add_equal_width_bin
 
 # 48-point Gauss-Legendre rule on [-1, 1] (computed, not tabulated).
 _GL_X, _GL_W = np.polynomial.legendre.leggauss(48)
@@ -49,10 +49,12 @@ def binned_columns(df: DataFrame, columns: Sequence[str],
             F.struct(F.min(F.col(c).cast("double")).alias("lo"),
                      F.max(F.col(c).cast("double")).alias("hi")).alias(c)
             for c in interval_bins]).alias("b")).scalar()
+    for c in interval_bins:
+        df = add_equal_width_bin(df, c, bounds[c]["lo"], bounds[c]["hi"],
+                                 interval_bins[c], f"__bin_{c}")
     for c in columns:
         if c in interval_bins:
-            lo, hi = bounds[c]["lo"], bounds[c]["hi"]
-            out.append(equal_width_bin(F.col(c), lo, hi, interval_bins[c]).cast("string").alias(c))
+            out.append(F.col(f"__bin_{c}").cast("string").alias(c))
         else:
             out.append(F.col(c).cast("string").alias(c))
     return df.select(*out)
@@ -73,28 +75,53 @@ def contingency(binned: DataFrame, columns: Sequence[str]) -> DataFrame:
                   .agg(F.count(F.lit(1)).cast("long").alias("n")))
 
 
+PAIR_STATS_SCHEMA = T.StructType([
+    T.StructField("var_x", T.StringType()), T.StructField("var_y", T.StringType()),
+    T.StructField("n", T.LongType()), T.StructField("r", T.LongType()),
+    T.StructField("k", T.LongType()), T.StructField("chi2", T.DoubleType()),
+    T.StructField("pedestal", T.LongType()), T.StructField("chi2_max", T.LongType()),
+    T.StructField("phik", T.DoubleType()),
+])
+
+
+def _round_half_even(x: float, digits: int) -> float:
+    scale = float(10 ** digits)
+    return float(np.rint(x * scale) / scale)
+
+
+def _pair_stats(digits: int, solve: bool):
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = pdf["n"].to_numpy(dtype="float64")
+        tot = n.sum()
+        nx = pdf.groupby("val_x")["n"].transform("sum").to_numpy(dtype="float64")
+        ny = pdf.groupby("val_y")["n"].transform("sum").to_numpy(dtype="float64")
+        r, k = int(pdf["val_x"].nunique()), int(pdf["val_y"].nunique())
+        chi2 = _round_half_even(float((n * n * tot / (nx * ny)).sum() - tot), digits)
+        ped = max((r - 1) * (k - 1), 0)
+        rho = phik_from_chi2(chi2, tot, r, k, ped) if solve else None
+        return pd.DataFrame([{
+            "var_x": pdf["var_x"].iloc[0], "var_y": pdf["var_y"].iloc[0], "n": int(tot),
+            "r": r, "k": k, "chi2": chi2, "pedestal": ped, "chi2_max": int(tot * (min(r, k) - 1)),
+            "phik": None if rho is None else _round_half_even(rho, digits),
+        }])
+    return fn
+
+
+def pair_stats(cells: DataFrame, digits: int = 6, solve: bool = True) -> DataFrame:
+    """Per pair: N, r, k, Pearson chi2, pedestal, chi2_max and phi_k (steps 2-6).
+
+    Each group is one pair's contingency table: its size is bounded by the
+    product of the two columns' category counts, not by the data, so the
+    per-pair arithmetic and the root search run in one grouped pandas call
+    after a single exchange of the (small) cell table.
+    """
+    return cells.groupBy("var_x", "var_y").applyInPandas(_pair_stats(digits, solve),
+                                                         PAIR_STATS_SCHEMA)
+
+
 def pair_chi2(cells: DataFrame, digits: int = 6) -> DataFrame:
     """Per pair: N, r, k, Pearson chi2, pedestal and chi2_max (steps 2-5)."""
-    pk = ["var_x", "var_y"]
-    # Marginals as windows over the (small) cell table: one lineage, no self-join.
-    w_pair = Window.partitionBy(*pk)
-    m = (cells.withColumn("nx", F.sum("n").over(Window.partitionBy(*pk, "val_x")))
-              .withColumn("ny", F.sum("n").over(Window.partitionBy(*pk, "val_y")))
-              .withColumn("tot", F.sum("n").over(w_pair)))
-    per = m.groupBy(*pk).agg(
-        F.first("tot").alias("tot"),
-        F.sum(F.col("n").cast("double") * F.col("n") * F.col("tot") / (F.col("nx").cast("double") * F.col("ny")))
-         .alias("s"),
-        F.count_distinct("val_x").alias("r"),
-        F.count_distinct("val_y").alias("k"),
-    )
-    chi2 = F.col("s") - F.col("tot")
-    ped = F.greatest((F.col("r") - 1) * (F.col("k") - 1), F.lit(0))
-    return per.select(*pk, F.col("tot").cast("long").alias("n"), F.col("r").cast("long"),
-                      F.col("k").cast("long"),
-                      round_half_even(chi2, digits).alias("chi2"),
-                      ped.cast("long").alias("pedestal"),
-                      (F.col("tot") * (F.least(F.col("r"), F.col("k")) - 1)).cast("long").alias("chi2_max"))
+    return pair_stats(cells, digits, solve=False).drop("phik")
 
 
 def _phi(x: np.ndarray) -> np.ndarray:
@@ -154,20 +181,11 @@ def phik_from_chi2(chi2: float, n: float, r: int, k: int, pedestal: float,
     return 0.5 * (lo + hi)
 
 
-@F.pandas_udf(T.DoubleType())
-def _phik_udf(chi2: pd.Series, n: pd.Series, r: pd.Series, k: pd.Series,
-              ped: pd.Series) -> pd.Series:
-    return pd.Series([phik_from_chi2(float(a), float(b), int(c), int(d), float(e))
-                      for a, b, c, d, e in zip(chi2, n, r, k, ped)], dtype="float64")
-
-
 def phik_pairs(df: DataFrame, columns: Sequence[str],
                interval_bins: Mapping[str, int] | None = None, digits: int = 6) -> DataFrame:
     """phi_k of every unordered column pair with its chi2 statistics."""
     binned = binned_columns(df, columns, interval_bins)
-    stats = pair_chi2(contingency(binned, columns))
-    return stats.withColumn(
-        "phik", round_half_even(_phik_udf("chi2", "n", "r", "k", "pedestal"), digits))
+    return pair_stats(contingency(binned, columns), digits)
 
 
 def phik_matrix(df: DataFrame, columns: Sequence[str],

@@ -31,7 +31,7 @@ def rhe(expr: str, digits: int) -> str:
 
 
 def ew_bin(x: str, lo: str, hi: str, n: int) -> str:
-    """Same arithmetic as ``cohortlens.functions.equal_width_bin``."""
+    """Same arithmetic as ``cohortlens.functions.add_equal_width_bin``."""
     x, lo, hi = D(x), D(lo), D(hi)
     step = f"(CASE WHEN {hi} > {lo} THEN ({hi} - {lo}) / CAST({n} AS DOUBLE) ELSE CAST(1 AS DOUBLE) END)"
     raw = f"least(greatest(CAST(floor(({x} - {lo}) / {step}) AS BIGINT), 0), {n - 1})"

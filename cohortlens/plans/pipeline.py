@@ -1,11 +1,12 @@
 """The study as one lazy plan: extract -> FX -> revenue cut -> profile -> cut.
 
 Every stage is a DataFrame built from the previous one; nothing is computed
-until an action runs. ``materialize=True`` writes the cleaned purchases and
-the profile to the session's checkpoint folder (``spark.checkpoint.dir``,
-a shared path on a cluster), so that the many reports over them read a
-stored table instead of recomputing the joins, and lost executors only
-recompute from there.
+until an action runs. ``materialize="checkpoint"`` writes the cleaned
+purchases and the profile to the session's checkpoint folder
+(``spark.checkpoint.dir``, a shared path on a cluster), so that the many
+reports over them read a stored table instead of recomputing the joins, and
+lost executors only recompute from there. ``materialize="cache"`` keeps them
+on the executors instead (cheaper for short lineages).
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.extract import add_days_since_prev, extract_purchases, typed_purchases
@@ -38,7 +40,7 @@ class Study:
     spark: SparkSession
     tables: Snowflake
     params: StudyParams = field(default_factory=StudyParams)
-    materialize: bool = False
+    materialize: bool | str = False  # False, "cache" or "checkpoint" (True)
 
     @classmethod
     def from_fixtures(cls, spark: SparkSession, sf_dir: str, **kw) -> Study:
@@ -46,8 +48,14 @@ class Study:
         return cls(spark, load_snowflake(spark, sf_dir), **kw)
 
     def _keep(self, df: DataFrame) -> DataFrame:
-        # Reliable checkpoint: written to spark.checkpoint.dir, survives executor loss.
-        return df.checkpoint(eager=True) if self.materialize else df
+        if self.materialize in (True, "checkpoint"):
+            # Reliable checkpoint: written to spark.checkpoint.dir, cuts the lineage.
+            return df.checkpoint(eager=True)
+        if self.materialize == "cache":
+            # Kept on the executors (memory, spilling to disk); a lost block is
+            # recomputed from the lineage.
+            return df.persist(StorageLevel.MEMORY_AND_DISK)
+        return df
 
     @cached_property
     def extract_core(self) -> DataFrame:

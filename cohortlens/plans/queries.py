@@ -48,7 +48,7 @@ def _study(spark: SparkSession, sf_dir: str) -> Study:
     # Each query materialises its own cleaned purchases and profile once
     # (reliable checkpoint), so report branches read stored tables instead of
     # re-running the joins; nothing is shared between queries.
-    return Study.from_fixtures(spark, sf_dir, materialize=True)
+    return Study.from_fixtures(spark, sf_dir, materialize="checkpoint")
 
 
 def _phik_frame(study: Study) -> DataFrame:

@@ -40,8 +40,16 @@ class Snowflake:
     rates: DataFrame
 
 
+_TABLES: dict[tuple[int, str, str], DataFrame] = {}
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Lazy parquet table; the DataFrame (a plan, no data) is kept per session
+    like a catalog entry so its schema is resolved once."""
+    key = (id(spark), sf_dir.rstrip("/"), name)
+    if key not in _TABLES:
+        _TABLES[key] = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return _TABLES[key]
 
 
 def purchases_from_orders(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
