@@ -3,9 +3,19 @@
 ``method="exact"`` is Spark's ``percentile``: linear interpolation between the
 two neighbouring ranks, the same definition as pandas' default quantile
 (Q5). Its buffer holds one entry per *distinct* value and is merged in one
-task, so it suits columns with bounded cardinality (order counts, money
-rounded to cents). ``method="approx"`` uses ``percentile_approx`` (a
-mergeable sketch, constant memory) for very high-cardinality columns.
+task, so it suits columns with bounded cardinality (order counts).
+
+``method="scan"`` gives the same number without that single-task buffer:
+it narrows down on the wanted rank with a few passes, each one grouped count
+over at most ``buckets`` equal-width buckets (partially aggregated, so every
+task ships at most ``buckets`` rows), and only the final handful of values
+(at most ``final_rows``) reaches the driver. Each pass shrinks the
+candidates by about ``buckets``x, so 10^12 rows take about four passes; a
+value repeated a billion times ends the search at once.
+
+``method="auto"`` measures the distinct count with a HyperLogLog sketch and
+uses ``exact`` below ``auto_distinct`` distinct values, ``scan`` above.
+``method="approx"`` is ``percentile_approx`` (constant memory, rank error).
 
 The cut compares against a scalar subquery: the threshold is computed by one
 aggregate and read by the filter, no join and no driver round trip.
@@ -13,12 +23,76 @@ aggregate and read by the filter, no join and no driver round trip.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import round_half_even
 
 
+def _interpolate(lo_val: float, hi_val: float, pos: float) -> float:
+    """Spark's percentile interpolation, term for term."""
+    lower, higher = math.floor(pos), math.ceil(pos)
+    if higher == lower or hi_val == lo_val:
+        return float(lo_val)
+    return (higher - pos) * lo_val + (pos - lower) * hi_val
+
+
+def _value_at_rank(x: Column, df: DataFrame, k: int, n: int, lo: float, hi: float,
+                   buckets: int, final_rows: int) -> float:
+    """k-th smallest (0-based) non-null value of ``x`` among ``n`` values in
+    [lo, hi], by repeated bucket counting."""
+    below = 0  # values smaller than lo
+    while True:
+        if lo == hi:
+            return lo
+        sub = df.where((x >= F.lit(lo)) & (x <= F.lit(hi)))
+        if n - below <= final_rows:
+            vals = [r[0] for r in sub.select(x.alias("v")).orderBy("v").limit(k - below + 1).collect()]
+            return float(vals[k - below])
+        width = (hi - lo) / buckets
+        b = F.least(F.floor((x - F.lit(lo)) / F.lit(width)).cast("long"), F.lit(buckets - 1))
+        stats = (sub.groupBy(b.alias("b"))
+                    .agg(F.count(F.lit(1)).alias("c"), F.min(x).alias("lo"), F.max(x).alias("hi"))
+                    .orderBy("b").collect())  # at most `buckets` rows
+        acc = below
+        for row in stats:
+            if acc + row["c"] > k:
+                below, lo, hi, n = acc, float(row["lo"]), float(row["hi"]), acc + row["c"]
+                break
+            acc += row["c"]
+        else:  # pragma: no cover - counts always cover rank k
+            raise RuntimeError("rank not found")
+
+
+def scan_quantile(df: DataFrame, column: str, q: float, buckets: int = 4096,
+                  final_rows: int = 4096) -> float | None:
+    """Exact ``percentile(column, q)`` without a per-distinct-value buffer."""
+    x = F.col(column).cast("double")
+    data = df.where(x.isNotNull())
+    head = data.agg(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi")).collect()[0]
+    n = head["n"]
+    if not n:
+        return None
+    pos = (n - 1) * q
+    k = math.floor(pos)
+    v_lo = _value_at_rank(x, data, k, n, float(head["lo"]), float(head["hi"]), buckets, final_rows)
+    if math.ceil(pos) == k:
+        return v_lo
+    nxt = data.agg(F.count_if(x <= F.lit(v_lo)).alias("le"),
+                   F.min(F.when(x > F.lit(v_lo), x)).alias("next")).collect()[0]
+    v_hi = v_lo if nxt["le"] > k + 1 else float(nxt["next"])
+    return _interpolate(v_lo, v_hi, pos)
+
+
+def resolve_method(df: DataFrame, column: str, method: str, auto_distinct: int = 2_000_000) -> str:
+    if method != "auto":
+        return method
+    d = df.agg(F.approx_count_distinct(F.col(column).cast("double"), 0.05).alias("d")).collect()[0]["d"]
+    return "exact" if d <= auto_distinct else "scan"
+
+
 def quantile_expr(column: str, q: float = 0.99, method: str = "exact",
                   accuracy: int = 100000) -> Column:
     x = F.col(column).cast("double")
@@ -36,6 +110,12 @@ def quantile_threshold(df: DataFrame, column: str, q: float = 0.99,
 
 
 def threshold_scalar(df: DataFrame, column: str, q: float = 0.99, method: str = "exact") -> Column:
+    """The threshold as a column: a scalar subquery, or a literal found by
+    ``scan`` (small driver-side loop over bounded aggregates)."""
+    method = resolve_method(df, column, method)
+    if method == "scan":
+        v = scan_quantile(df, column, q)
+        return F.lit(v).cast("double") if v is not None else F.lit(None).cast("double")
     return quantile_threshold(df, column, q, method).scalar()
 
 

@@ -80,7 +80,7 @@ def q_outlier_cut(spark, sf):
 
 
 def q_outlier_volume(spark, sf):
-    return outlier_volume(_study(spark, sf).fx_core, "revenue_rub", 0.99)
+    return outlier_volume(_study(spark, sf).fx_core, "revenue_rub", 0.99, "auto")
 
 
 def q_user_count(spark, sf):
