@@ -39,58 +39,108 @@ def _interpolate(lo_val: float, hi_val: float, pos: float) -> float:
     return (higher - pos) * lo_val + (pos - lower) * hi_val
 
 
-def _value_at_rank(x: Column, df: DataFrame, k: int, n: int, lo: float, hi: float,
-                   buckets: int, final_rows: int) -> float:
-    """k-th smallest (0-based) non-null value of ``x`` among ``n`` values in
-    [lo, hi], by repeated bucket counting."""
-    below = 0  # values smaller than lo
+def exact_quantiles(df: DataFrame, targets: list[tuple[str, float]], buckets: int = 4096,
+                    final_rows: int = 4096) -> dict[tuple[str, float], float | None]:
+    """Exact ``percentile(column, q)`` for every ``(column, q)`` target, without
+    a per-distinct-value buffer.
+
+    Each wanted rank keeps a value window ``[lo, hi]`` and the count of values
+    below it. One aggregate per pass serves all open ranks: rows inside a
+    rank's window are tagged with that rank's equal-width bucket and counted
+    (partial aggregation; at most ``buckets`` rows per rank leave a task).
+    Bucketing is monotone in the value, so the bucket holding the rank has
+    exact counts and bounds, and becomes the next window. A window with at
+    most ``final_rows`` values is finished with an ordered ``limit``.
+    """
+    cols = sorted({c for c, _ in targets})
+    xs = {c: F.col(c).cast("double") for c in cols}
+    head = df.agg(*[a for i, c in enumerate(cols) for a in (
+        F.count(xs[c]).alias(f"n{i}"), F.min(xs[c]).alias(f"lo{i}"), F.max(xs[c]).alias(f"hi{i}"))]
+    ).collect()[0]
+    n_of = {c: head[f"n{i}"] for i, c in enumerate(cols)}
+    state: dict[tuple[str, int], dict] = {}
+    for c, q in targets:
+        n = n_of[c]
+        if not n:
+            continue
+        pos = (n - 1) * q
+        for k in {math.floor(pos), math.ceil(pos)}:
+            i = cols.index(c)
+            state.setdefault((c, k), {"lo": float(head[f"lo{i}"]), "hi": float(head[f"hi{i}"]),
+                                      "below": 0, "n": n, "value": None})
     while True:
-        if lo == hi:
-            return lo
-        sub = df.where((x >= F.lit(lo)) & (x <= F.lit(hi)))
-        if n - below <= final_rows:
-            vals = [r[0] for r in sub.select(x.alias("v")).orderBy("v").limit(k - below + 1).collect()]
-            return float(vals[k - below])
-        width = (hi - lo) / buckets
-        b = F.least(F.floor((x - F.lit(lo)) / F.lit(width)).cast("long"), F.lit(buckets - 1))
-        stats = (sub.groupBy(b.alias("b"))
-                    .agg(F.count(F.lit(1)).alias("c"), F.min(x).alias("lo"), F.max(x).alias("hi"))
-                    .orderBy("b").collect())  # at most `buckets` rows
-        acc = below
-        for row in stats:
-            if acc + row["c"] > k:
-                below, lo, hi, n = acc, float(row["lo"]), float(row["hi"]), acc + row["c"]
-                break
-            acc += row["c"]
-        else:  # pragma: no cover - counts always cover rank k
-            raise RuntimeError("rank not found")
+        open_ = [key for key, st in state.items() if st["value"] is None]
+        if not open_:
+            break
+        big = []
+        for key in open_:
+            st = state[key]
+            c, k = key
+            if st["lo"] == st["hi"]:
+                st["value"] = st["lo"]
+            elif st["n"] - st["below"] <= final_rows:
+                x = xs[c]
+                vals = (df.where((x >= F.lit(st["lo"])) & (x <= F.lit(st["hi"])))
+                          .select(x.alias("v")).orderBy("v").limit(k - st["below"] + 1).collect())
+                st["value"] = float(vals[k - st["below"]][0])
+            else:
+                big.append(key)
+        if not big:
+            continue
+        tags = []
+        for j, key in enumerate(big):
+            st, x = state[key], xs[key[0]]
+            width = (st["hi"] - st["lo"]) / buckets
+            b = F.least(F.floor((x - F.lit(st["lo"])) / F.lit(width)).cast("long"), F.lit(buckets - 1))
+            tags.append(F.when((x >= F.lit(st["lo"])) & (x <= F.lit(st["hi"])),
+                               F.struct(F.lit(j).alias("r"), b.alias("b"), x.alias("v"))))
+        counted = (df.select(F.explode(F.array(*tags)).alias("t")).where(F.col("t").isNotNull())
+                     .groupBy("t.r", "t.b")
+                     .agg(F.count(F.lit(1)).alias("c"), F.min("t.v").alias("lo"), F.max("t.v").alias("hi"))
+                     .collect())  # at most len(big) * buckets rows
+        per_rank: dict[int, list] = {}
+        for row in counted:
+            per_rank.setdefault(row["r"], []).append(row)
+        for j, key in enumerate(big):
+            st, k = state[key], key[1]
+            acc = st["below"]
+            for row in sorted(per_rank[j], key=lambda r: r["b"]):
+                if acc + row["c"] > k:
+                    st.update(below=acc, lo=float(row["lo"]), hi=float(row["hi"]), n=acc + row["c"])
+                    break
+                acc += row["c"]
+    out: dict[tuple[str, float], float | None] = {}
+    for c, q in targets:
+        n = n_of[c]
+        if not n:
+            out[(c, q)] = None
+            continue
+        pos = (n - 1) * q
+        lo_v = state[(c, math.floor(pos))]["value"]
+        hi_v = state[(c, math.ceil(pos))]["value"]
+        out[(c, q)] = _interpolate(lo_v, hi_v, pos)
+    return out
 
 
 def scan_quantile(df: DataFrame, column: str, q: float, buckets: int = 4096,
                   final_rows: int = 4096) -> float | None:
     """Exact ``percentile(column, q)`` without a per-distinct-value buffer."""
-    x = F.col(column).cast("double")
-    data = df.where(x.isNotNull())
-    head = data.agg(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi")).collect()[0]
-    n = head["n"]
-    if not n:
-        return None
-    pos = (n - 1) * q
-    k = math.floor(pos)
-    v_lo = _value_at_rank(x, data, k, n, float(head["lo"]), float(head["hi"]), buckets, final_rows)
-    if math.ceil(pos) == k:
-        return v_lo
-    nxt = data.agg(F.count_if(x <= F.lit(v_lo)).alias("le"),
-                   F.min(F.when(x > F.lit(v_lo), x)).alias("next")).collect()[0]
-    v_hi = v_lo if nxt["le"] > k + 1 else float(nxt["next"])
-    return _interpolate(v_lo, v_hi, pos)
+    return exact_quantiles(df, [(column, q)], buckets, final_rows)[(column, q)]
+
+
+def high_cardinality(df: DataFrame, columns: list[str], limit: int = 2_000_000) -> set[str]:
+    """Columns whose HyperLogLog distinct count exceeds ``limit`` (one pass)."""
+    if not columns:
+        return set()
+    row = df.agg(*[F.approx_count_distinct(F.col(c).cast("double"), 0.05).alias(f"d{i}")
+                   for i, c in enumerate(columns)]).collect()[0]
+    return {c for i, c in enumerate(columns) if row[f"d{i}"] > limit}
 
 
 def resolve_method(df: DataFrame, column: str, method: str, auto_distinct: int = 2_000_000) -> str:
     if method != "auto":
         return method
-    d = df.agg(F.approx_count_distinct(F.col(column).cast("double"), 0.05).alias("d")).collect()[0]["d"]
-    return "exact" if d <= auto_distinct else "scan"
+    return "scan" if high_cardinality(df, [column], auto_distinct) else "exact"
 
 
 def quantile_expr(column: str, q: float = 0.99, method: str = "exact",

@@ -32,3 +32,19 @@ def test_cut_methods_agree(spark):
     b = outlier_cut(fx, "revenue_rub", 0.99, "scan").count()
     c = outlier_cut(fx, "revenue_rub", 0.99, "auto").count()
     assert a == b == c == 4831
+
+
+def test_multi_target_scan_and_describe_methods_agree(spark):
+    from cohortlens.operators import describe
+    from cohortlens.operators.quantile import exact_quantiles
+    fx = Study.from_fixtures(spark, SF_MID).fx_core
+    targets = [("revenue_rub", 0.25), ("revenue_rub", 0.75), ("order_id", 0.5), ("tickets_count", 0.9)]
+    got = exact_quantiles(fx, targets, buckets=32, final_rows=16)
+    for c, q in targets:
+        assert got[(c, q)] == quantile_threshold(fx, c, q).collect()[0][0]
+    cols = ["order_id", "revenue_rub", "tickets_count"]
+    a = sorted(describe.describe(fx, cols, quantile_method="exact").collect())
+    b = sorted(describe.describe(fx, cols, quantile_method="scan").collect())
+    assert a == b
+    assert describe.box_stats(fx, "revenue_rub", quantile_method="exact").collect() == \
+        describe.box_stats(fx, "revenue_rub", quantile_method="scan").collect()
