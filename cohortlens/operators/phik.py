@@ -13,9 +13,10 @@ Method (Baak, Koopman, Snoek, Klous, arXiv:1811.11440):
    X being the chi2-like distance between a bivariate normal with
    correlation rho and the independent one on an r x k grid over [-5, 5]^2.
 
-Steps 1-2 are Spark aggregates: the column pairs are exploded per row and
-partially aggregated on the map side, so the shuffle carries at most
-(number of category pairs) rows per task whatever the data size. Steps 3-6
+Steps 1-2 are Spark aggregates: rows are first counted per combination of
+all binned columns (partial aggregation), the column pairs are exploded from
+those combinations and aggregated again, so each shuffle carries at most
+(number of category combinations) rows per task whatever the data size. Steps 3-6
 work on one pair's contingency table at a time (bounded by the category
 counts, never by the row count) in a grouped pandas function.
 """
@@ -60,19 +61,27 @@ def binned_columns(df: DataFrame, columns: Sequence[str],
     return df.select(*out)
 
 
-def contingency(binned: DataFrame, columns: Sequence[str]) -> DataFrame:
+def contingency(binned: DataFrame, columns: Sequence[str], preaggregate: bool = True) -> DataFrame:
     """Long contingency tables of every unordered column pair:
-    ``(var_x, var_y, val_x, val_y, n)``, rows with a null in the pair dropped."""
+    ``(var_x, var_y, val_x, val_y, n)``, rows with a null in the pair dropped.
+
+    With ``preaggregate`` the rows are first counted per combination of all
+    binned columns (partial aggregation: each task ships at most one row per
+    combination it saw), and the pairs are exploded from those combinations,
+    so the per-row work is one hash update instead of one per column pair.
+    """
     cols = list(columns)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    src = binned.groupBy(*cols).agg(F.count(F.lit(1)).alias("__w")) if preaggregate \
+        else binned.withColumn("__w", F.lit(1).cast("long"))
     cells = F.array(*[
         F.struct(F.lit(a).alias("var_x"), F.lit(b).alias("var_y"),
-                 F.col(a).alias("val_x"), F.col(b).alias("val_y"))
+                 F.col(a).alias("val_x"), F.col(b).alias("val_y"), F.col("__w").alias("w"))
         for a, b in pairs])
-    return (binned.select(F.inline(cells))
-                  .where(F.col("val_x").isNotNull() & F.col("val_y").isNotNull())
-                  .groupBy("var_x", "var_y", "val_x", "val_y")
-                  .agg(F.count(F.lit(1)).cast("long").alias("n")))
+    return (src.select(F.inline(cells))
+               .where(F.col("val_x").isNotNull() & F.col("val_y").isNotNull())
+               .groupBy("var_x", "var_y", "val_x", "val_y")
+               .agg(F.sum("w").cast("long").alias("n")))
 
 
 PAIR_STATS_SCHEMA = T.StructType([
