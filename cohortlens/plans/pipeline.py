@@ -45,11 +45,12 @@ class Study:
     tables: Snowflake
     params: StudyParams = field(default_factory=StudyParams)
     materialize: bool | str = False  # False, "cache" or "checkpoint" (True)
+    source_dir: str | None = None    # folder of the raw tables, when read from files
 
     @classmethod
     def from_fixtures(cls, spark: SparkSession, sf_dir: str, **kw) -> Study:
         prepare(spark)
-        return cls(spark, load_snowflake(spark, sf_dir), **kw)
+        return cls(spark, load_snowflake(spark, sf_dir), source_dir=sf_dir, **kw)
 
     def _keep(self, df: DataFrame) -> DataFrame:
         if self.materialize in (True, "checkpoint"):

@@ -21,6 +21,7 @@ from ..sources.readers import table_overview
 from .pipeline import Study
 
 Query = Callable[[SparkSession, str], DataFrame]
+Report = Callable[["Study"], DataFrame]
 
 # The segment keys of the four reports.
 SEGMENTS = {
@@ -58,289 +59,300 @@ def _phik_frame(study: Study) -> DataFrame:
 
 # --- sources, extract, cleaning ---------------------------------------------------------
 
-def q_extract_purchases(spark, sf):
-    return _study(spark, sf).extract
+def r_extract_purchases(st: Study) -> DataFrame:
+    return st.extract
 
 
-def q_table_overview(spark, sf):
-    return table_overview(_study(spark, sf).extract)
+def r_table_overview(st: Study) -> DataFrame:
+    return table_overview(st.extract)
 
 
-def q_typed_purchases(spark, sf):
-    return _study(spark, sf).purchases_rub
+def r_typed_purchases(st: Study) -> DataFrame:
+    return st.purchases_rub
 
 
-def q_fx_normalise(spark, sf):
-    return _study(spark, sf).fx_core.select("order_id", "order_dt", "currency_code",
+def r_fx_normalise(st: Study) -> DataFrame:
+    return st.fx_core.select("order_id", "order_dt", "currency_code",
                                             "revenue", "revenue_rub")
 
 
-def q_outlier_cut(spark, sf):
-    return _study(spark, sf).clean
+def r_outlier_cut(st: Study) -> DataFrame:
+    return st.clean
 
 
-def q_outlier_volume(spark, sf):
-    return outlier_volume(_study(spark, sf).fx_core, "revenue_rub", 0.99, "auto")
+def r_outlier_volume(st: Study) -> DataFrame:
+    return outlier_volume(st.fx_core, "revenue_rub", 0.99, "auto")
 
 
-def q_user_count(spark, sf):
-    return user_count(_study(spark, sf).clean)
+def r_user_count(st: Study) -> DataFrame:
+    return user_count(st.clean)
 
 
-def q_days_since_prev(spark, sf):
-    return _study(spark, sf).extract.select("user_id", "order_id", "order_dt", "days_since_prev")
+def r_days_since_prev(st: Study) -> DataFrame:
+    return st.extract.select("user_id", "order_id", "order_dt", "days_since_prev")
 
 
 # --- profile ------------------------------------------------------------------------------
 
-def q_customer_profile(spark, sf):
-    return _study(spark, sf).profile
+def r_customer_profile(st: Study) -> DataFrame:
+    return st.profile
 
 
-def q_first_order_attrs(spark, sf):
-    return first_order_attrs(_study(spark, sf).clean)
+def r_first_order_attrs(st: Study) -> DataFrame:
+    return first_order_attrs(st.clean)
 
 
-def q_order_gap_mean(spark, sf):
-    return order_gap_mean(_study(spark, sf).clean)
+def r_order_gap_mean(st: Study) -> DataFrame:
+    return order_gap_mean(st.clean)
 
 
-def q_events_gap_stats(spark, sf):
-    ev = spark.read.parquet(f"{sf.rstrip('/')}/events.parquet")
+def r_events_gap_stats(st: Study) -> DataFrame:
+    ev = st.spark.read.parquet(f"{st.source_dir.rstrip('/')}/events.parquet")
     return gap_stats(ev.where(F.col("user_id").isNotNull()), "user_id", "ts", "event_id")
 
 
-def q_profile_summary(spark, sf):
-    return segments.profile_summary(_study(spark, sf).profile)
+def r_profile_summary(st: Study) -> DataFrame:
+    return segments.profile_summary(st.profile)
 
 
-def q_describe_orders(spark, sf):
-    return describe.describe(_study(spark, sf).purchases_rub)
+def r_describe_orders(st: Study) -> DataFrame:
+    return describe.describe(st.purchases_rub)
 
 
-def q_describe_profile(spark, sf):
-    return describe.describe(_study(spark, sf).profile,
+def r_describe_profile(st: Study) -> DataFrame:
+    return describe.describe(st.profile,
                              ["total_orders_cnt", "avg_cnt_per_order", "date_difference_d"])
 
 
-def q_profile_outlier_cut(spark, sf):
-    return _study(spark, sf).profile_f
+def r_profile_outlier_cut(st: Study) -> DataFrame:
+    return st.profile_f
 
 
-def q_profile_outlier_volume(spark, sf):
-    return outlier_volume(_study(spark, sf).profile, "total_orders_cnt", 0.99)
+def r_profile_outlier_volume(st: Study) -> DataFrame:
+    return outlier_volume(st.profile, "total_orders_cnt", 0.99)
 
 
-def q_customer_lifetime(spark, sf):
-    return customer_lifetime(_study(spark, sf).profile)
+def r_customer_lifetime(st: Study) -> DataFrame:
+    return customer_lifetime(st.profile)
 
 
 # --- segment reports ------------------------------------------------------------------------
 
 def _share(key):
-    return lambda spark, sf: segments.segment_share(_study(spark, sf).profile_f, key)
+    return lambda st: segments.segment_share(st.profile_f, key)
 
 
 def _ret(key):
-    return lambda spark, sf: segments.segment_return(_study(spark, sf).profile_f, key)
+    return lambda st: segments.segment_return(st.profile_f, key)
 
 
-def q_segment_share_region_top(spark, sf):
-    rep = segments.segment_share(_study(spark, sf).profile_f, SEGMENTS["region"])
+def r_segment_share_region_top(st: Study) -> DataFrame:
+    rep = segments.segment_share(st.profile_f, SEGMENTS["region"])
     return segments.top_segments(rep, SEGMENTS["region"], "users_cnt", 10)
 
 
-def q_segment_share_service_top(spark, sf):
-    rep = segments.segment_share(_study(spark, sf).profile_f, SEGMENTS["service"])
+def r_segment_share_service_top(st: Study) -> DataFrame:
+    rep = segments.segment_share(st.profile_f, SEGMENTS["service"])
     return segments.top_segments(rep, SEGMENTS["service"], "users_cnt", 10)
 
 
-def q_segment_return_region_top(spark, sf):
-    rep = segments.segment_return(_study(spark, sf).profile_f, SEGMENTS["region"])
+def r_segment_return_region_top(st: Study) -> DataFrame:
+    rep = segments.segment_return(st.profile_f, SEGMENTS["region"])
     return segments.top_segments(rep, SEGMENTS["region"], "users_cnt", 15)
 
 
-def q_region_top10(spark, sf):
-    rep = segments.segment_return(_study(spark, sf).profile_f, SEGMENTS["region"])
+def r_region_top10(st: Study) -> DataFrame:
+    rep = segments.segment_return(st.profile_f, SEGMENTS["region"])
     return segments.top_segments(rep, SEGMENTS["region"], "users_cnt", 10) \
                    .select("first_order_region", "is_two_share")
 
 
-def q_region_tail_mean(spark, sf):
-    rep = segments.segment_return(_study(spark, sf).profile_f, SEGMENTS["region"])
+def r_region_tail_mean(st: Study) -> DataFrame:
+    rep = segments.segment_return(st.profile_f, SEGMENTS["region"])
     tail = segments.tail_segments(rep, SEGMENTS["region"], "users_cnt", 10)
     return segments.mean_of(tail, "is_two_share", "mean_is_two_share")
 
 
-def q_service_top(spark, sf):
-    rep = segments.segment_return(_study(spark, sf).profile_f, SEGMENTS["service"])
+def r_service_top(st: Study) -> DataFrame:
+    rep = segments.segment_return(st.profile_f, SEGMENTS["service"])
     return segments.top_segments(rep, SEGMENTS["service"], "is_two_share", 10)
 
 
-def q_service_top_mean(spark, sf):
-    top = q_service_top(spark, sf)
+def r_service_top_mean(st: Study) -> DataFrame:
+    top = r_service_top(st)
     return segments.mean_of(top, "is_two_share", "mean_is_two_share")
 
 
-def q_segment_lift(spark, sf):
-    return segments.segment_lift(_study(spark, sf).profile_f, SEGMENTS["event"])
+def r_segment_lift(st: Study) -> DataFrame:
+    return segments.segment_lift(st.profile_f, SEGMENTS["event"])
 
 
-def q_segment_compare(spark, sf):
-    return segments.segment_compare(_study(spark, sf).profile_f, SEGMENTS["event"], *COMPARE_GENRES)
+def r_segment_compare(st: Study) -> DataFrame:
+    return segments.segment_compare(st.profile_f, SEGMENTS["event"], *COMPARE_GENRES)
 
 
-def q_service_top_by_users(spark, sf):
-    rep = segments.segment_return(_study(spark, sf).profile_f, SEGMENTS["service"])
+def r_service_top_by_users(st: Study) -> DataFrame:
+    rep = segments.segment_return(st.profile_f, SEGMENTS["service"])
     return segments.top_segments(rep, SEGMENTS["service"], "users_cnt", 10)
 
 
 # --- buckets and retention ------------------------------------------------------------------
 
-def q_tickets_bucket(spark, sf):
-    return buckets.with_ticket_bucket(_study(spark, sf).profile_f) \
+def r_tickets_bucket(st: Study) -> DataFrame:
+    return buckets.with_ticket_bucket(st.profile_f) \
                   .select("user_id", "avg_cnt_per_order", "cnt_tickets_cat")
 
 
-def q_tickets_bucket_stats(spark, sf):
-    return buckets.tickets_bucket_stats(_study(spark, sf).profile_f)
+def r_tickets_bucket_stats(st: Study) -> DataFrame:
+    return buckets.tickets_bucket_stats(st.profile_f)
 
 
-def q_tickets_bucket_return(spark, sf):
-    return buckets.tickets_bucket_return(_study(spark, sf).profile_f)
+def r_tickets_bucket_return(st: Study) -> DataFrame:
+    return buckets.tickets_bucket_return(st.profile_f)
 
 
-def q_weekday_return(spark, sf):
-    return buckets.weekday_return(_study(spark, sf).profile_f)
+def r_weekday_return(st: Study) -> DataFrame:
+    return buckets.weekday_return(st.profile_f)
 
 
-def q_gap_by_loyalty(spark, sf):
-    return buckets.gap_by_loyalty(_study(spark, sf).profile_f)
+def r_gap_by_loyalty(st: Study) -> DataFrame:
+    return buckets.gap_by_loyalty(st.profile_f)
 
 
-def q_order_bucket_counts(spark, sf):
-    return buckets.order_bucket_counts(_study(spark, sf).profile_f)
+def r_order_bucket_counts(st: Study) -> DataFrame:
+    return buckets.order_bucket_counts(st.profile_f)
 
 
-def q_bucket_values(spark, sf):
-    return buckets.bucket_values(_study(spark, sf).profile_f)
+def r_bucket_values(st: Study) -> DataFrame:
+    return buckets.bucket_values(st.profile_f)
 
 
 # --- distributions --------------------------------------------------------------------------
 
-def q_tickets_histogram(spark, sf):
-    return describe.histogram(_study(spark, sf).fx_core, "tickets_count", 100)
+def r_tickets_histogram(st: Study) -> DataFrame:
+    return describe.histogram(st.fx_core, "tickets_count", 100)
 
 
-def q_revenue_box(spark, sf):
-    return describe.box_stats(_study(spark, sf).fx_core, "revenue_rub")
+def r_revenue_box(st: Study) -> DataFrame:
+    return describe.box_stats(st.fx_core, "revenue_rub")
 
 
-def q_revenue_histogram(spark, sf):
-    return describe.revenue_histogram(_study(spark, sf).profile_f)
+def r_revenue_histogram(st: Study) -> DataFrame:
+    return describe.revenue_histogram(st.profile_f)
 
 
-def q_revenue_histogram_shared(spark, sf):
-    return describe.revenue_histogram(_study(spark, sf).profile_f, shared_bins=True, density=True)
+def r_revenue_histogram_shared(st: Study) -> DataFrame:
+    return describe.revenue_histogram(st.profile_f, shared_bins=True, density=True)
 
 
 # --- phi_k ----------------------------------------------------------------------------------
 
-def q_phik_contingency(spark, sf):
-    p = _phik_frame(_study(spark, sf))
+def r_phik_contingency(st: Study) -> DataFrame:
+    p = _phik_frame(st)
     return phik.contingency(phik.binned_columns(p, PHIK_K1_COLUMNS, PHIK_K1_BINS), PHIK_K1_COLUMNS)
 
 
-def q_phik_chi2(spark, sf):
-    p = _phik_frame(_study(spark, sf))
+def r_phik_chi2(st: Study) -> DataFrame:
+    p = _phik_frame(st)
     cells = phik.contingency(phik.binned_columns(p, PHIK_K1_COLUMNS, PHIK_K1_BINS), PHIK_K1_COLUMNS)
     return phik.pair_chi2(cells)
 
 
-def q_phik_chi2_default(spark, sf):
-    p = _phik_frame(_study(spark, sf))
+def r_phik_chi2_default(st: Study) -> DataFrame:
+    p = _phik_frame(st)
     cells = phik.contingency(phik.binned_columns(p, PHIK_K2_COLUMNS, PHIK_K2_BINS), PHIK_K2_COLUMNS)
     return phik.pair_chi2(cells)
 
 
-def q_phik_matrix(spark, sf):
-    return phik.phik_matrix(_phik_frame(_study(spark, sf)), PHIK_K1_COLUMNS, PHIK_K1_BINS)
+def r_phik_matrix(st: Study) -> DataFrame:
+    return phik.phik_matrix(_phik_frame(st), PHIK_K1_COLUMNS, PHIK_K1_BINS)
 
 
-def q_phik_matrix_default(spark, sf):
-    return phik.phik_matrix(_phik_frame(_study(spark, sf)), PHIK_K2_COLUMNS, PHIK_K2_BINS)
+def r_phik_matrix_default(st: Study) -> DataFrame:
+    return phik.phik_matrix(_phik_frame(st), PHIK_K2_COLUMNS, PHIK_K2_BINS)
 
 
-def q_phik_target(spark, sf):
-    return q_phik_matrix(spark, sf).where(F.col("var_y") == "total_orders_cnt") \
+def r_phik_target(st: Study) -> DataFrame:
+    return r_phik_matrix(st).where(F.col("var_y") == "total_orders_cnt") \
                                    .select(F.col("var_x").alias("variable"), "phik")
 
 
 # --- data quality (brief) -------------------------------------------------------------------
 
-def q_null_profile(spark, sf):
-    return quality.null_profile(_study(spark, sf).purchases_rub)
+def r_null_profile(st: Study) -> DataFrame:
+    return quality.null_profile(st.purchases_rub)
 
 
-def q_category_profile(spark, sf):
-    return quality.category_profile(_study(spark, sf).fx_core,
+def r_category_profile(st: Study) -> DataFrame:
+    return quality.category_profile(st.fx_core,
                                     ["device_type_canonical", "currency_code", "event_type_main",
                                      "service_name", "region_name"])
 
 
-def q_duplicate_orders(spark, sf):
-    return quality.duplicate_rows(_study(spark, sf).fx_core, ["order_id"])
-
-
-QUERIES: dict[str, Query] = {
-    "extract_purchases": q_extract_purchases,
-    "table_overview": q_table_overview,
-    "typed_purchases": q_typed_purchases,
-    "fx_normalise": q_fx_normalise,
-    "outlier_cut": q_outlier_cut,
-    "outlier_volume": q_outlier_volume,
-    "user_count": q_user_count,
-    "days_since_prev": q_days_since_prev,
-    "customer_profile": q_customer_profile,
-    "first_order_attrs": q_first_order_attrs,
-    "order_gap_mean": q_order_gap_mean,
-    "events_gap_stats": q_events_gap_stats,
-    "profile_summary": q_profile_summary,
-    "describe_orders": q_describe_orders,
-    "describe_profile": q_describe_profile,
-    "profile_outlier_cut": q_profile_outlier_cut,
-    "profile_outlier_volume": q_profile_outlier_volume,
-    "customer_lifetime": q_customer_lifetime,
+def r_duplicate_orders(st: Study) -> DataFrame:
+    return quality.duplicate_rows(st.fx_core, ["order_id"])
+
+
+REPORTS: dict[str, Report] = {
+    "extract_purchases": r_extract_purchases,
+    "table_overview": r_table_overview,
+    "typed_purchases": r_typed_purchases,
+    "fx_normalise": r_fx_normalise,
+    "outlier_cut": r_outlier_cut,
+    "outlier_volume": r_outlier_volume,
+    "user_count": r_user_count,
+    "days_since_prev": r_days_since_prev,
+    "customer_profile": r_customer_profile,
+    "first_order_attrs": r_first_order_attrs,
+    "order_gap_mean": r_order_gap_mean,
+    "events_gap_stats": r_events_gap_stats,
+    "profile_summary": r_profile_summary,
+    "describe_orders": r_describe_orders,
+    "describe_profile": r_describe_profile,
+    "profile_outlier_cut": r_profile_outlier_cut,
+    "profile_outlier_volume": r_profile_outlier_volume,
+    "customer_lifetime": r_customer_lifetime,
     **{f"segment_share_{k}": _share(v) for k, v in SEGMENTS.items()},
-    "segment_share_region_top": q_segment_share_region_top,
-    "segment_share_service_top": q_segment_share_service_top,
+    "segment_share_region_top": r_segment_share_region_top,
+    "segment_share_service_top": r_segment_share_service_top,
     **{f"segment_return_{k}": _ret(v) for k, v in SEGMENTS.items()},
-    "segment_return_region_top": q_segment_return_region_top,
-    "region_top10": q_region_top10,
-    "region_tail_mean": q_region_tail_mean,
-    "service_top": q_service_top,
-    "service_top_mean": q_service_top_mean,
-    "service_top_by_users": q_service_top_by_users,
-    "segment_lift": q_segment_lift,
-    "segment_compare": q_segment_compare,
-    "tickets_bucket": q_tickets_bucket,
-    "tickets_bucket_stats": q_tickets_bucket_stats,
-    "tickets_bucket_return": q_tickets_bucket_return,
-    "weekday_return": q_weekday_return,
-    "gap_by_loyalty": q_gap_by_loyalty,
-    "order_bucket_counts": q_order_bucket_counts,
-    "bucket_values": q_bucket_values,
-    "tickets_histogram": q_tickets_histogram,
-    "revenue_box": q_revenue_box,
-    "revenue_histogram": q_revenue_histogram,
-    "revenue_histogram_shared": q_revenue_histogram_shared,
-    "phik_contingency": q_phik_contingency,
-    "phik_chi2": q_phik_chi2,
-    "phik_chi2_default": q_phik_chi2_default,
-    "phik_matrix": q_phik_matrix,
-    "phik_matrix_default": q_phik_matrix_default,
-    "phik_target": q_phik_target,
-    "null_profile": q_null_profile,
-    "category_profile": q_category_profile,
-    "duplicate_orders": q_duplicate_orders,
+    "segment_return_region_top": r_segment_return_region_top,
+    "region_top10": r_region_top10,
+    "region_tail_mean": r_region_tail_mean,
+    "service_top": r_service_top,
+    "service_top_mean": r_service_top_mean,
+    "service_top_by_users": r_service_top_by_users,
+    "segment_lift": r_segment_lift,
+    "segment_compare": r_segment_compare,
+    "tickets_bucket": r_tickets_bucket,
+    "tickets_bucket_stats": r_tickets_bucket_stats,
+    "tickets_bucket_return": r_tickets_bucket_return,
+    "weekday_return": r_weekday_return,
+    "gap_by_loyalty": r_gap_by_loyalty,
+    "order_bucket_counts": r_order_bucket_counts,
+    "bucket_values": r_bucket_values,
+    "tickets_histogram": r_tickets_histogram,
+    "revenue_box": r_revenue_box,
+    "revenue_histogram": r_revenue_histogram,
+    "revenue_histogram_shared": r_revenue_histogram_shared,
+    "phik_contingency": r_phik_contingency,
+    "phik_chi2": r_phik_chi2,
+    "phik_chi2_default": r_phik_chi2_default,
+    "phik_matrix": r_phik_matrix,
+    "phik_matrix_default": r_phik_matrix_default,
+    "phik_target": r_phik_target,
+    "null_profile": r_null_profile,
+    "category_profile": r_category_profile,
+    "duplicate_orders": r_duplicate_orders,
 }
+
+
+def _bind(report: Report) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return report(_study(spark, sf_dir))
+    run.__name__ = getattr(report, "__name__", "report")
+    return run
+
+
+# One query per report, each building its own study from the raw tables.
+QUERIES: dict[str, Query] = {name: _bind(fn) for name, fn in REPORTS.items()}

@@ -48,3 +48,12 @@ def test_stream_ingest_matches_batch(spark):
     assert got.select(exp.columns).exceptAll(exp).count() == 0
     write_table(got.limit(5), os.path.join(d, "out"), partition_by=["currency_code"])
     assert spark.read.parquet(os.path.join(d, "out")).count() == 5
+
+
+def test_report_pack_writes_every_report(spark):
+    from cohortlens.plans.queries import REPORTS
+    from cohortlens.plans.report_pack import run_study_from_files
+    d = tempfile.mkdtemp(prefix="cl-pack-", dir="/tmp")
+    times = run_study_from_files(spark, SF_SMALL, d)
+    assert set(times) == set(REPORTS) | {"__materialize"}
+    assert spark.read.parquet(os.path.join(d, "segment_return_event")).count() >= 1
