@@ -32,7 +32,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import default_parallelism
 
 _P = "__cl_part"
 _FIRST = "__cl_first"
@@ -40,6 +39,15 @@ _LAST = "__cl_last"
 _NB = "__cl_nb"
 
 
+def _ranges(df: DataFrame, cols: list[str], num_partitions: int | None) -> DataFrame:
+    """Range-partition on ``cols``. Without an explicit count Spark starts from
+    ``spark.sql.shuffle.partitions`` and AQE may merge adjacent small ranges
+    (order is kept, so the scans stay correct)."""
+    if num_partitions:
+        return df.repartitionByRange(num_partitions, *cols)
+    return df.repartitionByRange(*cols)
+
+
 def _nullable(values: pd.Series) -> pd.Series:
     if pd.api.types.is_integer_dtype(values.dtype) and not isinstance(values.dtype, pd.api.extensions.ExtensionDtype):
         return values.astype("Int64")
@@ -106,13 +114,11 @@ def neighbor_value(df: DataFrame, key: str, order: Sequence[str], value: str,
     if method != "range":
         raise ValueError("method must be 'range' or 'window'")
 
-    spark = df.sparkSession
-    n = num_partitions or default_parallelism(spark)
     value_type = df.schema[value].dataType
     # Materialise the sorted ranges once (reliable checkpoint in spark.checkpoint.dir):
     # both branches below must see the very same partitions, and a range
     # exchange executed twice may sample different bounds.
-    rp = (df.repartitionByRange(n, key, *order).sortWithinPartitions(key, *order)
+    rp = (_ranges(df, [key, *order], num_partitions).sortWithinPartitions(key, *order)
             .checkpoint(eager=True))
 
     out_schema = T.StructType(df.schema.fields + [T.StructField(out, value_type, True)])
@@ -176,8 +182,7 @@ def with_gap_flags(df: DataFrame, key: str, ts: str, tiebreak: str,
     """Range-partition, then add ``gap`` (whole days to the next row of the
     same key inside the partition) and the partition edge flags
     ``__cl_pfirst`` / ``__cl_plast``. Input to ``gap_aggregates``."""
-    n = num_partitions or default_parallelism(df.sparkSession)
-    rp = df.repartitionByRange(n, key, ts, tiebreak).sortWithinPartitions(key, ts, tiebreak)
+    rp = _ranges(df, [key, ts, tiebreak], num_partitions).sortWithinPartitions(key, ts, tiebreak)
     schema = T.StructType(df.schema.fields + [
         T.StructField(gap, T.LongType(), True),
         T.StructField("__cl_pfirst", T.BooleanType(), False),

@@ -45,3 +45,19 @@ def test_gap_stats_matches_window(spark):
                                      F.count("nx").alias("c")).collect()}
     assert got == exp
     assert got[-1][1] == ev.where("user_id = -1").count() - 1
+
+
+def test_default_ranges_with_aqe_coalescing(spark):
+    ev = skewed_events(spark)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        a = neighbor_value(ev, "user_id", ["ts", "event_id"], "ts", "prev", "nb")
+        b = neighbor_value(ev, "user_id", ["ts", "event_id"], "ts", "prev", "nb", method="window")
+        diff = (a.alias("a").join(b.alias("b"), ["user_id", "ts", "event_id"])
+                 .where(~F.col("a.nb").eqNullSafe(F.col("b.nb"))))
+        assert diff.count() == 0
+        got = {r.user_id: (r.gap_sum, r.gap_cnt) for r in gap_stats(ev, "user_id", "ts", "event_id").collect()}
+        assert got[-1][1] == ev.where("user_id = -1").count() - 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
