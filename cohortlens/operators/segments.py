@@ -35,27 +35,32 @@ def profile_summary(profile: DataFrame, resolution: int = 1) -> DataFrame:
     )
 
 
-def segment_share(profile: DataFrame, key: str) -> DataFrame:
-    """Users per segment and their share of all users in %.
+def segment_share(profile: DataFrame, key: str, ordered: bool = True) -> DataFrame:
+    """Users per segment and their share of all users in % (R2, A11), largest
+    segment first with the key as tiebreak (O2, Q12).
 
     Users whose segment is null are not a segment (Q16) but count in the
     denominator, as in the study.
     """
     total = profile.agg(F.count("user_id").alias("n")).scalar()
-    return (profile.where(F.col(key).isNotNull())
-                   .groupBy(key)
-                   .agg(F.count("user_id").alias("users_cnt"))
-                   .select(key, F.col("users_cnt").cast("long"),
-                           (F.col("users_cnt").cast("double") / total * F.lit(100.0)).alias("share")))
+    rep = (profile.where(F.col(key).isNotNull())
+                  .groupBy(key)
+                  .agg(F.count("user_id").alias("users_cnt"))
+                  .select(key, F.col("users_cnt").cast("long"),
+                          (F.col("users_cnt").cast("double") / total * F.lit(100.0)).alias("share")))
+    return rep.orderBy(F.col("users_cnt").desc(), F.col(key).asc()) if ordered else rep
 
 
 def segment_return(profile: DataFrame, key: str, flag: str = "is_two",
-                   include_zero: bool = False, min_users: int = 0) -> DataFrame:
+                   include_zero: bool = False, min_users: int = 0,
+                   sort_by: str | None = "key") -> DataFrame:
     """Per segment: users with ``flag`` (returners), all users, and the
     returners' share in % rounded half-even to 2 dp (R3, A12, J5).
 
     The study drops segments without any returner (Q10); ``include_zero``
     keeps them with 0. ``min_users`` hides segments smaller than that (B5).
+    ``sort_by`` orders the report descending by ``"key"``, ``"users_cnt"`` or
+    ``"is_two_share"`` (key as tiebreak; O2), or not at all with ``None``.
     """
     rep = (profile.where(F.col(key).isNotNull())
                   .groupBy(key)
@@ -65,11 +70,21 @@ def segment_return(profile: DataFrame, key: str, flag: str = "is_two",
         rep = rep.where(F.col("returners_cnt") > 0)
     if min_users:
         rep = rep.where(F.col("users_cnt") >= min_users)
-    return rep.select(
+    rep = rep.select(
         key, F.col("returners_cnt").cast("long"), F.col("users_cnt").cast("long"),
         round_half_even(F.col("returners_cnt").cast("double") / F.col("users_cnt") * F.lit(100.0), 2)
          .alias("is_two_share"),
     )
+    if sort_by is None:
+        return rep
+    if sort_by == "key":
+        return rep.orderBy(F.col(key).desc())
+    return rep.orderBy(F.col(sort_by).desc(), F.col(key).asc())
+
+
+def chart_frame(report: DataFrame, key: str, value: str = "is_two_share") -> DataFrame:
+    """The two columns a bar chart of a report needs, ascending by value (O3, H4)."""
+    return report.select(key, value).orderBy(F.col(value).asc(), F.col(key).asc())
 
 
 def top_segments(report: DataFrame, key: str, by: str, n: int, ascending: bool = False) -> DataFrame:

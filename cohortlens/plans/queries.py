@@ -142,8 +142,13 @@ def _share(key):
     return lambda st: segments.segment_share(st.profile_f, key)
 
 
+# The order each return report is read in (region by size, service by rate).
+RETURN_ORDER = {"first_event_type": "key", "first_order_device": "key",
+                "first_order_region": "users_cnt", "first_service_name": "is_two_share"}
+
+
 def _ret(key):
-    return lambda st: segments.segment_return(st.profile_f, key)
+    return lambda st: segments.segment_return(st.profile_f, key, sort_by=RETURN_ORDER[key])
 
 
 def r_segment_share_region_top(st: Study) -> DataFrame:

@@ -165,3 +165,14 @@ def test_box_stats(spark):
     r = describe.box_stats(df, "x").collect()[0]
     assert (r.q1, r.median, r.q3) == (2.0, 3.0, 4.0)
     assert (r.whisker_lo, r.whisker_hi, r.outliers_high, r.outliers_low) == (1.0, 4.0, 1, 0)
+
+
+def test_report_orders(spark):
+    p = _profile(spark, [("a", 1.0, 2, T0, True, False, "g1", 1.0), ("b", 1.0, 1, T0, False, False, "g2", None),
+                         ("c", 1.0, 2, T0, True, False, "g2", 1.0), ("d", 1.0, 2, T0, True, False, "g3", 1.0)])
+    assert [r.first_event_type for r in segments.segment_share(p, "first_event_type").collect()] == ["g2", "g1", "g3"]
+    assert [r.first_event_type for r in segments.segment_return(p, "first_event_type").collect()] == ["g3", "g2", "g1"]
+    by_rate = segments.segment_return(p, "first_event_type", sort_by="is_two_share").collect()
+    assert [r.first_event_type for r in by_rate] == ["g1", "g3", "g2"]
+    chart = segments.chart_frame(segments.segment_return(p, "first_event_type"), "first_event_type").collect()
+    assert [r.first_event_type for r in chart] == ["g2", "g1", "g3"]
