@@ -48,3 +48,25 @@ def test_multi_target_scan_and_describe_methods_agree(spark):
     assert a == b
     assert describe.box_stats(fx, "revenue_rub", quantile_method="exact").collect() == \
         describe.box_stats(fx, "revenue_rub", quantile_method="scan").collect()
+
+
+def _brute_percentile(values, q):
+    v = sorted(values)
+    pos = (len(v) - 1) * q
+    lo, hi = int(pos // 1), -int(-pos // 1)
+    if lo == hi or v[lo] == v[hi]:
+        return float(v[lo])
+    return (hi - pos) * v[lo] + (pos - lo) * v[hi]
+
+
+def test_scan_matches_brute_force_on_random_data(spark):
+    import random
+    from cohortlens.operators.quantile import exact_quantiles
+    rnd = random.Random(7)
+    for trial in range(4):
+        vals = [rnd.choice([rnd.randint(0, 50), rnd.random() * 1000, 3.5]) for _ in range(rnd.randint(20, 400))]
+        df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+        qs = [0.0, 0.01, 0.5, 0.77, 0.99, 1.0]
+        got = exact_quantiles(df, [("x", q) for q in qs], buckets=4, final_rows=3)
+        for q in qs:
+            assert got[("x", q)] == pytest.approx(_brute_percentile(vals, q), rel=1e-12, abs=1e-12)
