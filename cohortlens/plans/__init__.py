@@ -1,0 +1 @@
+"""The study as a lazy plan, the registered queries and their SQL oracle."""

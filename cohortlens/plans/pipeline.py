@@ -25,6 +25,7 @@ from ..operators.extract import add_days_since_prev, extract_purchases, typed_pu
 from ..operators.fx import fx_normalise
 from ..operators.profile import customer_profile
 from ..operators.quantile import outlier_cut
+from ..schemas import assert_unique
 from ..session import checkpoint_dir, prepare
 from ..sources.fixtures import EXCLUDED_GENRE, Snowflake, load_snowflake
 
@@ -56,6 +57,17 @@ class Study:
         prepare(spark)
         return cls(spark, load_snowflake(spark, sf_dir), source_dir=sf_dir, **kw)
 
+    def validate(self) -> Study:
+        """Fail if a dimension key or a (day, currency) rate repeats: a repeated
+        key would silently multiply purchases in the left joins (§1.2). One
+        small aggregate per table; at most one offending key is fetched."""
+        t = self.tables
+        assert_unique(t.events, ["event_id"], "events")
+        assert_unique(t.city, ["city_id"], "city")
+        assert_unique(t.regions, ["region_id"], "regions")
+        assert_unique(t.rates, ["data", "cdx"], "rates")
+        return self
+
     def _keep(self, df: DataFrame, name: str = "table") -> DataFrame:
         if self.materialize == "parquet":
             # A written table in the shared checkpoint folder: one job to write,

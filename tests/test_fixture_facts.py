@@ -33,3 +33,7 @@ def test_sf0001_anchors(spark):
     assert st.profile.count() == 143
     assert _groups(st.profile) == {"1": 25, "2-4": 87, "5+": 31}
     assert st.profile_f.count() == 142
+
+
+def test_dimension_keys_unique(spark):
+    Study.from_fixtures(spark, SF_SMALL).validate()
