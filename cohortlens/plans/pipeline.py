@@ -51,6 +51,7 @@ class Study:
     params: StudyParams = field(default_factory=StudyParams)
     materialize: bool | str = False  # False, "cache", "checkpoint" (True) or "parquet"
     source_dir: str | None = None    # folder of the raw tables, when read from files
+    purchases_mode: str | None = None  # override of `materialize` for the cleaned purchases
 
     @classmethod
     def from_fixtures(cls, spark: SparkSession, sf_dir: str, **kw) -> Study:
@@ -68,17 +69,20 @@ class Study:
         assert_unique(t.rates, ["data", "cdx"], "rates")
         return self
 
-    def _keep(self, df: DataFrame, name: str = "table") -> DataFrame:
-        if self.materialize == "parquet":
+    def _keep(self, df: DataFrame, name: str = "table", mode: str | bool | None = None) -> DataFrame:
+        mode = self.materialize if mode is None else mode
+        if not self.materialize:
+            return df
+        if mode == "parquet":
             # A written table in the shared checkpoint folder: one job to write,
             # and later reads prune columns and push filters into the scan.
             path = f"{checkpoint_dir(self.spark).rstrip('/')}/cohortlens-{uuid.uuid4().hex}/{name}"
             df.write.mode("overwrite").parquet(path)
             return self.spark.read.parquet(path)
-        if self.materialize in (True, "checkpoint"):
+        if mode in (True, "checkpoint"):
             # Reliable checkpoint: written to spark.checkpoint.dir, cuts the lineage.
             return df.checkpoint(eager=True)
-        if self.materialize == "cache":
+        if mode == "cache":
             # Kept on the executors (memory, spilling to disk); a lost block is
             # recomputed from the lineage.
             return df.persist(StorageLevel.MEMORY_AND_DISK)
@@ -100,7 +104,7 @@ class Study:
     @cached_property
     def fx_core(self) -> DataFrame:
         fx = fx_normalise(self.extract_core, self.tables.rates, strict=self.params.strict_fx)
-        return self._keep(typed_purchases(fx), "purchases_rub")
+        return self._keep(typed_purchases(fx), "purchases_rub", self.purchases_mode)
 
     @cached_property
     def purchases_rub(self) -> DataFrame:
