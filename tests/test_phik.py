@@ -64,3 +64,15 @@ def test_matrix_symmetric_in_range_and_counts_consistent(spark):
     for r in per_pair:  # only the region can be null among the K1 columns
         region = "first_order_region" in (r.var_x, r.var_y)
         assert r.n == (with_region if region else users)
+
+
+@pytest.mark.parametrize("table", [[[40, 10], [10, 40]], [[30, 20], [12, 38]], [[5, 1], [2, 9]]])
+def test_two_by_two_matches_closed_form(table):
+    # On a 2x2 grid split at 0 the cell masses are orthant probabilities,
+    # 1/4 + asin(rho) / (2 pi), so X(rho) / X(1) = (2 asin(rho) / pi)^2 and
+    # rho = sin(pi / 2 * sqrt((chi2 - ped) / (chi2_max - ped))).
+    import math
+    chi2, n = _chi2(table)
+    ped, chi2_max = 1.0, n * 1.0
+    expected = math.sin(math.pi / 2 * math.sqrt((chi2 - ped) / (chi2_max - ped)))
+    assert phik.phik_from_chi2(chi2, n, 2, 2, ped) == pytest.approx(expected, abs=1e-5)
