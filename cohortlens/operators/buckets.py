@@ -43,7 +43,7 @@ def bucket_counts(df: DataFrame, bucket: str, labels: Sequence[str],
     dim = schemas.label_dimension(spark, bucket, labels)
     joined = dim.join(counts, on=bucket, how="left")  # label dimension is tiny and fixed
     cnt = F.coalesce(F.col("cnt"), F.lit(0)).cast("long")
-    share = cnt.cast("double") / total
+    share = F.try_divide(cnt.cast("double"), total)
     if share_digits is not None:
         share = round_half_even(share, share_digits) * F.lit(100.0)
     else:

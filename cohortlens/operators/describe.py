@@ -120,7 +120,7 @@ def histogram(df: DataFrame, column: str, bins: int, group: str | None = None,
             round_half_even(hi_e, digits).alias("bin_hi"), cnt.alias("cnt")]
     if density:
         width = F.when(hi_e > lo_e, hi_e - lo_e).otherwise(F.lit(1.0))
-        cols.append(round_half_even(cnt.cast("double") / (F.col("__n") * width), 12).alias("density"))
+        cols.append(round_half_even(F.try_divide(cnt.cast("double"), F.col("__n") * width), 12).alias("density"))
     return out.select(*cols)
 
 

@@ -75,10 +75,10 @@ def customer_profile(clean: DataFrame, user: str = "user_id", ts: str = "order_t
     return prof.select(
         user, "min_order_ts", "max_order_ts", *FIRST_ATTRS.keys(),
         F.col("total_orders_cnt").cast("long"),
-        (F.col("__rev_sum").cast("double") / F.col("total_orders_cnt")).alias("avg_revenue_rub"),
-        (F.col("__tk_sum").cast("double") / F.col("__tk_cnt")).alias("avg_cnt_per_order"),
-        (F.col("__gap_sum").cast("double") / F.when(F.col("__gap_cnt") > 0, F.col("__gap_cnt")))
-         .alias("date_difference_d"),
+        # try_divide: null instead of an ANSI error when a user has no values
+        F.try_divide(F.col("__rev_sum").cast("double"), F.col("total_orders_cnt")).alias("avg_revenue_rub"),
+        F.try_divide(F.col("__tk_sum").cast("double"), F.col("__tk_cnt")).alias("avg_cnt_per_order"),
+        F.try_divide(F.col("__gap_sum").cast("double"), F.col("__gap_cnt")).alias("date_difference_d"),
         (F.col("total_orders_cnt") >= 2).alias("is_two"),
         (F.col("total_orders_cnt") >= 5).alias("is_five"),
     )

@@ -24,7 +24,7 @@ def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
                      for i, c in enumerate(cols)])
     return one.select("__rows", F.inline(rows)).select(
         "column_name", "null_cnt", F.col("__rows").cast("long").alias("row_cnt"),
-        round_half_even(F.col("null_cnt").cast("double") / F.col("__rows") * F.lit(100.0), 6)
+        round_half_even(F.try_divide(F.col("null_cnt").cast("double"), F.col("__rows")) * F.lit(100.0), 6)
          .alias("null_pct"))
 
 

@@ -185,6 +185,6 @@ def outlier_volume(df: DataFrame, column: str, q: float = 0.99, method: str = "e
     return counted.select(
         F.col("rows_before").cast("long"), F.col("rows_after").cast("long"),
         (F.col("rows_before") - F.col("rows_after")).cast("long").alias("rows_removed"),
-        round_half_even((F.col("rows_before") - F.col("rows_after")).cast("double")
-                        / F.col("rows_before") * F.lit(100.0), 2).alias("removed_pct"),
+        round_half_even(F.try_divide((F.col("rows_before") - F.col("rows_after")).cast("double"),
+                                     F.col("rows_before")) * F.lit(100.0), 2).alias("removed_pct"),
     )

@@ -25,7 +25,7 @@ def profile_summary(profile: DataFrame, resolution: int = 1) -> DataFrame:
         F.count_if(F.col("is_two")).alias("__two"),
         F.count_if(F.col("is_five")).alias("__five"),
     )
-    share = lambda c: round_half_even(F.col(c).cast("double") / F.col("total_users_cnt"),
+    share = lambda c: round_half_even(F.try_divide(F.col(c).cast("double"), F.col("total_users_cnt")),
                                       resolution) * F.lit(100.0)
     return agg.select(
         F.col("total_users_cnt").cast("long"),
@@ -111,7 +111,7 @@ def mean_of(df: DataFrame, column: str, alias: str, digits: int = 6) -> DataFram
 def segment_lift(profile: DataFrame, key: str, flag: str = "is_two") -> DataFrame:
     """Segment return rate minus the overall rate, in percentage points."""
     overall = profile.agg(
-        (F.count_if(F.col(flag)).cast("double") / F.count("user_id") * F.lit(100.0)).alias("r")
+        (F.try_divide(F.count_if(F.col(flag)).cast("double"), F.count("user_id")) * F.lit(100.0)).alias("r")
     ).scalar()
     rep = segment_return(profile, key, flag, include_zero=True)
     rate = F.col("returners_cnt").cast("double") / F.col("users_cnt") * F.lit(100.0)

@@ -175,3 +175,12 @@ def test_report_orders(spark):
     assert [r.first_event_type for r in by_rate] == ["g1", "g3", "g2"]
     chart = segments.chart_frame(segments.segment_return(p, "first_event_type"), "first_event_type").collect()
     assert [r.first_event_type for r in chart] == ["g2", "g1", "g3"]
+
+
+def test_user_without_ticket_counts_and_empty_inputs(spark):
+    rows = [("u1", 1, T0, Decimal("10"), None, "mobile", "R", "S", "G")]
+    p = customer_profile(clean_df(spark, rows)).collect()[0]
+    assert p.avg_cnt_per_order is None and p.avg_revenue_rub == 10.0
+    empty = customer_profile(clean_df(spark, []))
+    assert segments.profile_summary(empty).collect()[0].total_users_cnt == 0
+    assert {r.cnt for r in buckets.tickets_bucket_stats(empty).collect()} == {0}
