@@ -16,9 +16,11 @@ Method (Baak, Koopman, Snoek, Klous, arXiv:1811.11440):
 Steps 1-2 are Spark aggregates: rows are first counted per combination of
 all binned columns (partial aggregation), the column pairs are exploded from
 those combinations and aggregated again, so each shuffle carries at most
-(number of category combinations) rows per task whatever the data size. Steps 3-6
-work on one pair's contingency table at a time (bounded by the category
-counts, never by the row count) in a grouped pandas function.
+(number of category combinations) rows per task whatever the data size.
+Steps 3-5 are aggregates too (marginals joined back to the cells, sums per
+pair), so no pair's table is gathered into one task; only the root search
+of step 6 - one scalar per column pair, no row data - runs in a vectorised
+pandas UDF.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import add_equal_width_bin
+from ..functions import add_equal_width_bin, round_half_even
 
 # 48-point Gauss-Legendre rule on [-1, 1] (computed, not tabulated).
 _GL_X, _GL_W = np.polynomial.legendre.leggauss(48)
@@ -84,53 +86,34 @@ def contingency(binned: DataFrame, columns: Sequence[str], preaggregate: bool =
                .agg(F.sum("w").cast("long").alias("n")))
 
 
-PAIR_STATS_SCHEMA = T.StructType([
-    T.StructField("var_x", T.StringType()), T.StructField("var_y", T.StringType()),
-    T.StructField("n", T.LongType()), T.StructField("r", T.LongType()),
-    T.StructField("k", T.LongType()), T.StructField("chi2", T.DoubleType()),
-    T.StructField("pedestal", T.LongType()), T.StructField("chi2_max", T.LongType()),
-    T.StructField("phik", T.DoubleType()),
-])
+def pair_chi2(cells: DataFrame, digits: int = 6, materialize: bool = True) -> DataFrame:
+    """Per pair: N, r, k, Pearson chi2, pedestal and chi2_max (steps 2-5),
+    all as aggregates: no pair's table is ever gathered into one task.
 
-
-def _round_half_even(x: float, digits: int) -> float:
-    scale = float(10 ** digits)
-    return float(np.rint(x * scale) / scale)
-
-
-def _pair_stats(digits: int, solve: bool):
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = pdf["n"].to_numpy(dtype="float64")
-        tot = n.sum()
-        nx = pdf.groupby("val_x")["n"].transform("sum").to_numpy(dtype="float64")
-        ny = pdf.groupby("val_y")["n"].transform("sum").to_numpy(dtype="float64")
-        r, k = int(pdf["val_x"].nunique()), int(pdf["val_y"].nunique())
-        chi2 = _round_half_even(float((n * n * tot / (nx * ny)).sum() - tot), digits)
-        ped = max((r - 1) * (k - 1), 0)
-        rho = phik_from_chi2(chi2, tot, r, k, ped) if solve else None
-        return pd.DataFrame([{
-            "var_x": pdf["var_x"].iloc[0], "var_y": pdf["var_y"].iloc[0], "n": int(tot),
-            "r": r, "k": k, "chi2": chi2, "pedestal": ped, "chi2_max": int(tot * (min(r, k) - 1)),
-            "phik": None if rho is None else _round_half_even(rho, digits),
-        }])
-    return fn
-
-
-def pair_stats(cells: DataFrame, digits: int = 6, solve: bool = True) -> DataFrame:
-    """Per pair: N, r, k, Pearson chi2, pedestal, chi2_max and phi_k (steps 2-6).
-
-    Each group is one pair's contingency table: its size is bounded by the
-    product of the two columns' category counts, not by the data, so the
-    per-pair arithmetic and the root search run in one grouped pandas call
-    after a single exchange of the (small) cell table.
+    Row and column marginals are grouped sums joined back to the cells;
+    per-pair totals and category counts have one row per column pair (at
+    most columns^2 rows, so they are broadcast).
     """
-    return cells.groupBy("var_x", "var_y").applyInPandas(_pair_stats(digits, solve),
-                                                         PAIR_STATS_SCHEMA)
-
-
-def pair_chi2(cells: DataFrame, digits: int = 6) -> DataFrame:
-    """Per pair: N, r, k, Pearson chi2, pedestal and chi2_max (steps 2-5)."""
-    return pair_stats(cells, digits, solve=False).drop("phik")
+    pk = ["var_x", "var_y"]
+    if materialize:
+        # the cell table feeds four branches: compute it once (reliable checkpoint)
+        cells = cells.checkpoint(eager=True)
+    nx = cells.groupBy(*pk, "val_x").agg(F.sum("n").alias("nx"))
+    ny = cells.groupBy(*pk, "val_y").agg(F.sum("n").alias("ny"))
+    per_pair = (nx.groupBy(*pk).agg(F.sum("nx").alias("tot"), F.count(F.lit(1)).alias("r"))
+                  .join(ny.groupBy(*pk).agg(F.count(F.lit(1)).alias("k")), pk))
+    j = (cells.join(nx, [*pk, "val_x"]).join(ny, [*pk, "val_y"])
+              .join(F.broadcast(per_pair.select(*pk, "tot")), pk))
+    s = j.groupBy(*pk).agg(F.sum(F.col("n").cast("double") * F.col("n") * F.col("tot")
+                                 / (F.col("nx").cast("double") * F.col("ny"))).alias("s"))
+    per = s.join(F.broadcast(per_pair), pk)
+    chi2 = F.col("s") - F.col("tot")
+    ped = F.greatest((F.col("r") - 1) * (F.col("k") - 1), F.lit(0))
+    return per.select(*pk, F.col("tot").cast("long").alias("n"), F.col("r").cast("long"),
+                      F.col("k").cast("long"),
+                      round_half_even(chi2, digits).alias("chi2"),
+                      ped.cast("long").alias("pedestal"),
+                      (F.col("tot") * (F.least(F.col("r"), F.col("k")) - 1)).cast("long").alias("chi2_max"))
 
 
 def _phi(x: np.ndarray) -> np.ndarray:
@@ -190,11 +173,28 @@ def phik_from_chi2(chi2: float, n: float, r: int, k: int, pedestal: float,
     return 0.5 * (lo + hi)
 
 
+def _round_half_even(x: float, digits: int) -> float:
+    scale = float(10 ** digits)
+    return float(np.rint(x * scale) / scale)
+
+
+@F.pandas_udf(T.DoubleType())
+def _phik_udf(chi2: pd.Series, n: pd.Series, r: pd.Series, k: pd.Series,
+              ped: pd.Series) -> pd.Series:
+    out = []
+    for a, b, c, d, e in zip(chi2, n, r, k, ped):
+        rho = phik_from_chi2(float(a), float(b), int(c), int(d), float(e))
+        out.append(None if rho is None else _round_half_even(rho, 6))
+    return pd.Series(out, dtype="float64")
+
+
 def phik_pairs(df: DataFrame, columns: Sequence[str],
                interval_bins: Mapping[str, int] | None = None, digits: int = 6) -> DataFrame:
     """phi_k of every unordered column pair with its chi2 statistics."""
     binned = binned_columns(df, columns, interval_bins)
-    return pair_stats(contingency(binned, columns), digits)
+    stats = pair_chi2(contingency(binned, columns), digits)
+    # one row per column pair: the root search is the only Python step
+    return stats.withColumn("phik", _phik_udf("chi2", "n", "r", "k", "pedestal"))
 
 
 def phik_matrix(df: DataFrame, columns: Sequence[str],
