@@ -52,6 +52,7 @@ class Study:
     materialize: bool | str = False  # False, "cache", "checkpoint" (True) or "parquet"
     source_dir: str | None = None    # folder of the raw tables, when read from files
     purchases_mode: str | None = None  # override of `materialize` for the cleaned purchases
+    profile_mode: str | None = None    # override of `materialize` for the profile
 
     @classmethod
     def from_fixtures(cls, spark: SparkSession, sf_dir: str, **kw) -> Study:
@@ -86,6 +87,12 @@ class Study:
             # Kept on the executors (memory, spilling to disk); a lost block is
             # recomputed from the lineage.
             return df.persist(StorageLevel.MEMORY_AND_DISK)
+        if mode == "cache_eager":
+            # As "cache", filled by one job now so that concurrent branches
+            # (subqueries) of the next query all read it.
+            kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+            kept.count()
+            return kept
         return df
 
     @cached_property
@@ -122,7 +129,8 @@ class Study:
     @cached_property
     def profile(self) -> DataFrame:
         """Profile over the cleaned purchases (uncut)."""
-        return self._keep(customer_profile(self.clean, gap_method=self.params.neighbor_method), "profile")
+        return self._keep(customer_profile(self.clean, gap_method=self.params.neighbor_method), "profile",
+                          self.profile_mode)
 
     @cached_property
     def profile_f(self) -> DataFrame:
