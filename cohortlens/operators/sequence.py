@@ -10,7 +10,7 @@ holding a third of the data would be processed by a single core. The default
    inside the partition;
 3. only the first / last row of each partition can have its neighbour in
    another partition. For a row-level result (``neighbor_value``) the sorted
-   ranges are checkpointed so that two branches see the same partitions; an
+   ranges are materialised once so that two branches see the same partitions; an
    aggregate over the stored partitions gives the edge rows (two per
    partition), a window over those at most 2·P rows pairs each edge with the
    next non-empty partition, and the at most P-1 fixes are broadcast-joined
@@ -28,6 +28,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,12 +97,19 @@ def _scan_partition(key: str, value: str, out: str, direction: str):
 
 def neighbor_value(df: DataFrame, key: str, order: Sequence[str], value: str,
                    direction: str = "next", out: str | None = None,
-                   method: str = "range", num_partitions: int | None = None) -> DataFrame:
+                   method: str = "range", num_partitions: int | None = None,
+                   keep: str = "cache") -> DataFrame:
     """Add ``out`` = ``value`` of the next (or previous) row with the same ``key``
     in ``order``; null for the last (first) row of a key.
 
     ``order`` must make rows unique within a key (add a tiebreak column).
     Null keys are kept and never have a neighbour.
+
+    ``keep`` says how the sorted ranges are held for the two branches that
+    read them: ``"cache"`` (persisted and filled by one job; a lost block is
+    rebuilt through the same shuffle dependency, whose range bounds are fixed,
+    so partitions stay identical) or ``"checkpoint"`` (reliable checkpoint in
+    ``spark.checkpoint.dir``, cuts the lineage).
     """
     if direction not in ("next", "prev"):
         raise ValueError("direction must be 'next' or 'prev'")
@@ -115,11 +123,15 @@ def neighbor_value(df: DataFrame, key: str, order: Sequence[str], value: str,
         raise ValueError("method must be 'range' or 'window'")
 
     value_type = df.schema[value].dataType
-    # Materialise the sorted ranges once (reliable checkpoint in spark.checkpoint.dir):
-    # both branches below must see the very same partitions, and a range
-    # exchange executed twice may sample different bounds.
-    rp = (_ranges(df, [key, *order], num_partitions).sortWithinPartitions(key, *order)
-            .checkpoint(eager=True))
+    # Materialise the sorted ranges once: both branches below must see the very
+    # same partitions, and a range exchange executed twice may sample
+    # different bounds.
+    rp = _ranges(df, [key, *order], num_partitions).sortWithinPartitions(key, *order)
+    if keep == "checkpoint":
+        rp = rp.checkpoint(eager=True)
+    else:
+        rp = rp.persist(StorageLevel.MEMORY_AND_DISK)
+        rp.count()
 
     out_schema = T.StructType(df.schema.fields + [T.StructField(out, value_type, True)])
     scanned = rp.mapInPandas(_scan_partition(key, value, out, direction), out_schema)
