@@ -53,12 +53,20 @@ class Study:
     source_dir: str | None = None    # folder of the raw tables, when read from files
     purchases_mode: str | None = None  # override of `materialize` for the cleaned purchases
     profile_mode: str | None = None    # override of `materialize` for the profile
+    _kept: list = field(default_factory=list, repr=False)
 
     @classmethod
     def from_fixtures(cls, spark: SparkSession, sf_dir: str, **kw) -> Study:
         prepare(spark)
         return cls(spark, load_snowflake(spark, sf_dir), source_dir=sf_dir, **kw)
 
+    def release(self) -> None:
+        """Unpersist what this study kept on the executors (results already
+        collected or written stay valid)."""
+        for df in self._kept:
+            df.unpersist()
+        self._kept.clear()
+
     def validate(self) -> Study:
         """Fail if a dimension key or a (day, currency) rate repeats: a repeated
         key would silently multiply purchases in the left joins (§1.2). One
@@ -86,11 +94,14 @@ class Study:
         if mode == "cache":
             # Kept on the executors (memory, spilling to disk); a lost block is
             # recomputed from the lineage.
-            return df.persist(StorageLevel.MEMORY_AND_DISK)
+            kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+            self._kept.append(kept)
+            return kept
         if mode == "cache_eager":
             # As "cache", filled by one job now so that concurrent branches
             # (subqueries) of the next query all read it.
             kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+            self._kept.append(kept)
             kept.count()
             return kept
         return df

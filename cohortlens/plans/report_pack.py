@@ -45,5 +45,8 @@ def run_study_from_files(spark: SparkSession, sf_dir: str, out_dir: str | None,
                                 materialize="checkpoint")
     _ = study.profile  # cleaned purchases and profile are checkpointed here
     times = {"__materialize": round(time.perf_counter() - t0, 3)}
-    times.update(run_reports(study, out_dir))
+    try:
+        times.update(run_reports(study, out_dir))
+    finally:
+        study.release()
     return times
