@@ -98,7 +98,7 @@ def _scan_partition(key: str, value: str, out: str, direction: str):
 def neighbor_value(df: DataFrame, key: str, order: Sequence[str], value: str,
                    direction: str = "next", out: str | None = None,
                    method: str = "range", num_partitions: int | None = None,
-                   keep: str = "cache") -> DataFrame:
+                   keep: str = "checkpoint") -> DataFrame:
     """Add ``out`` = ``value`` of the next (or previous) row with the same ``key``
     in ``order``; null for the last (first) row of a key.
 
@@ -106,10 +106,12 @@ def neighbor_value(df: DataFrame, key: str, order: Sequence[str], value: str,
     Null keys are kept and never have a neighbour.
 
     ``keep`` says how the sorted ranges are held for the two branches that
-    read them: ``"cache"`` (persisted and filled by one job; a lost block is
-    rebuilt through the same shuffle dependency, whose range bounds are fixed,
-    so partitions stay identical) or ``"checkpoint"`` (reliable checkpoint in
-    ``spark.checkpoint.dir``, cuts the lineage).
+    read them: ``"checkpoint"`` (default: reliable checkpoint in
+    ``spark.checkpoint.dir``; the stored partitions can never change) or
+    ``"cache"`` (persisted and filled by one job, faster on small data; an
+    evicted block is rebuilt through the same shuffle dependency with fixed
+    range bounds, but an explicit unpersist / clearCache would re-plan two
+    independent range exchanges, so only use it when the cache is kept).
     """
     if direction not in ("next", "prev"):
         raise ValueError("direction must be 'next' or 'prev'")
