@@ -61,3 +61,11 @@ def test_default_ranges_with_aqe_coalescing(spark):
         assert got[-1][1] == ev.where("user_id = -1").count() - 1
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_neighbor_survives_cleared_cache(spark):
+    ev = skewed_events(spark)
+    a = neighbor_value(ev, "user_id", ["ts", "event_id"], "ts", "prev", "nb", num_partitions=16)
+    first = a.where("nb IS NOT NULL").count()
+    spark.catalog.clearCache()
+    assert a.where("nb IS NOT NULL").count() == first == ev.count() - ev.select("user_id").distinct().count()
