@@ -4,10 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, simhash
+from . import bpe, exact_dedup, simhash, token_store
 from .common import read_documents
 
 
+WORD_BPE = "word_bpe_49k.json"
+BYTE_BPE = "byte_bpe_50k.json"
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_digests(read_documents(spark, sf_dir, "doc_id", "text"), tokenizer_path(WORD_BPE))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_components(read_documents(spark, sf_dir, "doc_id", "text"), width=3, radius=3)
 
@@ -16,9 +30,17 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read_documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_store.store_path(spark)
+    token_store.write_token_store(read_documents(spark, sf_dir, "doc_id", "text"), path, tokenizer_path(BYTE_BPE), end_id=2)
+    return token_store.stream_index(token_store.read_token_store(spark, path))
+
+
 QUERIES = {
+    "op1_bpe": op1_bpe,
     "op5_simhash": op5_simhash,
     "op6_exact_dedup": op6_exact_dedup,
+    "op10_token_store": op10_token_store,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
