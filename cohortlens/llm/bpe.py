@@ -15,6 +15,7 @@ import hashlib
 import os
 import re
 import uuid
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -114,12 +115,12 @@ def _encode_words(path: str):
             known = {last_word: last_ids} if last_word is not None and words and words[0] == last_word else {}
             new = [w for w in words if w not in known]
             for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[w] = np.array(e.ids, np.uint32)
+                known[w] = array("I", e.ids).tobytes()
             if words:
                 last_word, last_ids = words[-1], known[words[-1]]
             lists = [known[w] for w in words]
-            lengths = np.array([len(x) for x in lists], np.int64)
-            flat = np.concatenate(lists) if lists else np.zeros(0, np.uint32)
+            lengths = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
+            flat = np.frombuffer(b"".join(lists), np.uint32)
             codes = coded.indices.to_numpy()
             block, idx = b.column(0).to_numpy(), b.column(1).to_numpy()
             order = np.argsort(block, kind="stable")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, simhash, token_store
+from . import bpe, exact_dedup, fingerprints, pii, secrets, simhash, token_store
 from .common import read_documents
 
 
@@ -22,6 +22,14 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(read_documents(spark, sf_dir, "doc_id", "text"), tokenizer_path(WORD_BPE))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(read_documents(spark, sf_dir, "doc_id", "text"))
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(read_documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_components(read_documents(spark, sf_dir, "doc_id", "text"), width=3, radius=3)
 
@@ -30,6 +38,14 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read_documents(spark, sf_dir, "doc_id", "text"))
 
 
+#: a deployment passes its own key, kept outside the code
+QUERY_KEY = "query-key-not-secret"
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(read_documents(spark, sf_dir, "doc_id", "text"), key=QUERY_KEY)
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_store.store_path(spark)
     token_store.write_token_store(read_documents(spark, sf_dir, "doc_id", "text"), path, tokenizer_path(BYTE_BPE), end_id=2)
@@ -38,8 +54,11 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op3_secrets": op3_secrets,
+    "op4_fingerprints": op4_fingerprints,
     "op5_simhash": op5_simhash,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_pii": op9_pii,
     "op10_token_store": op10_token_store,
 }
 

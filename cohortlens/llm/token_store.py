@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,7 @@ class PieceEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}  # ids as unsigned 32-bit integers
 
     def slow_pieces(self, text: str) -> list[str]:
         """The library's own pieces of a text, special tokens apart."""
@@ -54,25 +56,32 @@ class PieceEncoder:
                 out += [part[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(part)]
         return out
 
-    def lists(self, values: list[str]) -> list[np.ndarray]:
-        if len(self.known) > CACHE_PIECES:
-            self.known.clear()
-        new = [v for v in values if v not in self.known]
+    def lists(self, values: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Concatenated ids of distinct pieces, and the number of each."""
+        known = self.known
+        if len(known) > CACHE_PIECES:
+            known.clear()
+        new = [v for v in values if v not in known]
         for v, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[v] = np.array(e.ids, np.uint32)
-        return [self.known[v] for v in values]
+            known[v] = array("I", e.ids).tobytes()
+        found = [known[v] for v in values]
+        return np.frombuffer(b"".join(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)) // 4
 
     def encode(self, texts: pa.Array, last: int) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all rows, each row followed by ``last``, and the rows' ends."""
         pieces = all_rows(texts, spaced_pieces, self.slow_pieces)
-        lists = self.lists(pieces.values)
-        lengths = np.array([len(x) for x in lists], np.int64)
-        flat = np.concatenate(lists) if lists else np.zeros(0, np.uint32)
+        flat, lengths = self.lists(pieces.values)
         ids, piece_ends = ragged_take(flat, lengths, pieces.codes)
         row_ends = np.concatenate([[0], piece_ends])[pieces.ends[1:]]
         return np.insert(ids, row_ends, last), row_ends + np.arange(1, len(row_ends) + 1)
 
 
+@lru_cache(maxsize=2)
+def worker_encoder(path: str) -> PieceEncoder:
+    """One encoder per Python worker, so later tasks start with its known pieces."""
+    return PieceEncoder(path)
+
+
 def write_token_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int,
                       ranges: int | None = None) -> None:
     """Write ``doc_id, range_id, seq, ids`` as ORC at ``path``.
@@ -86,7 +95,7 @@ def write_token_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, part, seq = PieceEncoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        encoder, part, seq = worker_encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         for b in batches:
             for i, j in row_slices(b.column(1)):
                 ids, ends = encoder.encode(b.column(1).slice(i, j - i), end_id)
