@@ -109,6 +109,7 @@ def _encode_words(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load_tokenizer(path)
         last_word, last_ids = None, None
+        pack = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
             coded = b.column(2).dictionary_encode()
             words = coded.dictionary.to_pylist()
@@ -128,8 +129,8 @@ def _encode_words(path: str):
             rows = []
             for mine in np.split(order, cuts) if len(order) else []:
                 ids, _ = ragged_take(flat, lengths, codes[mine])
-                rows.append((int(block[mine[0]]), idx[mine].astype(np.uint32).tobytes(),
-                             lengths[codes[mine]].astype(np.uint32).tobytes(), ids.tobytes()))
+                rows.append((int(block[mine[0]]), pack(idx[mine].astype(np.uint32).tobytes()),
+                             pack(lengths[codes[mine]].astype(np.uint32).tobytes()), pack(ids.tobytes())))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), *[pa.binary()] * 3))],
                 names=["block", "idx", "sizes", "ids"])
@@ -144,18 +145,19 @@ def _restore(path: str, finish: Callable, names: list[str]):
         tokenizer = load_tokenizer(path)
         pieces = np.array([tokenizer.id_to_token(i) for i in range(tokenizer.get_vocab_size())], object)
 
+        unpack = zstandard.ZstdDecompressor()
+
         def joined(column: str) -> np.ndarray:
-            return np.frombuffer(b"".join(answers.column(column).to_pylist()), np.uint32)
+            return np.frombuffer(b"".join(map(unpack.decompress, answers.column(column).to_pylist())), np.uint32)
 
         idx, sizes, flat = joined("idx"), joined("sizes").astype(np.int64), joined("ids")
         ends = np.cumsum(sizes)
         n = int(idx.max()) + 1 if len(idx) else 0
         lengths, starts = np.zeros(n, np.int64), np.zeros(n, np.int64)
         lengths[idx], starts[idx] = sizes, ends - sizes
-        unpack = zstandard.ZstdDecompressor()
         rows = []
         for packed in docs.column("seq"):
-            seq = np.frombuffer(unpack.decompress(packed.as_py(), max_output_size=1 << 31), np.uint32)
+            seq = np.frombuffer(unpack.decompress(packed.as_py()), np.uint32)
             parts = []
             for at in range(0, len(seq), 1 << 20):
                 some = seq[at:at + (1 << 20)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, fingerprints, pii, secrets, simhash, token_store
+from . import bpe, exact_dedup, fingerprints, langid, mixing, pii, quality, secrets, simhash, token_store
 from .common import read_documents
 
 
@@ -22,6 +22,17 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(read_documents(spark, sf_dir, "doc_id", "text"), tokenizer_path(WORD_BPE))
 
 
+def domain_labels(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, domain``: the language of the documents that the ``labels`` table covers."""
+    covered = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet").select("doc_id")
+    return docs.select("doc_id", docs["lang"].alias("domain")).join(covered, "doc_id", "left_semi")
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir, "doc_id", "text", "lang")
+    return mixing.mixing_rates(docs, domain_labels(spark, docs, sf_dir))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(read_documents(spark, sf_dir, "doc_id", "text"))
 
@@ -38,6 +49,16 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read_documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir, "doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet").select("doc_id", "quality")
+    return quality.score_documents(docs, quality.fit(docs, labels))
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read_documents(spark, sf_dir, "doc_id", "text", "lang"))
+
+
 #: a deployment passes its own key, kept outside the code
 QUERY_KEY = "query-key-not-secret"
 
@@ -54,10 +75,13 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_mixing": op2_mixing,
     "op3_secrets": op3_secrets,
     "op4_fingerprints": op4_fingerprints,
     "op5_simhash": op5_simhash,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_quality": op7_quality,
+    "op8_langid": op8_langid,
     "op9_pii": op9_pii,
     "op10_token_store": op10_token_store,
 }
