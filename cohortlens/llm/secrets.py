@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 # The base patterns and their minimum lengths.
 ASSIGN = (r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = r"AKIA[A-Z0-9]{12,}"  # 16 or more characters of AKIA[A-Z0-9]+
@@ -110,7 +112,7 @@ def scan_secrets(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", te
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.xxhash64("text"))
-    found = _found(rows)
+    found = materialise(_found(rows), "secret-parts")
     spans = found.where(F.col("kind").isin(*BASE_KINDS)).unionByName(_linked(found, scope))
     rank = F.create_map(*[F.lit(x) for i, k in enumerate(KIND_ORDER) for x in (k, i)])[F.col("kind")]
     label = F.concat_ws(":", "kind", F.col("start").cast("string"), F.col("stop").cast("string"))
