@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import add_equal_width_bin, bin_edge, round_half_even
-from .quantile import exact_quantiles, high_cardinality
+from .quantile import exact_quantiles
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
            T.DoubleType, T.DecimalType)
@@ -29,38 +29,25 @@ def numeric_columns(df: DataFrame) -> list[str]:
 QUARTILES = (0.25, 0.5, 0.75)
 
 
-def quartiles(df: DataFrame, cols: list[str], method: str = "auto") -> dict[str, tuple[Column, bool]]:
-    """Exact quartiles per column as an array column and whether it is an
-    aggregate: Spark's ``percentile`` for bounded-cardinality columns,
-    literals from the distributed scan (``exact_quantiles``) for
-    high-cardinality ones."""
-    scan = set(cols) if method == "scan" else (
-        high_cardinality(df, cols) if method == "auto" else set())
-    found = exact_quantiles(df, [(c, q) for c in sorted(scan) for q in QUARTILES]) if scan else {}
-    out = {}
-    for c in cols:
-        if c in scan:
-            out[c] = (F.array(*[F.lit(found[(c, q)]).cast("double") for q in QUARTILES]), False)
-        else:
-            out[c] = (F.percentile(F.col(c).cast("double"), F.array(*[F.lit(q) for q in QUARTILES])), True)
-    return out
-
-
-def describe(df: DataFrame, columns: Sequence[str] | None = None, digits: int = 6,
-             quantile_method: str = "auto") -> DataFrame:
+def quartiles(df: DataFrame, cols: list[str]) -> dict[str, Column]:
+    """Exact quartiles per column as an array of literals, all columns in the same passes."""
+    found = exact_quantiles(df, [(c, q) for c in cols for q in QUARTILES])
+    return {c: F.array(*[F.lit(found[(c, q)]).cast("double") for q in QUARTILES]) for c in cols}
+
+
+def describe(df: DataFrame, columns: Sequence[str] | None = None, digits: int = 6) -> DataFrame:
     """count, mean, sample std, min, exact 25/50/75 % (linear interpolation)
     and max per numeric column, one row per column (A10). Unlike
-    ``DataFrame.summary`` the percentiles are exact; high-cardinality columns
-    (ids, money at scale) get them from the distributed scan instead of a
-    one-task buffer."""
+    ``DataFrame.summary`` the percentiles are exact and come from
+    bounded passes shared by all columns (``exact_quantiles``)."""
     cols = list(columns) if columns is not None else numeric_columns(df)
-    qexpr = quartiles(df, cols, quantile_method)
+    qexpr = quartiles(df, cols)
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"),
                  F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"lo{i}"),
-                 (qexpr[c][0] if qexpr[c][1] else F.first(qexpr[c][0])).alias(f"q{i}"),
+                 F.first(qexpr[c]).alias(f"q{i}"),
                  F.max(x).alias(f"hi{i}")]
     one = df.agg(*aggs)
     rows = F.array(*[
@@ -147,14 +134,12 @@ def revenue_histogram(profile_f: DataFrame, bins: int = 70, shared_bins: bool =
                      density=density, groups_bounded=True)
 
 
-def box_stats(df: DataFrame, column: str, whisker: float = 1.5, digits: int = 6,
-              quantile_method: str = "auto") -> DataFrame:
+def box_stats(df: DataFrame, column: str, whisker: float = 1.5, digits: int = 6) -> DataFrame:
     """Box-plot numbers (H2): quartiles (exact, linear), whiskers at the most
     extreme points within ``whisker`` x IQR of the box, and outlier counts."""
     x = F.col(column).cast("double")
     data = df.where(x.isNotNull())
-    qcol, is_agg = quartiles(data, [column], quantile_method)[column]
-    qs = data.agg(qcol.alias("q")).scalar() if is_agg else qcol
+    qs = quartiles(data, [column])[column]
     q1, med, q3 = qs[0], qs[1], qs[2]
     iqr = q3 - q1
     lo_f, hi_f = q1 - F.lit(whisker) * iqr, q3 + F.lit(whisker) * iqr

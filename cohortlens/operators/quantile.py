@@ -1,24 +1,17 @@
 """Quantiles and upper-bound cuts.
 
-``method="exact"`` is Spark's ``percentile``: linear interpolation between the
-two neighbouring ranks, the same definition as pandas' default quantile
-(Q5). Its buffer holds one entry per *distinct* value and is merged in one
-task, so it suits columns with bounded cardinality (order counts).
-
-``method="scan"`` gives the same number without that single-task buffer:
-it narrows down on the wanted rank with a few passes, each one grouped count
-over at most ``buckets`` equal-width buckets (partially aggregated, so every
-task ships at most ``buckets`` rows), and only the final handful of values
-(at most ``final_rows``) reaches the driver. Each pass shrinks the
-candidates by about ``buckets``x, so 10^12 rows take about four passes; a
-value repeated a billion times ends the search at once.
-
-``method="auto"`` measures the distinct count with a HyperLogLog sketch and
-uses ``exact`` below ``auto_distinct`` distinct values, ``scan`` above.
-``method="approx"`` is ``percentile_approx`` (constant memory, rank error).
-
-The cut compares against a scalar subquery: the threshold is computed by one
-aggregate and read by the filter, no join and no driver round trip.
+One exact path at every size, with the linear interpolation between the two
+neighbouring ranks that pandas uses by default (Q5). Each round puts narrow
+brackets (``percentile_approx``, a bounded sketch) around the wanted ranks and
+counts, in a second partial aggregation, the rows below and at each bracket
+end. A rank then either stands at a bracket end, and is found, or lies strictly
+between two ends, and the next round looks there only. A round leaves about
+4 / ``accuracy`` of the rows between the ends, and the ends themselves never
+come back, so a value repeated a billion times costs nothing and the search
+ends on any input: 10^12 rows take about four rounds. All ranks of all columns
+share the rounds; two numbers per bracket end reach the driver.
+
+Nulls and NaN are skipped; infinities are values like any other.
 """
 
 from __future__ import annotations
@@ -30,6 +23,8 @@ from pyspark.sql import functions as F
 
 from ..functions import round_half_even
 
+ACCURACY = 10_000
+
 
 def _interpolate(lo_val: float, hi_val: float, pos: float) -> float:
     """Spark's percentile interpolation, term for term."""
@@ -39,148 +34,89 @@ def _interpolate(lo_val: float, hi_val: float, pos: float) -> float:
     return (higher - pos) * lo_val + (pos - lower) * hi_val
 
 
-def exact_quantiles(df: DataFrame, targets: list[tuple[str, float]], buckets: int = 4096,
-                    final_rows: int = 4096) -> dict[tuple[str, float], float | None]:
-    """Exact ``percentile(column, q)`` for every ``(column, q)`` target, without
-    a per-distinct-value buffer.
-
-    Each wanted rank keeps a value window ``[lo, hi]`` and the count of values
-    below it. One aggregate per pass serves all open ranks: rows inside a
-    rank's window are tagged with that rank's equal-width bucket and counted
-    (partial aggregation; at most ``buckets`` rows per rank leave a task).
-    Bucketing is monotone in the value, so the bucket holding the rank has
-    exact counts and bounds, and becomes the next window. A window with at
-    most ``final_rows`` values is finished with an ordered ``limit``.
-    """
-    cols = sorted({c for c, _ in targets})
-    xs = {c: F.col(c).cast("double") for c in cols}
-    head = df.agg(*[a for i, c in enumerate(cols) for a in (
-        F.count(xs[c]).alias(f"n{i}"), F.min(xs[c]).alias(f"lo{i}"), F.max(xs[c]).alias(f"hi{i}"))]
-    ).collect()[0]
-    n_of = {c: head[f"n{i}"] for i, c in enumerate(cols)}
-    state: dict[tuple[str, int], dict] = {}
-    for c, q in targets:
-        n = n_of[c]
-        if not n:
-            continue
-        pos = (n - 1) * q
-        for k in {math.floor(pos), math.ceil(pos)}:
-            i = cols.index(c)
-            state.setdefault((c, k), {"lo": float(head[f"lo{i}"]), "hi": float(head[f"hi{i}"]),
-                                      "below": 0, "n": n, "value": None})
-    while True:
-        open_ = [key for key, st in state.items() if st["value"] is None]
-        if not open_:
-            break
-        big = []
-        for key in open_:
-            st = state[key]
-            c, k = key
-            if st["lo"] == st["hi"]:
-                st["value"] = st["lo"]
-            elif st["n"] - st["below"] <= final_rows:
-                x = xs[c]
-                vals = (df.where((x >= F.lit(st["lo"])) & (x <= F.lit(st["hi"])))
-                          .select(x.alias("v")).orderBy("v").limit(k - st["below"] + 1).collect())
-                st["value"] = float(vals[k - st["below"]][0])
-            else:
-                big.append(key)
-        if not big:
-            continue
-        tags = []
-        for j, key in enumerate(big):
-            st, x = state[key], xs[key[0]]
-            width = (st["hi"] - st["lo"]) / buckets
-            b = F.least(F.floor((x - F.lit(st["lo"])) / F.lit(width)).cast("long"), F.lit(buckets - 1))
-            tags.append(F.when((x >= F.lit(st["lo"])) & (x <= F.lit(st["hi"])),
-                               F.struct(F.lit(j).alias("r"), b.alias("b"), x.alias("v"))))
-        counted = (df.select(F.explode(F.array(*tags)).alias("t")).where(F.col("t").isNotNull())
-                     .groupBy("t.r", "t.b")
-                     .agg(F.count(F.lit(1)).alias("c"), F.min("t.v").alias("lo"), F.max("t.v").alias("hi"))
-                     .collect())  # at most len(big) * buckets rows
-        per_rank: dict[int, list] = {}
-        for row in counted:
-            per_rank.setdefault(row["r"], []).append(row)
-        for j, key in enumerate(big):
-            st, k = state[key], key[1]
-            acc = st["below"]
-            for row in sorted(per_rank[j], key=lambda r: r["b"]):
-                if acc + row["c"] > k:
-                    st.update(below=acc, lo=float(row["lo"]), hi=float(row["hi"]), n=acc + row["c"])
-                    break
-                acc += row["c"]
-    out: dict[tuple[str, float], float | None] = {}
-    for c, q in targets:
-        n = n_of[c]
-        if not n:
-            out[(c, q)] = None
-            continue
-        pos = (n - 1) * q
-        lo_v = state[(c, math.floor(pos))]["value"]
-        hi_v = state[(c, math.ceil(pos))]["value"]
-        out[(c, q)] = _interpolate(lo_v, hi_v, pos)
-    return out
-
-
-def scan_quantile(df: DataFrame, column: str, q: float, buckets: int = 4096,
-                  final_rows: int = 4096) -> float | None:
-    """Exact ``percentile(column, q)`` without a per-distinct-value buffer."""
-    return exact_quantiles(df, [(column, q)], buckets, final_rows)[(column, q)]
-
+def _number(column: str) -> Column:
+    x = F.col(column).cast("double")
+    return F.when(~F.isnan(x), x)
 
-def high_cardinality(df: DataFrame, columns: list[str], limit: int = 2_000_000) -> set[str]:
-    """Columns whose HyperLogLog distinct count exceeds ``limit`` (one pass)."""
-    if not columns:
-        return set()
-    row = df.agg(*[F.approx_count_distinct(F.col(c).cast("double"), 0.05).alias(f"d{i}")
-                   for i, c in enumerate(columns)]).collect()[0]
-    return {c for i, c in enumerate(columns) if row[f"d{i}"] > limit}
 
+def _inside(key: tuple) -> Column:
+    """Values of the column strictly between the ends of a search interval."""
+    column, lo, hi = key
+    x = _number(column)
+    if lo is not None:
+        x = F.when(x > F.lit(lo), x)
+    return x if hi is None else F.when(x < F.lit(hi), x)
 
-def resolve_method(df: DataFrame, column: str, method: str, auto_distinct: int = 2_000_000) -> str:
-    if method != "auto":
-        return method
-    return "scan" if high_cardinality(df, [column], auto_distinct) else "exact"
 
+def _positions(ranks: list[int], n: int, accuracy: int) -> list[float]:
+    """Shares at (or, beyond the sketch's resolution, around) each rank."""
+    slack = 0 if n <= accuracy else 2 * math.ceil(n / accuracy)
+    around = {min(max(r + d, 0), n - 1) for r in ranks for d in (-slack, slack)}
+    return [(r + 0.5) / n for r in sorted(around)]
 
-def quantile_expr(column: str, q: float = 0.99, method: str = "exact",
-                  accuracy: int = 100000) -> Column:
-    x = F.col(column).cast("double")
-    if method == "exact":
-        return F.percentile(x, F.lit(q))
-    if method == "approx":
-        return F.percentile_approx(x, F.lit(q), F.lit(accuracy)).cast("double")
-    raise ValueError("method must be 'exact' or 'approx'")
 
-
-def quantile_threshold(df: DataFrame, column: str, q: float = 0.99,
-                       method: str = "exact") -> DataFrame:
-    """One-row frame with the ``q`` quantile of ``column`` (nulls skipped)."""
-    return df.agg(quantile_expr(column, q, method).alias("threshold"))
+def exact_quantiles(df: DataFrame, targets: list[tuple[str, float]],
+                    accuracy: int = ACCURACY) -> dict[tuple[str, float], float | None]:
+    """Exact ``percentile(column, q)`` for every ``(column, q)`` target (None without a value)."""
+    cols = sorted({c for c, _ in targets})
+    head = df.agg(*[F.count(_number(c)) for c in cols]).first()
+    n_of = dict(zip(cols, head))
+    # search interval -> (rows at or below its lower end, rows inside, ranks wanted inside)
+    open_: dict[tuple, tuple[int, int, set[int]]] = {}
+    for c, q in targets:
+        if n_of[c]:
+            pos = (n_of[c] - 1) * q
+            open_.setdefault((c, None, None), (0, n_of[c], set()))[2].update({math.floor(pos), math.ceil(pos)})
+    found: dict[tuple[str, int], float] = {}
+    while open_:
+        keys = list(open_)
+        sketched = df.agg(*[
+            F.percentile_approx(_inside(k), _positions([r - open_[k][0] for r in open_[k][2]], open_[k][1], accuracy),
+                                accuracy) for k in keys]).first()
+        ends = [sorted(set(s)) for s in sketched]
+        counts = iter(df.agg(*[
+            a for k, es in zip(keys, ends) for e in es
+            for a in (F.count_if(_inside(k) < F.lit(e)), F.count_if(_inside(k) == F.lit(e)))]).first())
+        following: dict[tuple, tuple[int, int, set[int]]] = {}
+        for key, es in zip(keys, ends):
+            (c, lo, hi), (below, n, ranks) = key, open_[key]
+            marks = [(e, below + next(counts), next(counts)) for e in es]
+            for rank in ranks:
+                left, seen, right, until = lo, below, hi, below + n
+                for e, less, equal in marks:
+                    if less <= rank < less + equal:
+                        found[(c, rank)] = float(e)
+                        break
+                    if rank < less:
+                        right, until = e, less
+                        break
+                    left, seen = e, less + equal
+                if (c, rank) not in found:
+                    following.setdefault((c, left, right), (seen, until - seen, set()))[2].add(rank)
+        open_ = following
+    out: dict[tuple[str, float], float | None] = {}
+    for c, q in targets:
+        pos = (n_of[c] - 1) * q
+        out[(c, q)] = _interpolate(found[(c, math.floor(pos))], found[(c, math.ceil(pos))], pos) if n_of[c] else None
+    return out
 
 
-def threshold_scalar(df: DataFrame, column: str, q: float = 0.99, method: str = "exact") -> Column:
-    """The threshold as a column: a scalar subquery, or a literal found by
-    ``scan`` (small driver-side loop over bounded aggregates)."""
-    method = resolve_method(df, column, method)
-    if method == "scan":
-        v = scan_quantile(df, column, q)
-        return F.lit(v).cast("double") if v is not None else F.lit(None).cast("double")
-    return quantile_threshold(df, column, q, method).scalar()
+def threshold_scalar(df: DataFrame, column: str, q: float = 0.99) -> Column:
+    """The ``q`` quantile as a literal (found by a few bounded aggregates when called)."""
+    return F.lit(exact_quantiles(df, [(column, q)])[(column, q)]).cast("double")
 
 
-def outlier_cut(df: DataFrame, column: str, q: float = 0.99, method: str = "exact") -> DataFrame:
-    """Rows with ``column <= quantile(q)``; null values are dropped (Q14)."""
-    thr = threshold_scalar(df, column, q, method)
-    return df.where(F.col(column).cast("double") <= thr)
+def outlier_cut(df: DataFrame, column: str, q: float = 0.99) -> DataFrame:
+    """Rows with ``column <= quantile(q)``; null and NaN values are dropped (Q14)."""
+    return df.where(_number(column) <= threshold_scalar(df, column, q))
 
 
-def outlier_volume(df: DataFrame, column: str, q: float = 0.99, method: str = "exact") -> DataFrame:
+def outlier_volume(df: DataFrame, column: str, q: float = 0.99) -> DataFrame:
     """Rows before and after the cut, and the share removed in % (2 dp)."""
-    thr = threshold_scalar(df, column, q, method)
+    thr = threshold_scalar(df, column, q)
     counted = df.agg(
         F.count(F.lit(1)).alias("rows_before"),
-        F.count_if(F.col(column).cast("double") <= thr).alias("rows_after"),
+        F.count_if(_number(column) <= thr).alias("rows_after"),
     )
     return counted.select(
         F.col("rows_before").cast("long"), F.col("rows_after").cast("long"),

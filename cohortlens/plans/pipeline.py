@@ -21,7 +21,7 @@ from functools import cached_property
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.extract import add_days_since_prev, extract_purchases, typed_purchases
+from ..operators.extract import STUDY_EXCLUDED_GENRE, add_days_since_prev, extract_purchases, typed_purchases
 from ..operators.fx import fx_normalise
 from ..operators.profile import customer_profile
 from ..operators.quantile import outlier_cut
@@ -34,13 +34,8 @@ from ..sources.fixtures import EXCLUDED_GENRE, Snowflake, load_snowflake
 class StudyParams:
     revenue_q: float = 0.99          # B11: percentile of the revenue cut
     orders_q: float = 0.99           # percentile of the profile cut
-    # Revenue is high-cardinality money: "auto" measures the distinct count and
-    # switches from Spark's percentile (one-task buffer) to the exact scan.
-    revenue_quantile_method: str = "auto"
-    # Order counts per user have few distinct values: Spark's percentile.
-    orders_quantile_method: str = "exact"
     neighbor_method: str = "range"   # "range" (skew-safe) or "window"
-    exclude_genre: str | None = EXCLUDED_GENRE
+    exclude_genre: str | None = STUDY_EXCLUDED_GENRE
     strict_fx: bool = False
 
 
@@ -58,6 +53,7 @@ class Study:
     @classmethod
     def from_fixtures(cls, spark: SparkSession, sf_dir: str, **kw) -> Study:
         prepare(spark)
+        kw.setdefault("params", StudyParams(exclude_genre=EXCLUDED_GENRE))  # the fixtures' own genre
         return cls(spark, load_snowflake(spark, sf_dir), source_dir=sf_dir, **kw)
 
     def release(self) -> None:
@@ -134,8 +130,7 @@ class Study:
     def clean(self) -> DataFrame:
         """Purchases with ``revenue_rub`` at or below its ``revenue_q`` quantile.
         ``days_since_prev`` is not carried: nothing after the cut uses it."""
-        return outlier_cut(self.fx_core, "revenue_rub", self.params.revenue_q,
-                           self.params.revenue_quantile_method)
+        return outlier_cut(self.fx_core, "revenue_rub", self.params.revenue_q)
 
     @cached_property
     def profile(self) -> DataFrame:
@@ -146,5 +141,4 @@ class Study:
     @cached_property
     def profile_f(self) -> DataFrame:
         """Profile cut at the ``orders_q`` percentile of ``total_orders_cnt``."""
-        return outlier_cut(self.profile, "total_orders_cnt", self.params.orders_q,
-                           self.params.orders_quantile_method)
+        return outlier_cut(self.profile, "total_orders_cnt", self.params.orders_q)

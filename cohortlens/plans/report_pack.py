@@ -41,7 +41,7 @@ def run_study_from_files(spark: SparkSession, sf_dir: str, out_dir: str | None,
                          params: StudyParams | None = None) -> dict[str, float]:
     """Materialise the pipeline once, then produce every report from it."""
     t0 = time.perf_counter()
-    study = Study.from_fixtures(spark, sf_dir, params=params or StudyParams(),
+    study = Study.from_fixtures(spark, sf_dir, **({"params": params} if params else {}),
                                 materialize="checkpoint")
     _ = study.profile  # cleaned purchases and profile are checkpointed here
     times = {"__materialize": round(time.perf_counter() - t0, 3)}

@@ -6,7 +6,6 @@ built by the caller and only missing settings are filled in here.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -52,8 +51,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int | None = None,
 def prepare(spark: SparkSession) -> SparkSession:
     """Pin the settings results depend on and make sure a checkpoint folder exists.
 
-    The checkpoint folder is read from ``spark.checkpoint.dir``; a local one is
-    only created when the session has none (tests, laptops).
+    The checkpoint folder is read from ``spark.checkpoint.dir``. Where that is
+    unset, a local master gets a temporary folder; on a cluster it is an error.
     """
     for k, v in REQUIRED_CONF.items():
         spark.conf.set(k, v)
@@ -68,18 +67,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="cohortlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
-
-
-def default_parallelism(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default

@@ -3,7 +3,6 @@ from .readers import (  # noqa: F401
     jdbc_options,
     read_jdbc_predicates,
     read_jdbc_table,
-    read_parquet_table,
     read_rates_csv,
     snowflake_from_jdbc,
     table_overview,

@@ -40,17 +40,9 @@ class Snowflake:
     rates: DataFrame
 
 
-_TABLES: dict[tuple[int, str, str], DataFrame] = {}
-
-
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Lazy parquet table; the DataFrame (a plan, no data) is kept per session
-    like a catalog entry so its schema is resolved once."""
-    key = (spark.sparkContext.applicationId, id(spark), sf_dir.rstrip("/"), name)
-    cached = _TABLES.get(key)
-    if cached is None or cached.sparkSession is not spark:
-        cached = _TABLES[key] = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return cached
+    """Lazy parquet table."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def purchases_from_orders(orders: DataFrame, lineitem: DataFrame) -> DataFrame:

@@ -13,7 +13,6 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import schemas
 
@@ -93,13 +92,15 @@ def snowflake_from_jdbc(spark: SparkSession, options: Mapping[str, str], rates_c
 
 
 def read_rates_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Daily exchange rates from CSV with a declared schema.
+    """Daily exchange rates from CSV.
 
-    Columns ``data, nominal, curs, cdx``; extra columns are ignored.
+    The header names the columns: ``data, nominal, curs, cdx`` in any order,
+    others are ignored, a missing one is an error.
     """
-    raw = (spark.read.option("header", True).option("mode", "FAILFAST")
-                .schema(T.StructType([T.StructField(f.name, T.StringType()) for f in schemas.RATES]))
-                .csv(path))
+    raw = spark.read.option("header", True).option("mode", "FAILFAST").csv(path)
+    missing = {f.name for f in schemas.RATES} - set(raw.columns)
+    if missing:
+        raise ValueError(f"rates file {path} has no column {', '.join(sorted(missing))}")
     return raw.select(
         F.to_timestamp_ntz(F.col("data")).alias("data"),
         F.col("nominal").cast("int").alias("nominal"),
@@ -108,10 +109,6 @@ def read_rates_csv(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_parquet_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
-
-
 def table_overview(df: DataFrame) -> DataFrame:
     """Per column: position, name, type, non-null count, and the row count.
 

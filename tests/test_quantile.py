@@ -1,72 +1,72 @@
-"""The scan quantile equals Spark's exact percentile, duplicates included."""
+"""The exact quantile search against Spark's percentile and brute force."""
 
 from __future__ import annotations
 
+import math
+import random
+
 import pytest
 from conftest import SF_MID
 from pyspark.sql import functions as F
 
-from cohortlens.operators.quantile import outlier_cut, quantile_threshold, scan_quantile
+from cohortlens.operators.quantile import exact_quantiles, outlier_cut
 from cohortlens.plans.pipeline import Study
 
+QS = [0.0, 0.01, 0.25, 0.5, 0.77, 0.99, 1.0]
+
+
+def percentile(df, column, q):
+    return df.agg(F.percentile(F.col(column).cast("double"), F.lit(q))).first()[0]
 
-@pytest.mark.parametrize("q", [0.0, 0.25, 0.5, 0.99, 1.0])
-def test_scan_equals_percentile_on_revenue(spark, q):
+
+# a small accuracy forces several rounds on small data; the path is the same
+@pytest.mark.parametrize("accuracy", [10_000, 20])
+def test_equals_percentile(spark, accuracy):
     fx = Study.from_fixtures(spark, SF_MID).fx_core
-    exact = quantile_threshold(fx, "revenue_rub", q).collect()[0][0]
-    assert scan_quantile(fx, "revenue_rub", q, buckets=16, final_rows=8) == exact
+    targets = [(c, q) for c in ("revenue_rub", "order_id", "tickets_count") for q in QS]
+    got = exact_quantiles(fx, targets, accuracy)
+    for c, q in targets:
+        assert got[(c, q)] == percentile(fx, c, q)
 
 
-def test_scan_with_heavy_duplicates(spark):
-    # a third of the rows share one value
+@pytest.mark.parametrize("accuracy", [10_000, 10])
+def test_heavy_duplicates(spark, accuracy):
     df = spark.range(30000).select(F.when(F.col("id") % 3 == 0, F.lit(7.0))
                                     .otherwise(F.col("id").cast("double") / 10).alias("x"))
-    for q in (0.1, 0.33, 0.5, 0.9, 0.999):
-        exact = quantile_threshold(df, "x", q).collect()[0][0]
-        assert scan_quantile(df, "x", q, buckets=8, final_rows=4) == exact
+    got = exact_quantiles(df, [("x", q) for q in (0.1, 0.33, 0.5, 0.9, 0.999)], accuracy)
+    for (_, q), v in got.items():
+        assert v == percentile(df, "x", q)
 
 
-def test_cut_methods_agree(spark):
-    fx = Study.from_fixtures(spark, SF_MID).fx_core
-    a = outlier_cut(fx, "revenue_rub", 0.99, "exact").count()
-    b = outlier_cut(fx, "revenue_rub", 0.99, "scan").count()
-    c = outlier_cut(fx, "revenue_rub", 0.99, "auto").count()
-    assert a == b == c == 4831
+@pytest.mark.parametrize("accuracy", [10_000, 4])
+def test_two_values_at_the_border(spark, accuracy):
+    df = spark.range(2000).selectExpr("if(id < 1000, 1.0, 2.0) as x")
+    assert exact_quantiles(df, [("x", 0.5)], accuracy)[("x", 0.5)] == 1.5
 
 
-def test_multi_target_scan_and_describe_methods_agree(spark):
-    from cohortlens.operators import describe
-    from cohortlens.operators.quantile import exact_quantiles
-    fx = Study.from_fixtures(spark, SF_MID).fx_core
-    targets = [("revenue_rub", 0.25), ("revenue_rub", 0.75), ("order_id", 0.5), ("tickets_count", 0.9)]
-    got = exact_quantiles(fx, targets, buckets=32, final_rows=16)
-    for c, q in targets:
-        assert got[(c, q)] == quantile_threshold(fx, c, q).collect()[0][0]
-    cols = ["order_id", "revenue_rub", "tickets_count"]
-    a = sorted(describe.describe(fx, cols, quantile_method="exact").collect())
-    b = sorted(describe.describe(fx, cols, quantile_method="scan").collect())
-    assert a == b
-    assert describe.box_stats(fx, "revenue_rub", quantile_method="exact").collect() == \
-        describe.box_stats(fx, "revenue_rub", quantile_method="scan").collect()
-
-
-def _brute_percentile(values, q):
-    v = sorted(values)
-    pos = (len(v) - 1) * q
-    lo, hi = int(pos // 1), -int(-pos // 1)
-    if lo == hi or v[lo] == v[hi]:
-        return float(v[lo])
-    return (hi - pos) * v[lo] + (pos - lo) * v[hi]
-
-
-def test_scan_matches_brute_force_on_random_data(spark):
-    import random
-    from cohortlens.operators.quantile import exact_quantiles
+@pytest.mark.parametrize("accuracy", [10_000, 4])
+def test_infinities_nan_and_nulls(spark, accuracy):
+    vals = [float(v) for v in range(50)] + [math.inf, -math.inf, math.nan, None, 5e-324, -5e-324]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = exact_quantiles(df, [("x", q) for q in QS], accuracy)
+    rest = sorted(v for v in vals if v is not None and not math.isnan(v))
+    assert got[("x", 0.0)] == -math.inf and got[("x", 1.0)] == math.inf
+    assert got[("x", 0.5)] == (rest[(len(rest) - 1) // 2] + rest[len(rest) // 2]) / 2
+    none = spark.createDataFrame([(math.nan,), (None,)], "x double")
+    assert exact_quantiles(none, [("x", 0.5)]) == {("x", 0.5): None}
+    assert outlier_cut(none, "x").count() == 0
+
+
+def test_random_data(spark):
     rnd = random.Random(7)
-    for trial in range(4):
-        vals = [rnd.choice([rnd.randint(0, 50), rnd.random() * 1000, 3.5]) for _ in range(rnd.randint(20, 400))]
-        df = spark.createDataFrame([(float(v),) for v in vals], "x double")
-        qs = [0.0, 0.01, 0.5, 0.77, 0.99, 1.0]
-        got = exact_quantiles(df, [("x", q) for q in qs], buckets=4, final_rows=3)
-        for q in qs:
-            assert got[("x", q)] == pytest.approx(_brute_percentile(vals, q), rel=1e-12, abs=1e-12)
+    for _ in range(4):
+        vals = sorted(float(rnd.choice([rnd.randint(0, 50), rnd.random() * 1000, 3.5])) for _ in range(rnd.randint(20, 400)))
+        df = spark.createDataFrame([(v,) for v in vals], "x double")
+        for (_, q), v in exact_quantiles(df, [("x", q) for q in QS], 8).items():
+            pos = (len(vals) - 1) * q
+            lo, hi = vals[math.floor(pos)], vals[math.ceil(pos)]
+            assert v == pytest.approx(lo + (hi - lo) * (pos - math.floor(pos)), rel=1e-12, abs=1e-12)
+
+
+def test_revenue_cut(spark):
+    assert outlier_cut(Study.from_fixtures(spark, SF_MID).fx_core, "revenue_rub").count() == 4831

@@ -57,3 +57,30 @@ def test_report_pack_writes_every_report(spark):
     times = run_study_from_files(spark, SF_SMALL, d)
     assert set(times) == set(REPORTS) | {"__materialize"}
     assert spark.read.parquet(os.path.join(d, "segment_return_event")).count() >= 1
+
+
+def test_rates_csv_binds_by_name(spark, tmp_path):
+    import datetime
+
+    import pytest
+
+    from cohortlens.sources.readers import read_rates_csv
+    (tmp_path / "a.csv").write_text("note,data,curs,nominal,cdx\nx,2024-01-01,15,100,kzt\n")
+    row = read_rates_csv(spark, str(tmp_path / "a.csv")).first()
+    assert row["nominal"] == 100 and float(row["curs"]) == 15 and row["cdx"] == "kzt"
+    assert row["data"] == datetime.datetime(2024, 1, 1)
+    (tmp_path / "b.csv").write_text("data,curs,cdx\n2024-01-01,15,kzt\n")
+    with pytest.raises(ValueError, match="nominal"):
+        read_rates_csv(spark, str(tmp_path / "b.csv"))
+
+
+def test_queries_leave_nothing_persisted(spark):
+    from conftest import SF_SMALL
+
+    from cohortlens.plans.queries import QUERIES
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    for name in ("outlier_volume", "segment_return_event"):
+        df = QUERIES[name](spark, SF_SMALL)
+        df.collect()
+        assert "InMemoryTableScan" not in df._jdf.queryExecution().toString()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
