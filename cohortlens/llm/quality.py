@@ -221,7 +221,7 @@ def _scorer(model: Model | None):
     def score(texts: pa.Array, known: dict[str, int]) -> np.ndarray:
         if model is None:
             return np.ones(len(texts))
-        if len(known) > 300_000:
+        if len(known) > 100_000:
             known.clear()
         return model.scores(_pool(*_codes(texts, _index(model.vocabulary), len(model.vocabulary), known), model.vectors))
 
