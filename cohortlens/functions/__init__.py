@@ -1,6 +1,5 @@
 from .exprs import (  # noqa: F401
     bin_edge,
-    bucket_ordinal,
     add_equal_width_bin,
     left_closed_bucket,
     round_half_even,

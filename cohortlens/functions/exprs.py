@@ -56,19 +56,6 @@ def left_closed_bucket(value: str | Column, edges: Sequence[float],
     return expr
 
 
-def bucket_ordinal(value: str | Column, edges: Sequence[float], open_top: bool = False) -> Column:
-    """0-based ordinal of the left-closed bin, null outside (companion of the label)."""
-    v = col_(value)
-    expr = None
-    n = len(edges) - 1
-    for i in range(n):
-        cond = v >= F.lit(edges[i])
-        if not (open_top and i == n - 1):
-            cond = cond & (v < F.lit(edges[i + 1]))
-        expr = F.when(cond, F.lit(i)) if expr is None else expr.when(cond, F.lit(i))
-    return expr
-
-
 def add_equal_width_bin(df: DataFrame, x: str | Column, lo: str | Column, hi: str | Column,
                         n: int, out: str) -> DataFrame:
     """Add ``out``: the 0-based equal-width bin of ``x`` over ``[lo, hi]`` with

@@ -48,7 +48,7 @@ def bucket_counts(df: DataFrame, bucket: str, labels: Sequence[str],
         share = round_half_even(share, share_digits) * F.lit(100.0)
     else:
         share = share * F.lit(100.0)
-    return joined.select(bucket, share.alias("share"), cnt.alias("cnt"))
+    return joined.orderBy(f"{bucket}_ord").select(bucket, share.alias("share"), cnt.alias("cnt"))
 
 
 def tickets_bucket_stats(profile_f: DataFrame) -> DataFrame:
@@ -64,15 +64,15 @@ def order_bucket_counts(profile_f: DataFrame) -> DataFrame:
               .agg(F.count("user_id").alias("cnt"))
     dim = schemas.label_dimension(profile_f.sparkSession, "cnt_tickets_cat_v2",
                                   schemas.ORDER_BUCKET_LABELS)
-    return dim.join(counts, on="cnt_tickets_cat_v2", how="left").select(
+    return dim.join(counts, on="cnt_tickets_cat_v2", how="left").orderBy("cnt_tickets_cat_v2_ord").select(
         "cnt_tickets_cat_v2", F.coalesce(F.col("cnt"), F.lit(0)).cast("long").alias("cnt"))
 
 
 def bucket_values(profile_f: DataFrame, label: str = "5+") -> DataFrame:
-    """Distinct order counts that fall into one order bucket."""
+    """Distinct order counts that fall into one order bucket, ascending."""
     b = with_order_bucket(profile_f)
     return (b.where(F.col("cnt_tickets_cat_v2") == label)
-             .select("total_orders_cnt").distinct())
+             .select("total_orders_cnt").distinct().orderBy("total_orders_cnt"))
 
 
 def weekday_return(profile_f: DataFrame) -> DataFrame:
@@ -83,7 +83,7 @@ def weekday_return(profile_f: DataFrame) -> DataFrame:
                                        F.count_if(F.col("is_two")).alias("__ret"))
     share = round_half_even(F.col("__ret").cast("double") / F.col("cnt") * F.lit(100.0), 2)
     return agg.select("day_of_week", F.col("cnt").cast("long"),
-                      F.when(F.col("__ret") > 0, share).alias("share"))
+                      F.when(F.col("__ret") > 0, share).alias("share")).orderBy("day_of_week")
 
 
 def gap_by_loyalty(profile_f: DataFrame) -> DataFrame:
@@ -92,7 +92,8 @@ def gap_by_loyalty(profile_f: DataFrame) -> DataFrame:
     return (profile_f.where(F.col("is_two"))
                      .groupBy("is_five")
                      .agg(round_half_even(F.avg("date_difference_d"), 6).alias("mean_gap_d"),
-                          F.count("user_id").cast("long").alias("users_cnt")))
+                          F.count("user_id").cast("long").alias("users_cnt"))
+                     .orderBy("is_five"))
 
 
 def tickets_bucket_return(profile_f: DataFrame) -> DataFrame:
@@ -106,6 +107,6 @@ def tickets_bucket_return(profile_f: DataFrame) -> DataFrame:
     j = dim.join(agg, on="cnt_tickets_cat", how="left")
     n = F.coalesce(F.col("users_cnt"), F.lit(0)).cast("long")
     r = F.coalesce(F.col("returners_cnt"), F.lit(0)).cast("long")
-    return j.select("cnt_tickets_cat", n.alias("users_cnt"), r.alias("returners_cnt"),
+    return j.orderBy("cnt_tickets_cat_ord").select("cnt_tickets_cat", n.alias("users_cnt"), r.alias("returners_cnt"),
                     F.when(n > 0, round_half_even(r.cast("double") / n * F.lit(100.0), 2))
                      .alias("is_two_share"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import whole_days
-from .sequence import neighbor_value
+from .sequence import neighbor_time
 
 # Fixed value: the genre the study leaves out (film).
 STUDY_EXCLUDED_GENRE = "фильм"
@@ -31,8 +31,7 @@ EXTRACT_COLUMNS = [
 def extract_purchases(purchases: DataFrame, events: DataFrame, city: DataFrame,
                       regions: DataFrame, devices: Sequence[str] = tuple(schemas.DEVICES),
                       exclude_genre: str | None = STUDY_EXCLUDED_GENRE,
-                      with_days_since_prev: bool = True,
-                      neighbor_method: str = "range") -> DataFrame:
+                      with_days_since_prev: bool = True) -> DataFrame:
     """purchases ⟕ events ⟕ city ⟕ regions, filtered to ``devices`` and genres
     other than ``exclude_genre``.
 
@@ -60,18 +59,17 @@ def extract_purchases(purchases: DataFrame, events: DataFrame, city: DataFrame,
     )
     if not with_days_since_prev:
         return out
-    return add_days_since_prev(out, neighbor_method)
+    return add_days_since_prev(out)
 
 
-def add_days_since_prev(df: DataFrame, method: str = "range") -> DataFrame:
+def add_days_since_prev(df: DataFrame) -> DataFrame:
     """``days_since_prev``: whole days since the same user's previous order
     day, ``order_id`` breaking ties on one day (W1, Q2). Rows must be the
     filtered extract (the SQL window runs after WHERE); columns after it
     may have been added."""
     cols = [c for c in EXTRACT_COLUMNS if c in df.columns or c == "days_since_prev"]
     cols += [c for c in df.columns if c not in cols]
-    out = neighbor_value(df, key="user_id", order=["order_dt", "order_id"], value="order_dt",
-                         direction="prev", out="__prev_order_dt", method=method)
+    out = neighbor_time(df, "user_id", "order_dt", "order_id", direction="prev", out="__prev_order_dt")
     return (out.withColumn("days_since_prev", whole_days("__prev_order_dt", "order_dt"))
                .select(*cols))
 

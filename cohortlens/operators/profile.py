@@ -1,10 +1,9 @@
-"""Customer profile (A1-A6, W2, P11, P13, B9): one row per user, one aggregate.
+"""Customer profile (A1-A6, W2, P11, P13, B9): one row per user, one scan.
 
 The study builds the profile with ten group-and-merge steps and a final
-de-duplication. Here it is a single ``groupBy(user)`` with partial
-aggregation, so a user holding a large share of the orders is reduced on
-the map side before the shuffle. The only order-dependent column, the mean
-gap to the next order, comes from the skew-safe neighbour operator.
+de-duplication. Here every column travels as a partial aggregate through the
+gap operator's steps (user and time, user and hour, user), so the orders are
+read once and a user holding a large share of them is never in one task.
 """
 
 from __future__ import annotations
@@ -13,7 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import whole_days
-from .sequence import gap_aggregates, gap_stats, gap_totals, neighbor_value, with_gap_flags
+from .sequence import gap_stats
+
+
+def _first(ts: str, value: str) -> Column:
+    """Earliest row, known values before null ones, then by value; see :func:`first_value_min`."""
+    return F.min(F.struct(F.col(ts), F.col(value).isNull(), F.col(value)))
 
 
 def first_value_min(ts: str, value: str) -> Column:
@@ -23,7 +27,7 @@ def first_value_min(ts: str, value: str) -> Column:
     values before nulls, then by value: a single partially aggregated pass.
     A user whose earliest rows all have a null value gets null.
     """
-    return F.min(F.struct(F.col(ts), F.col(value).isNull(), F.col(value)))[value]
+    return _first(ts, value)[value]
 
 
 FIRST_ATTRS = {
@@ -34,16 +38,8 @@ FIRST_ATTRS = {
 }
 
 
-def with_next_gap(df: DataFrame, user: str = "user_id", ts: str = "order_ts",
-                  order_id: str = "order_id", method: str = "range") -> DataFrame:
-    """Add ``gap_d``: whole days to the same user's next order."""
-    nxt = neighbor_value(df, key=user, order=[ts, order_id], value=ts, direction="next",
-                         out="__next_ts", method=method)
-    return nxt.withColumn("gap_d", whole_days(ts, "__next_ts")).drop("__next_ts")
-
-
 def customer_profile(clean: DataFrame, user: str = "user_id", ts: str = "order_ts",
-                     order_id: str = "order_id", gap_method: str = "range") -> DataFrame:
+                     order_id: str = "order_id") -> DataFrame:
     """Profile of every user of the cleaned purchases (§2.9).
 
     Null users are dropped (Q16). ``avg_revenue_rub`` is the revenue sum over
@@ -51,50 +47,31 @@ def customer_profile(clean: DataFrame, user: str = "user_id", ts: str = "order_t
     ``date_difference_d`` the mean whole-day gap between consecutive orders
     (null with one order).
     """
-    needed = [user, ts, order_id, "revenue_rub", "tickets_count", *FIRST_ATTRS.values()]
-    base = clean.where(F.col(user).isNotNull()).select(*needed)
-    aggs = [
-        F.min(ts).alias("min_order_ts"),
-        F.max(ts).alias("max_order_ts"),
-        *[first_value_min(ts, src).alias(dst) for dst, src in FIRST_ATTRS.items()],
-        F.count(order_id).alias("total_orders_cnt"),
-        F.sum("revenue_rub").alias("__rev_sum"),
-        F.sum("tickets_count").alias("__tk_sum"),
-        F.count("tickets_count").alias("__tk_cnt"),
+    carry = [
+        ("min_order_ts", F.min(ts), F.min),
+        ("max_order_ts", F.max(ts), F.max),
+        *[(dst, _first(ts, src), F.min) for dst, src in FIRST_ATTRS.items()],
+        ("total_orders_cnt", F.count(order_id), F.sum),
+        ("__rev_sum", F.sum("revenue_rub"), F.sum),
+        ("__tk_sum", F.sum("tickets_count"), F.sum),
+        ("__tk_cnt", F.count("tickets_count"), F.sum),
     ]
-    if gap_method == "range":
-        # One range exchange (hot users split over partitions), one vectorised
-        # scan, one partially aggregated exchange on the user.
-        flagged = with_gap_flags(base, user, ts, order_id)
-        prof = (flagged.groupBy(user).agg(*aggs, *gap_aggregates(ts, order_id))
-                       .select("*", *gap_totals("__gap_sum", "__gap_cnt")))
-    else:
-        gaps = with_next_gap(base, user, ts, order_id, gap_method)
-        prof = gaps.groupBy(user).agg(*aggs, F.sum("gap_d").alias("__gap_sum"),
-                                      F.count("gap_d").alias("__gap_cnt"))
-    return prof.select(
-        user, "min_order_ts", "max_order_ts", *FIRST_ATTRS.keys(),
+    return gap_stats(clean, user, ts, carry).select(
+        user, "min_order_ts", "max_order_ts",
+        *[F.col(dst)[src].alias(dst) for dst, src in FIRST_ATTRS.items()],
         F.col("total_orders_cnt").cast("long"),
         # try_divide: null instead of an ANSI error when a user has no values
         F.try_divide(F.col("__rev_sum").cast("double"), F.col("total_orders_cnt")).alias("avg_revenue_rub"),
         F.try_divide(F.col("__tk_sum").cast("double"), F.col("__tk_cnt")).alias("avg_cnt_per_order"),
-        F.try_divide(F.col("__gap_sum").cast("double"), F.col("__gap_cnt")).alias("date_difference_d"),
+        F.try_divide(F.col("gap_sum").cast("double"), F.col("gap_cnt")).alias("date_difference_d"),
         (F.col("total_orders_cnt") >= 2).alias("is_two"),
         (F.col("total_orders_cnt") >= 5).alias("is_five"),
     )
 
 
-def order_gap_mean(clean: DataFrame, user: str = "user_id", ts: str = "order_ts",
-                   order_id: str = "order_id", method: str = "range") -> DataFrame:
+def order_gap_mean(clean: DataFrame, user: str = "user_id", ts: str = "order_ts") -> DataFrame:
     """Per user with at least two orders: mean whole-day gap (W2 + P13 + A5)."""
-    base = clean.where(F.col(user).isNotNull()).select(user, ts, order_id)
-    if method == "range":
-        stats = gap_stats(base, user, ts, order_id)
-    else:
-        gaps = with_next_gap(base, user, ts, order_id, method)
-        stats = gaps.groupBy(user).agg(F.sum("gap_d").alias("gap_sum"),
-                                       F.count("gap_d").alias("gap_cnt"))
-    return stats.where(F.col("gap_cnt") > 0).select(
+    return gap_stats(clean, user, ts).where(F.col("gap_cnt") > 0).select(
         user, (F.col("gap_sum").cast("double") / F.col("gap_cnt")).alias("date_difference_d"),
         F.col("gap_cnt").cast("long").alias("gaps_cnt"))
 

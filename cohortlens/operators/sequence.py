@@ -1,242 +1,84 @@
-"""Previous / next row of the same key in a total order.
+"""Time of the previous / next row of the same key, and the gaps between them.
 
 ``Window.partitionBy(key)`` puts every row of one key into one task, so a key
-holding a third of the data would be processed by a single core. The default
-``method="range"`` avoids that:
-
-1. range-partition on ``(key, *order)`` - Spark samples the composite key, so
-   a hot key is split over many partitions, each sorted within itself;
-2. one vectorised pass per partition (``mapInPandas``) finds the neighbour
-   inside the partition;
-3. only the first / last row of each partition can have its neighbour in
-   another partition. For a row-level result (``neighbor_value``) the sorted
-   ranges are materialised once so that two branches see the same partitions; an
-   aggregate over the stored partitions gives the edge rows (two per
-   partition), a window over those at most 2·P rows pairs each edge with the
-   next non-empty partition, and the at most P-1 fixes are broadcast-joined
-   back (size bounded by P, not by the data). For per-key gap statistics
-   (``gap_stats``) no checkpoint is needed: the scan flags edge rows, the
-   aggregate collects only flagged rows per key (at most 2·P for any key,
-   however hot) and pairs them with array functions, all in one pass.
-
-``method="window"`` is the plain window (one exchange, shared with a later
-aggregate on the same key); use it when keys are known to be small.
+holding a third of the data would be processed by a single core. Here the
+built-in windows run in three steps, none of which gathers a key:
+
+1. rows of one ``(key, time)`` are aggregated (map-side first), since rows at
+   one time are 0 apart;
+2. a window over ``(key, hour)`` finds the neighbouring time inside the hour:
+   at most the distinct times of one key in one hour;
+3. one row per ``(key, hour)`` with its first and last time goes to a window
+   over ``key``, which joins the hours up: at most the hours of the calendar
+   (about 9,000 a year), however many rows a key has.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-
-_P = "__cl_part"
-_FIRST = "__cl_first"
-_LAST = "__cl_last"
-_NB = "__cl_nb"
-
-
-def _ranges(df: DataFrame, cols: list[str], num_partitions: int | None) -> DataFrame:
-    """Range-partition on ``cols``. Without an explicit count Spark starts from
-    ``spark.sql.shuffle.partitions`` and AQE may merge adjacent small ranges
-    (order is kept, so the scans stay correct)."""
-    if num_partitions:
-        return df.repartitionByRange(num_partitions, *cols)
-    return df.repartitionByRange(*cols)
-
 
-def _nullable(values: pd.Series) -> pd.Series:
-    if pd.api.types.is_integer_dtype(values.dtype) and not isinstance(values.dtype, pd.api.extensions.ExtensionDtype):
-        return values.astype("Int64")
-    return values
+from ..functions import whole_days
 
+_BUCKET, _COUNT, _GAP = "__seq_hour", "__seq_n", "__seq_gap"
 
-def _shift_within_key(keys: pd.Series, values: pd.Series, step: int) -> pd.Series:
-    values = _nullable(values)
-    same = ((keys.shift(step) == keys) & keys.notna()).fillna(False).astype(bool)
-    return values.shift(step).where(same)
 
+def neighbor_time(df: DataFrame, key: str, ts: str, tiebreak: str, direction: str = "next",
+                  out: str | None = None) -> DataFrame:
+    """Add ``out``: ``ts`` of the next (or previous) row with the same ``key`` in
+    ``(ts, tiebreak)`` order; null for the last (first) row of a key.
 
-def _scan_partition(key: str, value: str, out: str, direction: str):
-    """Per-partition neighbour inside the same key (rows arrive sorted)."""
-
-    if direction == "prev":
-        def fn(batches):
-            last = None  # last row of the previous batch of this partition
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                if last is not None:
-                    both = pd.concat([last, pdf], ignore_index=True)
-                    res = _shift_within_key(both[key], both[value], 1).iloc[1:]
-                else:
-                    res = _shift_within_key(pdf[key], pdf[value], 1)
-                last = pdf.iloc[-1:]
-                yield pdf.assign(**{out: res.to_numpy()})
-        return fn
-
-    def fn(batches):  # "next": hold back the last row of each batch
-        carry = None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            if carry is not None:
-                pdf = pd.concat([carry, pdf], ignore_index=True)
-            res = _shift_within_key(pdf[key], pdf[value], -1)
-            if len(pdf) > 1:
-                yield pdf.iloc[:-1].assign(**{out: res.iloc[:-1].to_numpy()})
-            carry = pdf.iloc[-1:].reset_index(drop=True)
-        if carry is not None:
-            yield carry.assign(**{out: _nullable(carry[value]).where(pd.Series([False]))})
-    return fn
-
-
-def neighbor_value(df: DataFrame, key: str, order: Sequence[str], value: str,
-                   direction: str = "next", out: str | None = None,
-                   method: str = "range", num_partitions: int | None = None,
-                   keep: str = "checkpoint") -> DataFrame:
-    """Add ``out`` = ``value`` of the next (or previous) row with the same ``key``
-    in ``order``; null for the last (first) row of a key.
-
-    ``order`` must make rows unique within a key (add a tiebreak column).
-    Null keys are kept and never have a neighbour.
-
-    ``keep`` says how the sorted ranges are held for the two branches that
-    read them: ``"checkpoint"`` (default: reliable checkpoint in
-    ``spark.checkpoint.dir``; the stored partitions can never change) or
-    ``"cache"`` (persisted and filled by one job, faster on small data; an
-    evicted block is rebuilt through the same shuffle dependency with fixed
-    range bounds, but an explicit unpersist / clearCache would re-plan two
-    independent range exchanges, so only use it when the cache is kept).
+    ``(ts, tiebreak)`` must be unique within a key and ``tiebreak`` not null.
+    Rows with a null key or time are kept and have no neighbour.
     """
     if direction not in ("next", "prev"):
         raise ValueError("direction must be 'next' or 'prev'")
-    out = out or f"{direction}_{value}"
-    order = list(order)
-    if method == "window":
-        w = Window.partitionBy(key).orderBy(*order)
-        fn = F.lead if direction == "next" else F.lag
-        return df.withColumn(out, F.when(F.col(key).isNotNull(), fn(F.col(value)).over(w)))
-    if method != "range":
-        raise ValueError("method must be 'range' or 'window'")
-
-    value_type = df.schema[value].dataType
-    # Materialise the sorted ranges once: both branches below must see the very
-    # same partitions, and a range exchange executed twice may sample
-    # different bounds.
-    rp = _ranges(df, [key, *order], num_partitions).sortWithinPartitions(key, *order)
-    if keep == "checkpoint":
-        rp = rp.checkpoint(eager=True)
-    else:
-        rp = rp.persist(StorageLevel.MEMORY_AND_DISK)
-        rp.count()
-
-    out_schema = T.StructType(df.schema.fields + [T.StructField(out, value_type, True)])
-    scanned = rp.mapInPandas(_scan_partition(key, value, out, direction), out_schema)
-
-    # Edge rows of every (stored) partition.
-    names = ["k", *[f"o{i}" for i in range(len(order))], "v"]
-    tup = lambda: F.struct(*[F.col(c).alias(n) for c, n in zip([key, *order, value], names)])
-    edges = (rp.withColumn(_P, F.spark_partition_id())
-               .groupBy(_P)
-               .agg(F.min(tup()).alias(_FIRST), F.max(tup()).alias(_LAST)))
-    ordered = Window.orderBy(_P)  # at most one row per partition
-    if direction == "next":
-        paired = edges.select(F.col(_LAST).alias("row"),
-                              F.lead(_FIRST).over(ordered).alias("nb"))
-    else:
-        paired = edges.select(F.col(_FIRST).alias("row"),
-                              F.lag(_LAST).over(ordered).alias("nb"))
-    fixes = (paired.where(F.col("nb").isNotNull() & F.col("row.k").isNotNull()
-                          & (F.col("row.k") == F.col("nb.k")))
-                   .select(*[F.col(f"row.{n}").alias(c) for c, n in zip([key, *order], names)],
-                           F.col("nb.v").alias(_NB)))
-    return (scanned.join(F.broadcast(fixes), on=[key, *order], how="left")
-                   .withColumn(out, F.coalesce(F.col(out), F.col(_NB)))
-                   .drop(_NB)
-                   .select(*df.columns, out))
-
-
-def _gap_scan(key: str, ts: str, gap: str, first: str, last: str):
-    """Within-partition whole-day gap to the next row of the same key, plus
-    flags for the first / last row of the partition."""
-    day = pd.Timedelta(days=1)
-
-    def fn(batches):
-        carry = None          # last row of the previous batch, not yet emitted
-        carry_first = True    # whether that row is the partition's first row
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            firsts = pd.Series(False, index=range(len(pdf) + (carry is not None)))
-            if carry is not None:
-                pdf = pd.concat([carry, pdf], ignore_index=True)
-                firsts.iloc[0] = carry_first
-            else:
-                firsts.iloc[0] = True  # very first batch of the partition
-            nxt_ts = _shift_within_key(pdf[key], pdf[ts], -1)
-            gaps = ((nxt_ts - pdf[ts]) // day).astype("Int64")
-            out = pdf.assign(**{gap: gaps.to_numpy(), first: firsts.to_numpy(), last: False})
-            if len(out) > 1:
-                yield out.iloc[:-1]
-            carry = pdf.iloc[-1:].reset_index(drop=True)
-            carry_first = bool(firsts.iloc[-1])
-        if carry is not None:
-            yield carry.assign(**{gap: pd.array([None], dtype="Int64"),
-                                  first: carry_first, last: True})
-    return fn
-
-
-def with_gap_flags(df: DataFrame, key: str, ts: str, tiebreak: str,
-                   num_partitions: int | None = None, gap: str = "gap_d") -> DataFrame:
-    """Range-partition, then add ``gap`` (whole days to the next row of the
-    same key inside the partition) and the partition edge flags
-    ``__cl_pfirst`` / ``__cl_plast``. Input to ``gap_aggregates``."""
-    rp = _ranges(df, [key, ts, tiebreak], num_partitions).sortWithinPartitions(key, ts, tiebreak)
-    schema = T.StructType(df.schema.fields + [
-        T.StructField(gap, T.LongType(), True),
-        T.StructField("__cl_pfirst", T.BooleanType(), False),
-        T.StructField("__cl_plast", T.BooleanType(), False),
-    ])
-    return rp.mapInPandas(_gap_scan(key, ts, gap, "__cl_pfirst", "__cl_plast"), schema)
-
-
-def gap_aggregates(ts: str, tiebreak: str, gap: str = "gap_d"):
-    """Aggregate expressions over ``with_gap_flags`` output, grouped by key:
-    within-partition gap sum / count and the list of edge rows (bounded by
-    2 x partitions for any key)."""
-    edge = F.when(F.col("__cl_pfirst") | F.col("__cl_plast"),
-                  F.struct(F.col(ts).alias("t"), F.col(tiebreak).alias("i"),
-                           F.col("__cl_pfirst").alias("f"), F.col("__cl_plast").alias("l")))
-    return [F.sum(gap).alias("__in_gap_sum"), F.count(gap).alias("__in_gap_cnt"),
-            F.collect_list(edge).alias("__edges")]
-
-
-def gap_totals(gap_sum: str = "gap_sum", gap_cnt: str = "gap_cnt") -> list:
-    """Columns combining within-partition gaps with the cross-partition gaps
-    found between consecutive edge rows (a "last" followed by a "first")."""
-    e = F.array_sort(F.col("__edges"))
-    n = F.size(e)
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))),
-        lambda i: F.when((n >= 2) & e[i]["l"] & e[i + 1]["f"],
-                         F.extract(F.lit("DAY"), e[i + 1]["t"] - e[i]["t"]).cast("long")))
-    cross = F.filter(pairs, lambda x: x.isNotNull())
-    cross_sum = F.aggregate(cross, F.lit(0).cast("long"), lambda acc, x: acc + x)
-    return [
-        (F.coalesce(F.col("__in_gap_sum"), F.lit(0)) + cross_sum).alias(gap_sum),
-        (F.col("__in_gap_cnt") + F.size(cross)).alias(gap_cnt),
-    ]
-
-
-def gap_stats(df: DataFrame, key: str, ts: str, tiebreak: str,
-              num_partitions: int | None = None) -> DataFrame:
-    """Per key: sum and count of whole-day gaps between consecutive rows in
-    ``(ts, tiebreak)`` order; skew-safe, one range exchange + one aggregate."""
-    flagged = with_gap_flags(df.select(key, ts, tiebreak), key, ts, tiebreak, num_partitions)
-    return (flagged.groupBy(key).agg(*gap_aggregates(ts, tiebreak))
-                   .select(key, *gap_totals()))
+    ahead = direction == "next"
+    out = out or f"{direction}_{ts}"
+    shift = F.lead if ahead else F.lag
+    edge_id = (F.max if ahead else F.min)(tiebreak)
+    edge_ts = (F.min if ahead else F.max)("__seq_ts")
+    times = (df.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
+             .groupBy(F.col(key).alias("__seq_key"), F.col(ts).alias("__seq_ts"))
+             .agg(edge_id.alias("__seq_id"))
+             .withColumn(_BUCKET, F.date_trunc("hour", "__seq_ts")))
+    inside = Window.partitionBy("__seq_key", _BUCKET).orderBy("__seq_ts")
+    across = Window.partitionBy("__seq_key").orderBy(_BUCKET)
+    hours = (times.groupBy("__seq_key", _BUCKET).agg(edge_ts.alias("__seq_edge"))
+             .withColumn("__seq_beyond", shift("__seq_edge").over(across)).drop("__seq_edge"))
+    known = (times.withColumn("__seq_near", shift("__seq_ts").over(inside))
+             .join(hours, ["__seq_key", _BUCKET])
+             .select("__seq_key", "__seq_ts", "__seq_id",
+                     F.coalesce("__seq_near", "__seq_beyond").alias("__seq_nb")))
+    return (df.join(known, (df[key] == known["__seq_key"]) & (df[ts] == known["__seq_ts"]), "left")
+            .withColumn(out, F.when(F.col(tiebreak) == F.col("__seq_id"), F.col("__seq_nb"))
+                        .otherwise(F.col("__seq_ts")))
+            .select(*df.columns, out))
+
+
+#: name, aggregate over the rows, aggregate that merges partial results of that name
+Carried = tuple[str, Column, Callable[[str], Column]]
+
+
+def gap_stats(df: DataFrame, key: str, ts: str, carry: Sequence[Carried] = ()) -> DataFrame:
+    """Per key: ``gap_sum`` and ``gap_cnt`` of the whole-day gaps between
+    consecutive rows in time order, and the ``carry`` aggregates over the same
+    rows. Null keys are left out; a row without a time has no gap."""
+    merged = [merge(name).alias(name) for name, _, merge in carry]
+    times = (df.where(F.col(key).isNotNull()).groupBy(key, ts)
+             .agg(F.count(F.lit(1)).alias(_COUNT), *[rows.alias(name) for name, rows, _ in carry])
+             .withColumn(_BUCKET, F.date_trunc("hour", F.col(ts))))
+    inside = Window.partitionBy(key, _BUCKET).orderBy(ts)
+    across = Window.partitionBy(key).orderBy(_BUCKET)
+    hours = (times.withColumn(_GAP, whole_days(F.lag(ts).over(inside), ts).cast("long"))
+             .groupBy(key, _BUCKET)
+             .agg(F.sum(_GAP).alias("__seq_sum"),
+                  (F.count(_GAP) + F.coalesce(F.sum(F.when(F.col(ts).isNotNull(), F.col(_COUNT) - 1)), F.lit(0)))
+                  .alias("__seq_cnt"),
+                  F.min(ts).alias("__seq_first"), F.max(ts).alias("__seq_last"), *merged))
+    return (hours.withColumn(_GAP, whole_days(F.lag("__seq_last").over(across), "__seq_first").cast("long"))
+            .groupBy(key)
+            .agg((F.coalesce(F.sum("__seq_sum"), F.lit(0)) + F.coalesce(F.sum(_GAP), F.lit(0))).alias("gap_sum"),
+                 (F.sum("__seq_cnt") + F.count(_GAP)).alias("gap_cnt"), *merged))

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from .queries import (
     COMPARE_GENRES,
+    MIN_SEGMENT_USERS,
     PHIK_K1_BINS,
     PHIK_K1_COLUMNS,
     PHIK_K2_BINS,
@@ -320,13 +321,15 @@ def build() -> dict[str, str]:
     q["typed_purchases"] = with_base("SELECT * FROM purchases_rub")
     q["fx_normalise"] = with_base("SELECT order_id, order_dt, currency_code, revenue, revenue_rub FROM fx_core")
     q["outlier_cut"] = with_base("SELECT * FROM clean")
-    vol = lambda src, col: with_base(f"""
+    vol = lambda src, col, level=0.99: with_base(f"""
 SELECT CAST(count(*) AS BIGINT) AS rows_before,
-  CAST(sum(CASE WHEN {D(col)} <= (SELECT quantile_cont({D(col)}, 0.99) FROM {src}) THEN 1 ELSE 0 END) AS BIGINT) AS rows_after,
-  CAST(count(*) - sum(CASE WHEN {D(col)} <= (SELECT quantile_cont({D(col)}, 0.99) FROM {src}) THEN 1 ELSE 0 END) AS BIGINT) AS rows_removed,
-  {rhe(f"{D(f'count(*) - sum(CASE WHEN {D(col)} <= (SELECT quantile_cont({D(col)}, 0.99) FROM {src}) THEN 1 ELSE 0 END)')} / count(*) * CAST(100 AS DOUBLE)", 2)} AS removed_pct
+  CAST(sum(CASE WHEN {D(col)} <= (SELECT quantile_cont({D(col)}, {level}) FROM {src}) THEN 1 ELSE 0 END) AS BIGINT) AS rows_after,
+  CAST(count(*) - sum(CASE WHEN {D(col)} <= (SELECT quantile_cont({D(col)}, {level}) FROM {src}) THEN 1 ELSE 0 END) AS BIGINT) AS rows_removed,
+  {rhe(f"{D(f'count(*) - sum(CASE WHEN {D(col)} <= (SELECT quantile_cont({D(col)}, {level}) FROM {src}) THEN 1 ELSE 0 END)')} / count(*) * CAST(100 AS DOUBLE)", 2)} AS removed_pct
 FROM {src}""")
     q["outlier_volume"] = vol("fx_core", "revenue_rub")
+    q["outlier_volume_95"] = vol("fx_core", "revenue_rub", 0.95)
+    q["fx_from_rates_csv"] = q["fx_normalise"]
     q["user_count"] = with_base("SELECT CAST(count(DISTINCT user_id) AS BIGINT) AS users_cnt FROM clean")
     q["days_since_prev"] = with_base("SELECT user_id, order_id, order_dt, days_since_prev FROM extract")
     q["customer_profile"] = with_base("SELECT * FROM profile")
@@ -367,6 +370,7 @@ FROM profile""")
     for k, key in SEGMENTS.items():
         q[f"segment_share_{k}"] = share_sql(key)
         q[f"segment_return_{k}"] = return_sql(key)
+        q[f"chart_return_{k}"] = with_base_ctes(return_report(key), f"SELECT {key}, is_two_share FROM rep2")
     region, service, event = SEGMENTS["region"], SEGMENTS["service"], SEGMENTS["event"]
     q["segment_share_region_top"] = with_base_ctes(
         f"""sh AS (SELECT {region}, CAST(count(user_id) AS BIGINT) AS users_cnt,
@@ -378,6 +382,8 @@ FROM profile""")
   {D('count(user_id)')} / (SELECT count(user_id) FROM profile_f) * CAST(100 AS DOUBLE) AS share
   FROM profile_f WHERE {service} IS NOT NULL GROUP BY {service})""",
         f"SELECT * FROM sh ORDER BY users_cnt DESC, {service} LIMIT 10")
+    q["segment_return_region_min"] = with_base_ctes(
+        return_report(region), f"SELECT * FROM rep2 WHERE users_cnt >= {MIN_SEGMENT_USERS}")
     q["segment_return_region_top"] = with_base_ctes(
         return_report(region), f"SELECT * FROM rep2 ORDER BY users_cnt DESC, {region} LIMIT 15")
     q["region_top10"] = with_base_ctes(
@@ -489,6 +495,9 @@ FROM fx_core, fe WHERE revenue_rub IS NOT NULL""")
         f"FROM fx_core GROUP BY {c}" for c in cat_cols))
     q["duplicate_orders"] = with_base(
         "SELECT order_id, CAST(count(*) AS BIGINT) AS n_rows FROM fx_core GROUP BY order_id HAVING count(*) > 1")
+    q["duplicate_region_days"] = with_base("""
+SELECT region_name, order_dt, CAST(count(*) AS BIGINT) AS n_rows
+FROM fx_core GROUP BY region_name, order_dt HAVING count(*) > 1""")
     return q
 
 

@@ -1,7 +1,8 @@
-"""The study as one lazy plan: extract -> FX -> revenue cut -> profile -> cut.
+"""The study as one plan: extract -> FX -> revenue cut -> profile -> cut.
 
-Every stage is a DataFrame built from the previous one; nothing is computed
-until an action runs. ``materialize="checkpoint"`` writes the cleaned
+Every stage is a DataFrame built from the previous one. Building the cuts runs
+the quantile rounds, building the FX step writes the rates, and kept tables
+are written when first asked for. ``materialize="checkpoint"`` writes the cleaned
 purchases and the profile to the session's checkpoint folder
 (``spark.checkpoint.dir``, a shared path on a cluster), so that the many
 reports over them read a stored table instead of recomputing the joins, and
@@ -34,7 +35,6 @@ from ..sources.fixtures import EXCLUDED_GENRE, Snowflake, load_snowflake
 class StudyParams:
     revenue_q: float = 0.99          # B11: percentile of the revenue cut
     orders_q: float = 0.99           # percentile of the profile cut
-    neighbor_method: str = "range"   # "range" (skew-safe) or "window"
     exclude_genre: str | None = STUDY_EXCLUDED_GENRE
     strict_fx: bool = False
 
@@ -113,7 +113,7 @@ class Study:
     @cached_property
     def extract(self) -> DataFrame:
         """The study's SQL extract, ``days_since_prev`` included."""
-        return add_days_since_prev(self.extract_core, self.params.neighbor_method)
+        return add_days_since_prev(self.extract_core)
 
     @cached_property
     def fx_core(self) -> DataFrame:
@@ -124,7 +124,7 @@ class Study:
     def purchases_rub(self) -> DataFrame:
         """Extract with ``revenue_rub``, before the cut, analysis types (the
         study's ``merged_df``)."""
-        return typed_purchases(add_days_since_prev(self.fx_core, self.params.neighbor_method))
+        return typed_purchases(add_days_since_prev(self.fx_core))
 
     @cached_property
     def clean(self) -> DataFrame:
@@ -135,8 +135,7 @@ class Study:
     @cached_property
     def profile(self) -> DataFrame:
         """Profile over the cleaned purchases (uncut)."""
-        return self._keep(customer_profile(self.clean, gap_method=self.params.neighbor_method), "profile",
-                          self.profile_mode)
+        return self._keep(customer_profile(self.clean), "profile", self.profile_mode)
 
     @cached_property
     def profile_f(self) -> DataFrame:

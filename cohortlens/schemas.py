@@ -60,24 +60,10 @@ ORDER_BUCKET_LABELS = ["1", "2-4", "5+"]
 # Devices kept by the extract.
 DEVICES = ["mobile", "desktop"]
 
-PROFILE_COLUMNS = [
-    "user_id", "min_order_ts", "max_order_ts", "first_order_device",
-    "first_order_region", "first_service_name", "first_event_type",
-    "total_orders_cnt", "avg_revenue_rub", "avg_cnt_per_order",
-    "date_difference_d", "is_two", "is_five",
-]
-
-
 class ValidationError(ValueError):
     pass
 
 
-def require_columns(df: DataFrame, columns: Sequence[str], name: str = "table") -> None:
-    missing = [c for c in columns if c not in df.columns]
-    if missing:
-        raise ValidationError(f"{name}: missing columns {missing}")
-
-
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Key values that occur more than once (distributed; partial aggregation)."""
     return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))

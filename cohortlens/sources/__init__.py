@@ -1,4 +1,4 @@
-from .fixtures import Snowflake, load_snowflake, register_views  # noqa: F401
+from .fixtures import Snowflake, load_snowflake  # noqa: F401
 from .readers import (  # noqa: F401
     jdbc_options,
     read_jdbc_predicates,

@@ -126,15 +126,3 @@ def load_snowflake(spark: SparkSession, sf_dir: str) -> Snowflake:
         regions=regions_from_nation(_read(spark, sf_dir, "nation")),
         rates=rates_from_orders(orders),
     )
-
-
-def register_views(spark: SparkSession, sf_dir: str, prefix: str = "") -> Snowflake:
-    """Register the conformed tables as temp views (``purchases``, ``event_dim``,
-    ``city``, ``regions``, ``rates``) so the extract can also be run as SQL."""
-    snow = load_snowflake(spark, sf_dir)
-    snow.purchases.createOrReplaceTempView(f"{prefix}purchases")
-    snow.events.createOrReplaceTempView(f"{prefix}event_dim")
-    snow.city.createOrReplaceTempView(f"{prefix}city")
-    snow.regions.createOrReplaceTempView(f"{prefix}regions")
-    snow.rates.createOrReplaceTempView(f"{prefix}rates")
-    return snow

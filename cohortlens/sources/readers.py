@@ -113,20 +113,17 @@ def table_overview(df: DataFrame) -> DataFrame:
     """Per column: position, name, type, non-null count, and the row count.
 
     One aggregate pass computes every count; the result is unpivoted with
-    ``stack`` so it has one row per column.
+    ``inline`` so it has one row per column.
     """
-    cols = df.columns
-    aggs = [F.count(F.lit(1)).alias("__rows")]
-    aggs += [F.count(F.col(f"`{c}`")).alias(f"__nn{i}") for i, c in enumerate(cols)]
-    counted = df.agg(*aggs)
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    pieces = ", ".join(
-        f"{i}, '{c}', '{types[c]}', __nn{i}" for i, c in enumerate(cols)
-    )
-    return counted.selectExpr(
-        f"stack({len(cols)}, {pieces}) AS (position, column_name, data_type, non_null_cnt)",
-        "__rows AS row_cnt",
-    ).select(
+    fields = df.schema.fields
+    counted = df.toDF(*[f"__c{i}" for i in range(len(fields))]).agg(
+        F.count(F.lit(1)).alias("__rows"),
+        *[F.count(f"__c{i}").alias(f"__nn{i}") for i in range(len(fields))])
+    rows = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column_name"),
+                              F.lit(f.dataType.simpleString()).alias("data_type"),
+                              F.col(f"__nn{i}").alias("non_null_cnt"))
+                     for i, f in enumerate(fields)])
+    return counted.select(F.inline(rows), F.col("__rows").alias("row_cnt")).select(
         F.col("position").cast("int"), "column_name", "data_type",
         F.col("non_null_cnt").cast("long"), F.col("row_cnt").cast("long"),
     )

@@ -1 +1 @@
-from .ingest import append_to_table, conform_stream, read_purchase_stream  # noqa: F401
+from .ingest import append_conformed, read_purchase_stream  # noqa: F401

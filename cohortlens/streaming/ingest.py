@@ -10,13 +10,16 @@ steps (gaps, percentile cuts, profiles) stay batch jobs over that table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..operators.extract import extract_purchases, typed_purchases
+from ..operators.extract import STUDY_EXCLUDED_GENRE, extract_purchases, typed_purchases
 from ..operators.fx import fx_normalise
-from ..sources.fixtures import EXCLUDED_GENRE
+from ..sources.fixtures import Snowflake
 
 
 def read_purchase_stream(spark: SparkSession, path: str, schema: StructType,
@@ -27,30 +30,26 @@ def read_purchase_stream(spark: SparkSession, path: str, schema: StructType,
                  .parquet(path))
 
 
-def conform_stream(purchases: DataFrame, events: DataFrame, city: DataFrame,
-                   regions: DataFrame, rates: DataFrame,
-                   exclude_genre: str | None = EXCLUDED_GENRE) -> DataFrame:
-    """Stream-static joins with the dimensions and rates, filter, FX."""
-    ext = extract_purchases(purchases, events, city, regions, exclude_genre=exclude_genre,
-                            with_days_since_prev=False)
-    return typed_purchases(fx_normalise(ext, rates))
-
-
-def append_to_table(stream: DataFrame, table_path: str, checkpoint_path: str,
-                    trigger_once: bool = False) -> StreamingQuery:
-    """Append each micro-batch to a parquet table partitioned by order month.
+def append_conformed(purchases: DataFrame, tables: Callable[[], Snowflake], table_path: str,
+                     checkpoint_path: str, exclude_genre: str | None = STUDY_EXCLUDED_GENRE,
+                     available_now: bool = False) -> StreamingQuery:
+    """Join, filter and convert each micro-batch and append it to a Parquet table.
 
-    ``checkpoint_path`` keeps the stream's offsets (a shared folder on a
-    cluster): a restarted query resumes where it stopped, and the file sink
-    commits each batch exactly once.
+    ``tables`` is called for every batch, so dimension rows and rates that
+    arrived since the last one are seen. A batch is written to its own folder
+    ``batch_id=N`` (months inside), which a repeated batch overwrites.
+    ``checkpoint_path`` keeps the stream's offsets (a shared folder on a cluster).
     """
-    from pyspark.sql import functions as F
-    out = stream.withColumn("order_month", F.date_format("order_dt", "yyyy-MM"))
-    writer = (out.writeStream.format("parquet")
-                 .option("path", table_path)
-                 .option("checkpointLocation", checkpoint_path)
-                 .partitionBy("order_month")
-                 .outputMode("append"))
-    if trigger_once:
+    def write(batch: DataFrame, batch_id: int) -> None:
+        t = tables()
+        conformed = extract_purchases(batch, t.events, t.city, t.regions, exclude_genre=exclude_genre,
+                                      with_days_since_prev=False)
+        (typed_purchases(fx_normalise(conformed, t.rates))
+         .withColumn("order_month", F.date_format("order_dt", "yyyy-MM"))
+         .write.mode("overwrite").partitionBy("order_month")
+         .parquet(f"{table_path.rstrip('/')}/batch_id={batch_id}"))
+
+    writer = purchases.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint_path)
+    if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()

@@ -30,12 +30,11 @@ def o(user, oid, ts, dev="mobile", region="R1", svc="S1", genre="G1", rev="100",
     return (user, oid, ts, Decimal(rev), tk, dev, region, svc, genre)
 
 
-@pytest.mark.parametrize("method", ["range", "window"])
-def test_first_order_ties_take_independent_minima(spark, method):
+def test_first_order_ties_take_independent_minima(spark):
     rows = [o("u1", 1, T0, dev="mobile", genre="concert", region=None),
             o("u1", 2, T0, dev="desktop", genre="ballet", region="R9"),
             o("u1", 3, T0 + dt.timedelta(days=3), dev="desktop", genre="aaa", region="A")]
-    p = customer_profile(clean_df(spark, rows), gap_method=method).collect()[0]
+    p = customer_profile(clean_df(spark, rows)).collect()[0]
     assert p.first_order_device == "desktop"     # min of mobile/desktop
     assert p.first_event_type == "ballet"        # min of concert/ballet
     assert p.first_order_region == "R9"          # null skipped
@@ -43,11 +42,10 @@ def test_first_order_ties_take_independent_minima(spark, method):
     assert p.date_difference_d == pytest.approx((0 + 3) / 2)
 
 
-@pytest.mark.parametrize("method", ["range", "window"])
-def test_gap_counts_whole_24h_days(spark, method):
+def test_gap_counts_whole_24h_days(spark):
     rows = [o("u2", 1, dt.datetime(2024, 1, 1, 23, 0)), o("u2", 2, dt.datetime(2024, 1, 2, 1, 0)),
             o("u3", 3, T0)]
-    prof = {r.user_id: r for r in customer_profile(clean_df(spark, rows), gap_method=method).collect()}
+    prof = {r.user_id: r for r in customer_profile(clean_df(spark, rows)).collect()}
     assert prof["u2"].date_difference_d == 0.0
     assert prof["u3"].date_difference_d is None
     assert not prof["u3"].is_two and not prof["u3"].is_five

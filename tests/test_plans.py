@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from conftest import SF_MID
+from conftest import SF_MID, SF_SMALL
 
+from cohortlens.operators import buckets
+from cohortlens.operators.fx import fx_normalise
 from cohortlens.plans.pipeline import Study
+from cohortlens.plans.queries import FILE_REPORTS, REPORTS
+from cohortlens.plans.report_pack import run_reports
+from cohortlens.schemas import ORDER_BUCKET_LABELS, TICKET_BUCKET_LABELS
 
 
 def plan(df) -> str:
@@ -25,17 +30,45 @@ def test_scan_prunes_columns(spark):
     assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint,l_suppkey:bigint>" in p
 
 
-def test_profile_splits_users_by_range_and_has_no_row_udf(spark):
+def test_gaps_and_profile_stay_in_the_jvm(spark):
     st = Study.from_fixtures(spark, SF_MID)
-    p = plan(st.profile)
-    assert "rangepartitioning(user_id" in p
-    assert "BatchEvalPython" not in p
-    assert "Window" not in p  # no per-user window: hot users are not one task
+    for df in (st.profile, st.extract):
+        p = plan(df)
+        assert "MapInPandas" not in p and "EvalPython" not in p
 
 
-def test_window_method_shares_one_exchange(spark):
-    from cohortlens.operators.profile import customer_profile
+def test_orders_are_not_shuffled_by_day_for_the_rates(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        st = Study.from_fixtures(spark, SF_MID)
+        assert not any("hashpartitioning(order_dt" in line or "hashpartitioning(created_dt" in line
+                       for line in plan(st.fx_core).splitlines())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_rates_beyond_the_broadcast_bound_give_the_same_rows(spark):
     st = Study.from_fixtures(spark, SF_MID)
-    prof = customer_profile(st.clean, gap_method="window")
-    p = prof._jdf.queryExecution().sparkPlan().toString()
-    assert p.count("hashpartitioning(user_id") <= 1
+    few = fx_normalise(st.extract_core, st.tables.rates)
+    many = fx_normalise(st.extract_core, st.tables.rates, broadcast_rows=0)
+    assert few.count() == many.count()
+    assert few.exceptAll(many).isEmpty()
+
+
+def test_reports_come_ordered(spark):
+    st = Study.from_fixtures(spark, SF_MID, materialize="checkpoint", purchases_mode=False)
+    assert [r[0] for r in buckets.tickets_bucket_stats(st.profile_f).collect()] == TICKET_BUCKET_LABELS
+    assert [r[0] for r in buckets.order_bucket_counts(st.profile_f).collect()] == ORDER_BUCKET_LABELS
+    assert [r.day_of_week for r in buckets.weekday_return(st.profile_f).collect()] == list(range(7))
+    values = [r[0] for r in buckets.bucket_values(st.profile_f).collect()]
+    assert values == sorted(values) and values[0] == 5
+    shares = [r.is_two_share for r in REPORTS["chart_return_region"](st).collect()]
+    assert shares == sorted(shares) and len(shares) > 5
+
+
+def test_report_pack_without_a_folder(spark, tmp_path):
+    st = Study.from_fixtures(spark, SF_SMALL, materialize="checkpoint")
+    st.source_dir = None
+    names = run_reports(st, str(tmp_path), names=["user_count"])
+    assert set(names) == {"user_count"} and "events_gap_stats" in FILE_REPORTS

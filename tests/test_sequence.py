@@ -1,12 +1,15 @@
-"""The skew-safe neighbour operators agree with a plain window, also when one
-key holds a third of all rows and is split over many partitions."""
+"""The skew-safe gap operators agree with a plain window, also when one key
+holds a third of all rows."""
 
 from __future__ import annotations
 
+import datetime as dt
+
 from conftest import SF_MID
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cohortlens.operators.sequence import gap_stats, neighbor_value
+from cohortlens.operators.sequence import gap_stats, neighbor_time
 
 
 def skewed_events(spark):
@@ -16,56 +19,52 @@ def skewed_events(spark):
                                     .otherwise(F.col("user_id")))
 
 
-def test_hot_key_is_split_over_partitions(spark):
-    ev = skewed_events(spark)
-    parts = (ev.repartitionByRange(16, "user_id", "ts", "event_id")
-               .where(F.col("user_id") == -1)
-               .select(F.spark_partition_id().alias("p")).distinct().count())
-    assert parts >= 4
+def plain(df, direction):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    fn = F.lead if direction == "next" else F.lag
+    return df.withColumn("nb", F.when(F.col("user_id").isNotNull(), fn("ts").over(w)))
 
 
-def test_neighbor_value_matches_window(spark):
-    ev = skewed_events(spark)
+def check(df, direction):
+    a, b = neighbor_time(df, "user_id", "ts", "event_id", direction, "nb"), plain(df, direction)
+    assert a.columns == b.columns
+    assert a.count() == b.count() == df.count()
+    assert a.exceptAll(b).isEmpty()
+
+
+def test_neighbor_time_matches_window(spark):
     for direction in ("next", "prev"):
-        a = neighbor_value(ev, "user_id", ["ts", "event_id"], "ts", direction, "nb",
-                           method="range", num_partitions=16)
-        b = neighbor_value(ev, "user_id", ["ts", "event_id"], "ts", direction, "nb", method="window")
-        diff = (a.alias("a").join(b.alias("b"), ["user_id", "ts", "event_id"])
-                 .where(~F.col("a.nb").eqNullSafe(F.col("b.nb"))))
-        assert a.count() == b.count() == ev.count()
-        assert diff.count() == 0
+        check(skewed_events(spark), direction)
 
 
-def test_gap_stats_matches_window(spark):
-    ev = skewed_events(spark)
-    got = {r.user_id: (r.gap_sum, r.gap_cnt) for r in gap_stats(ev, "user_id", "ts", "event_id", 16).collect()}
-    w = neighbor_value(ev, "user_id", ["ts", "event_id"], "ts", "next", "nx", method="window")
-    exp = {r.user_id: (r.s or 0, r.c) for r in
-           w.groupBy("user_id").agg(F.sum(F.extract(F.lit("DAY"), F.col("nx") - F.col("ts"))).alias("s"),
-                                     F.count("nx").alias("c")).collect()}
-    assert got == exp
-    assert got[-1][1] == ev.where("user_id = -1").count() - 1
+def test_neighbor_time_with_many_rows_at_one_time(spark):
+    ev = skewed_events(spark).withColumn("ts", F.date_trunc("day", "ts"))
+    for direction in ("next", "prev"):
+        check(ev, direction)
 
 
-def test_default_ranges_with_aqe_coalescing(spark):
-    ev = skewed_events(spark)
-    old = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "64")
-    try:
-        a = neighbor_value(ev, "user_id", ["ts", "event_id"], "ts", "prev", "nb")
-        b = neighbor_value(ev, "user_id", ["ts", "event_id"], "ts", "prev", "nb", method="window")
-        diff = (a.alias("a").join(b.alias("b"), ["user_id", "ts", "event_id"])
-                 .where(~F.col("a.nb").eqNullSafe(F.col("b.nb"))))
-        assert diff.count() == 0
-        got = {r.user_id: (r.gap_sum, r.gap_cnt) for r in gap_stats(ev, "user_id", "ts", "event_id").collect()}
-        assert got[-1][1] == ev.where("user_id = -1").count() - 1
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", old)
+def test_null_keys_and_times(spark):
+    t = dt.datetime(2024, 1, 1, 10, 30)
+    rows = [(1, t, 1), (1, t, 2), (1, t + dt.timedelta(hours=30), 3), (None, t, 4), (None, t, 5), (2, t, 6)]
+    df = spark.createDataFrame(rows, "user_id bigint, ts timestamp_ntz, event_id bigint")
+    for direction in ("next", "prev"):
+        check(df, direction)
+    timeless = df.unionByName(spark.createDataFrame([(1, None, 7), (3, None, 8)], df.schema))
+    got = {r.event_id: r.nb for r in neighbor_time(timeless, "user_id", "ts", "event_id", "prev", "nb").collect()}
+    assert got[7] is None and got[8] is None and got[1] is None and got[2] == t and got[3] == t
+    stats = {r.user_id: (r.gap_sum, r.gap_cnt) for r in gap_stats(timeless, "user_id", "ts").collect()}
+    assert stats == {1: (1, 2), 2: (0, 0), 3: (0, 0)}
+    assert neighbor_time(df.limit(0), "user_id", "ts", "event_id").count() == 0
+    assert gap_stats(df.limit(0), "user_id", "ts").count() == 0
 
 
-def test_neighbor_survives_cleared_cache(spark):
+def test_gap_stats_matches_window(spark):
     ev = skewed_events(spark)
-    a = neighbor_value(ev, "user_id", ["ts", "event_id"], "ts", "prev", "nb", num_partitions=16)
-    first = a.where("nb IS NOT NULL").count()
-    spark.catalog.clearCache()
-    assert a.where("nb IS NOT NULL").count() == first == ev.count() - ev.select("user_id").distinct().count()
+    for df in (ev, ev.withColumn("ts", F.date_trunc("day", "ts"))):
+        got = {r.user_id: (r.gap_sum, r.gap_cnt) for r in gap_stats(df, "user_id", "ts").collect()}
+        exp = {r.user_id: (r.s or 0, r.c) for r in
+               plain(df, "next").groupBy("user_id")
+               .agg(F.sum(F.extract(F.lit("DAY"), F.col("nb") - F.col("ts"))).alias("s"),
+                    F.count("nb").alias("c")).collect()}
+        assert got == exp
+        assert got[-1][1] == ev.where("user_id = -1").count() - 1

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from cohortlens.plans.pipeline import Study
 from cohortlens.sources.readers import read_rates_csv, table_overview
 from cohortlens.sources.sinks import write_table
-from cohortlens.streaming import append_to_table, conform_stream, read_purchase_stream
+from cohortlens.sources.fixtures import EXCLUDED_GENRE
+from cohortlens.streaming import append_conformed, read_purchase_stream
 
 
 def test_rates_csv_roundtrip(spark):
@@ -38,11 +39,12 @@ def test_stream_ingest_matches_batch(spark):
     src, table, ckpt = (os.path.join(d, x) for x in ("in", "table", "ckpt"))
     st.tables.purchases.repartition(3).write.parquet(src)
     stream = read_purchase_stream(spark, src, st.tables.purchases.schema, max_files_per_trigger=1)
-    t = st.tables
-    q = append_to_table(conform_stream(stream, t.events, t.city, t.regions, t.rates), table, ckpt,
-                        trigger_once=True)
+    calls = []
+    q = append_conformed(stream, lambda: calls.append(1) or st.tables, table, ckpt,
+                         exclude_genre=EXCLUDED_GENRE, available_now=True)
     q.awaitTermination(300)
-    got = spark.read.parquet(table).drop("order_month")
+    assert len(calls) == 3  # the dimension tables are asked for with every batch
+    got = spark.read.parquet(table).drop("order_month", "batch_id")
     exp = st.fx_core
     assert got.count() == exp.count()
     assert got.select(exp.columns).exceptAll(exp).count() == 0
