@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from ..functions import add_equal_width_bin, round_half_even
 
 # 48-point Gauss-Legendre rule on [-1, 1] (computed, not tabulated).
-_GL_X, _GL_W = np.polynomial.legendre.leggauss(48)
+_GL_X, _GL_W = np.polynomial.legendre.leggauss(64)
 
 
 def binned_columns(df: DataFrame, columns: Sequence[str],
@@ -125,18 +125,20 @@ def _bvn_cdf(h: np.ndarray, k: np.ndarray, rho: float) -> np.ndarray:
 
     Phi2 = Phi(h)Phi(k) + 1/(2 pi) * int_0^asin(rho) exp(-(h^2 - 2hk sin t + k^2) / (2 cos^2 t)) dt
     (Plackett's identity with t = asin(s), which makes the integrand smooth).
+    Near rho = 1 the integral runs from there to pi/2 instead and is taken from
+    the limit min(Phi(h), Phi(k)). One grid is held at a time.
     """
-    H, K = np.meshgrid(h, k, indexing="ij")
-    base = np.outer(_phi(h), _phi(k))
-    if rho == 0.0:
-        return base
-    top = math.asin(min(rho, 1.0))
-    t = 0.5 * top * (_GL_X + 1.0)
-    w = 0.5 * top * _GL_W
-    s, c2 = np.sin(t), np.cos(t) ** 2
-    c2 = np.where(c2 < 1e-300, 1e-300, c2)
-    expo = -(H[..., None] ** 2 - 2.0 * H[..., None] * K[..., None] * s + K[..., None] ** 2) / (2.0 * c2)
-    return base + (np.exp(expo) * w).sum(axis=-1) / (2.0 * math.pi)
+    ph, pk = _phi(h), _phi(k)
+    high = rho > 0.9
+    start, end = (math.asin(min(rho, 1.0)), math.pi / 2) if high else (0.0, math.asin(rho))
+    squares, product = h[:, None] ** 2 + k[None, :] ** 2, 2.0 * np.outer(h, k)
+    area = np.zeros((len(h), len(k)))
+    if end > start:
+        for x, w in zip(_GL_X, _GL_W):
+            t = start + 0.5 * (end - start) * (x + 1.0)
+            area += 0.5 * (end - start) * w * np.exp(-(squares - product * math.sin(t)) / (2.0 * math.cos(t) ** 2))
+    area /= 2.0 * math.pi
+    return np.minimum.outer(ph, pk) - area if high else np.outer(ph, pk) + area
 
 
 def _cell_probs(r: int, k: int, rho: float) -> np.ndarray:

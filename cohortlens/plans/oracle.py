@@ -10,6 +10,8 @@ hash equal.
 
 from __future__ import annotations
 
+import numpy as np
+
 from .queries import (
     COMPARE_GENRES,
     MIN_SEGMENT_USERS,
@@ -306,6 +308,92 @@ SELECT var_x, var_y, CAST("N" AS BIGINT) AS n, CAST(r AS BIGINT) AS r, CAST(k AS
 FROM per"""
 
 
+# phi_k: bisection for the correlation of a binned bivariate normal, all pairs at once.
+# ``nodes`` are Gauss-Legendre nodes; ``above`` is what Phi2(h, k, rho) has over Phi(h)Phi(k).
+_NODES = ", ".join(f"({float(x)!r}, {float(w)!r})" for x, w in zip(*np.polynomial.legendre.leggauss(64)))
+_HALVINGS = 34  # until the bracket is narrower than 1e-10
+
+PHIK_CTES = f"""
+stats AS MATERIALIZED ({CHI2_SELECT}),
+searched AS MATERIALIZED (
+  SELECT var_x, var_y, r, k, {D('chi2 - pedestal')} / (chi2_max - pedestal) AS part
+  FROM stats WHERE r >= 2 AND k >= 2 AND chi2 > pedestal AND chi2 < chi2_max
+),
+nodes(x, w) AS MATERIALIZED (SELECT CAST(col0 AS DOUBLE), CAST(col1 AS DOUBLE) FROM (VALUES {_NODES})),
+sizes AS (SELECT r AS m FROM searched UNION SELECT k FROM searched),
+cuts AS (SELECT m, unnest(range(0, m + 1)) AS i FROM sizes),
+edges AS MATERIALIZED (
+  SELECT m, i, z, 0.5 + z / 2 * sum(w * exp(-(z * (x + 1) / 2) * (z * (x + 1) / 2) / 2)) / sqrt(2 * pi()) AS phi
+  FROM (SELECT m, i, CAST(-5 AS DOUBLE) + CAST(10 AS DOUBLE) * i / m AS z FROM cuts), nodes GROUP BY m, i, z
+),
+corners AS MATERIALIZED (
+  SELECT s.var_x, s.var_y, a.i, b.i AS j, a.z AS h, b.z AS g, a.phi * b.phi AS both_, least(a.phi, b.phi) AS low
+  FROM searched s JOIN edges a ON a.m = s.r JOIN edges b ON b.m = s.k
+),
+signs(di, dj, sgn) AS (VALUES (0, 0, 1), (1, 0, -1), (0, 1, -1), (1, 1, 1)),
+box AS MATERIALIZED (
+  SELECT c.var_x, c.var_y, c.i AS ci, c.j AS cj, c.i - di AS i, c.j - dj AS j, sgn
+  FROM corners c, signs WHERE c.i > 0 AND c.j > 0
+),
+mass AS MATERIALIZED (
+  SELECT b.var_x, b.var_y, ci, cj, sum(sgn * both_) AS p0, sum(sgn * (low - both_)) AS d1
+  FROM box b JOIN corners c USING (var_x, var_y, i, j) GROUP BY b.var_x, b.var_y, ci, cj
+),
+goal AS MATERIALIZED (
+  SELECT var_x, var_y, any_value(part) * sum(d1 * d1 / p0) AS goal
+  FROM mass JOIN searched USING (var_x, var_y) GROUP BY var_x, var_y
+),
+search AS (
+  SELECT var_x, var_y, CAST(0 AS DOUBLE) AS lo, CAST(1 AS DOUBLE) AS hi, 0 AS step FROM searched
+  UNION ALL
+  SELECT var_x, var_y, CASE WHEN dist < goal THEN mid ELSE lo END, CASE WHEN dist < goal THEN hi ELSE mid END, step + 1
+  FROM (
+    SELECT var_x, var_y, lo, hi, mid, step, sum(d * d / p0) AS dist
+    FROM (
+      SELECT b.var_x, b.var_y, lo, hi, mid, step, ci, cj, sum(sgn * above) AS d
+      FROM (
+        SELECT var_x, var_y, i, j, lo, hi, mid, step,
+          CASE WHEN mid <= 0.9 THEN area ELSE low - both_ - area END AS above
+        FROM (
+          SELECT var_x, var_y, i, j, lo, hi, mid, step, low, both_,
+            sum((t1 - t0) / 2 * w * exp(-(h * h - 2 * h * g * sin(t) + g * g) / (2 * cos(t) * cos(t)))) / (2 * pi()) AS area
+          FROM (
+            SELECT c.*, lo, hi, mid, step, t0, t1, w, t0 + (t1 - t0) * (x + 1) / 2 AS t
+            FROM (
+              SELECT *, CASE WHEN mid <= 0.9 THEN 0 ELSE asin(mid) END AS t0,
+                CASE WHEN mid <= 0.9 THEN asin(mid) ELSE pi() / 2 END AS t1
+              FROM (SELECT *, (lo + hi) / 2 AS mid FROM search WHERE step < {_HALVINGS})
+            ) q JOIN corners c USING (var_x, var_y), nodes
+          ) GROUP BY ALL
+        )
+      ) a JOIN box b USING (var_x, var_y, i, j) GROUP BY ALL
+    ) JOIN mass USING (var_x, var_y, ci, cj) GROUP BY ALL
+  ) JOIN goal USING (var_x, var_y)
+),
+pair_phik AS (
+  SELECT s.var_x, s.var_y,
+    CASE WHEN s.r < 2 OR s.k < 2 THEN NULL WHEN s.chi2 >= s.chi2_max THEN 1 WHEN s.chi2 <= s.pedestal THEN 0
+         ELSE {rhe('(f.lo + f.hi) / 2', 6)} END AS phik
+  FROM stats s LEFT JOIN (SELECT * FROM search WHERE step = {_HALVINGS}) f USING (var_x, var_y)
+)"""
+
+
+def phik_sql(columns: list[str], bins: dict[str, int]) -> str:
+    names = ", ".join(f"('{c}', {i})" for i, c in enumerate(columns))
+    ctes = contingency_cte(columns, bins) + "," + CHI2_CTES + "," + PHIK_CTES + f""",
+names(name, pos) AS (VALUES {names}),
+upper_ AS (
+  SELECT a.name AS var_x, b.name AS var_y, p.phik FROM names a JOIN names b ON a.pos < b.pos
+  LEFT JOIN pair_phik p ON p.var_x = a.name AND p.var_y = b.name
+),
+matrix AS (
+  SELECT var_x, var_y, CAST(phik AS DOUBLE) AS phik FROM upper_
+  UNION ALL SELECT var_y, var_x, phik FROM upper_
+  UNION ALL SELECT name, name, 1 FROM names
+)"""
+    return "WITH RECURSIVE" + with_base_ctes(ctes, "").removeprefix("WITH")
+
+
 def build() -> dict[str, str]:
     q: dict[str, str] = {}
     q["extract_purchases"] = with_base("SELECT * FROM extract")
@@ -479,6 +567,11 @@ FROM fx_core, fe WHERE revenue_rub IS NOT NULL""")
     q["phik_chi2_default"] = with_base_ctes(contingency_cte(PHIK_K2_COLUMNS, PHIK_K2_BINS) + "," + CHI2_CTES,
                                             CHI2_SELECT)
 
+    q["phik_matrix"] = phik_sql(PHIK_K1_COLUMNS, PHIK_K1_BINS) + "\nSELECT var_x, var_y, phik FROM matrix"
+    q["phik_matrix_default"] = phik_sql(PHIK_K2_COLUMNS, PHIK_K2_BINS) + "\nSELECT var_x, var_y, phik FROM matrix"
+    q["phik_target"] = (phik_sql(PHIK_K1_COLUMNS, PHIK_K1_BINS)
+                        + "\nSELECT var_x AS variable, phik FROM matrix WHERE var_y = 'total_orders_cnt'")
+
     null_cols = ["user_id", "device_type_canonical", "order_id", "order_dt", "order_ts",
                  "currency_code", "revenue", "tickets_count", "days_since_prev", "event_id",
                  "event_name", "event_type_main", "service_name", "region_name", "city_name",

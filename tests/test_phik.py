@@ -33,6 +33,16 @@ def test_distance_increases_with_rho():
     assert d[0] == pytest.approx(0.0, abs=1e-15) and all(a < b for a, b in zip(d, d[1:]))
 
 
+def test_correlation_one_is_the_analytic_limit():
+    for r, k in ((20, 21), (100, 97)):
+        h, g = np.linspace(-5, 5, r + 1), np.linspace(-5, 5, k + 1)
+        assert np.array_equal(phik._bvn_cdf(h, g, 1.0), np.minimum.outer(phik._phi(h), phik._phi(g)))
+        for rho in (0.5, 0.9, 0.900001, 0.99, 1.0):
+            assert phik._cell_probs(r, k, rho).min() > -1e-12
+    h = np.linspace(-5, 5, 12)
+    assert np.allclose(phik._bvn_cdf(h, h, 0.9), phik._bvn_cdf(h, h, 0.9 + 1e-12), atol=1e-11)
+
+
 def test_independent_and_bijective_columns(spark):
     rows = [(str(i % 3), str(i % 3), str(i % 2)) for i in range(600)]
     df = spark.createDataFrame(rows, "a string, b string, c string")
