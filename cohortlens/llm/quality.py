@@ -127,14 +127,14 @@ def held_out():
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, vocabulary: int = VOCABULARY) -> Model | None:
     """Model from at most ``sample_rows`` labelled documents (smallest hashes of the id), whole texts.
 
-    None if no labelled row remains. A document with several labels takes the
-    smallest.
+    None if no labelled row remains. A document with several labels or texts
+    takes the smallest.
     """
     chosen = (labels.where(learnable() & F.col("quality").isNotNull()).groupBy("doc_id")
               .agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows))
     sample = materialise(
         docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-        .dropDuplicates(["doc_id"]).repartition(8, "doc_id"), "quality-sample")
+        .groupBy("doc_id", "quality").agg(F.min("text").alias("text")).repartition(8, "doc_id"), "quality-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
