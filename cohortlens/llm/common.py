@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
@@ -49,6 +49,25 @@ def ascii_lower(column):
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def hashed_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """At most ``n`` of the distinct ``rows(doc_id, key)`` per key: those with the smallest hashes of the id.
+
+    Hashes are first counted by their bit length, so that only the rows up to
+    the length at which a key has ``n`` (about ``2 n`` at most) are ranked, not
+    all rows of a key. One row per key is broadcast; a caller's model holds
+    more than that for each key. The sample does not depend on the partitioning.
+    """
+    rows = rows.select("doc_id", key).distinct().withColumn("_hash", F.xxhash64("doc_id"))
+    # the signed order as an unsigned one: low values have few bits
+    rows = rows.withColumn("_bits", F.length(F.bin(F.col("_hash").bitwiseXOR(F.lit(-(1 << 63))))))
+    upto = Window.partitionBy(key).orderBy("_bits")  # at most 64 rows per key
+    levels = rows.groupBy(key, "_bits").count().withColumn("_upto", F.sum("count").over(upto))
+    limits = levels.groupBy(key).agg(F.coalesce(F.min(F.when(F.col("_upto") >= n, F.col("_bits"))), F.lit(64)).alias("_most"))
+    near = rows.join(F.broadcast(limits), key).where("_bits <= _most")
+    place = Window.partitionBy(key).orderBy("_hash", "doc_id")
+    return near.withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= n).select("doc_id", key)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for the undirected ``edges(a, b)``; root is the smallest node.
 

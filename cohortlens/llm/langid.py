@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import row_slices
+from .common import hashed_sample, row_slices
 from .text import all_rows, lower_words
 
 UNKNOWN = "und"
@@ -91,16 +91,21 @@ class Parser:
         self.known: dict[str, tuple[int, ...]] = {}
 
     def counts(self, words: list[str]) -> np.ndarray:
-        """Phrases per word and language; zero for pieces that are not words."""
+        """Phrases per word and language, of the letters in it; zero for pieces without a letter."""
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         known, none = self.known, (0,) * len(self.languages)
         for w in words:
             if w not in known:
-                known[w] = tuple(a.phrases(f" {w} ") for a in self.automata) if w[:1].isalpha() else none
+                core = letters_of(w)
+                known[w] = tuple(a.phrases(f" {core} ") for a in self.automata) if core else none
         return np.array([known[w] for w in words], np.float64).reshape(len(words), len(self.languages))
 
 
+def letters_of(piece: str) -> str:
+    return piece if piece.isalpha() else "".join(filter(str.isalpha, piece))
+
+
 @lru_cache(maxsize=2)
 def _parser(samples: tuple[tuple[str, str], ...]) -> Parser:
     return Parser(samples)
@@ -122,9 +127,7 @@ def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE,
     The sample has the smallest hashes of the id, so it does not depend on
     the partitioning; the words are the ``words_per_language`` commonest.
     """
-    place = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (labelled(docs).select("doc_id", "lang").distinct().withColumn("n", F.row_number().over(place))
-              .where(F.col("n") <= docs_per_language).select("doc_id", "lang"))
+    chosen = hashed_sample(labelled(docs), "lang", docs_per_language)
     texts = labelled(docs).select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
     words = (texts.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("w"))
              .groupBy("lang", "w").count())
@@ -153,7 +156,7 @@ def predict(docs: DataFrame, samples: tuple[tuple[str, str], ...], sharpness: fl
             for i, j in row_slices(b.column(2)):
                 pieces = all_rows(b.column(2).slice(i, j - i), lower_words, lambda t: _WORD.findall(t.lower()))
                 per_word = parser.counts(pieces.values)
-                sizes = np.array([len(w) if w[:1].isalpha() else 0 for w in pieces.values], np.float64)
+                sizes = np.array([len(letters_of(w)) for w in pieces.values], np.float64)
                 letters = _row_sums(sizes[:, None], pieces.codes, pieces.ends)[:, 0]
                 best, score = np.full(j - i, k), np.zeros(j - i)
                 if k:

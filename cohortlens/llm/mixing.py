@@ -18,10 +18,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import hashed_sample, materialise
 
 BUCKETS = 2_048
 SAMPLE_PER_DOMAIN = 400
@@ -58,10 +58,9 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, per_domain: int = SAMPL
     """Softmax regression on at most ``per_domain`` rows of ``labelled(doc_id, domain)`` each, whole texts.
 
     Null domains are no label. Without any label there is one domain, ``all``.
+    A repeated id is learnt once, by its smallest text.
     """
-    place = Window.partitionBy("domain").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (labelled.where("domain is not null and doc_id is not null").select("doc_id", "domain").distinct()
-              .withColumn("n", F.row_number().over(place)).where(F.col("n") <= per_domain).drop("n"))
+    chosen = hashed_sample(labelled.where("domain is not null and doc_id is not null"), "domain", per_domain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -69,7 +68,7 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, per_domain: int = SAMPL
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float32()))], names=["domain", "x"])
 
     rows = (docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
-            .select("domain", "text").mapInArrow(run, "domain string, x array<float>").collect())
+            .groupBy("doc_id", "domain").agg(F.min("text").alias("text")).select("domain", "text").mapInArrow(run, "domain string, x array<float>").collect())
     domains = tuple(sorted({r[0] for r in rows})) or ("all",)
     if len(domains) == 1:
         return Classifier(domains, np.zeros((BUCKETS, 1)), np.zeros(1))

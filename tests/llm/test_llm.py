@@ -14,7 +14,7 @@ import pytest
 import corpus_pipeline
 from cohortlens.llm import (bpe, exact_dedup, fingerprints, langid, mixing, pii, quality, queries, secrets, simhash,
                             text, token_store)
-from cohortlens.llm.common import connected_components
+from cohortlens.llm.common import connected_components, hashed_sample
 
 SF = "/root/testdata/sf0.001"
 # extra columns whose names clash with internal ones; a repeated row, a null id, nulls, ties, a long text
@@ -203,6 +203,15 @@ def test_fingerprints(spark, real, ranges):
     assert np.mean([r["near_edited"] > r["near_next"] for r in got.values()]) > 0.95
 
 
+def test_range_search(spark):
+    from pyspark.sql import functions as F
+
+    ends = [-4, 0, 1, 9, 30, 31, 70]
+    for k in range(1, len(ends) + 1):
+        rows = spark.range(-6, 75).select("id", fingerprints._ends_below(F.col("id"), ends[:k]).alias("n")).collect()
+        assert all(r["n"] == sum(e < r["id"] for e in ends[:k]) for r in rows)
+
+
 def test_fingerprint_edges(spark, odd, none):
     rows = fingerprints.compare_with_next(odd, ranges=3).collect()
     assert len(rows) == len(ODD) and fingerprints.compare_with_next(none).count() == 0
@@ -281,6 +290,26 @@ def test_suffix_automaton():
         assert a.phrases(word) == n
 
 
+def test_hashed_sample(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    rows = spark.range(5000).selectExpr("id as doc_id", "if(id % 3 = 0, concat('k', id % 7), 'hot') as k")
+    rows = rows.unionByName(rows.where("doc_id < 50"))
+    place = Window.partitionBy("k").orderBy(F.xxhash64("doc_id"), "doc_id")
+    for n in (1, 40, 1000):
+        want = rows.distinct().withColumn("n", F.row_number().over(place)).where(F.col("n") <= n)
+        got = hashed_sample(rows, "k", n)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select("doc_id", "k").collect()))
+
+
+def test_langid_contractions_and_numerals(spark):
+    docs = spark.createDataFrame([(1, "12's"), (2, "²日 7"), (3, "12 ²!"), (4, None)], "doc_id bigint, text string")
+    got = by_id(langid.predict(docs, (("de", " das "), ("en", " s it "))))
+    assert {i: r["lang_pred"] == "und" for i, r in got.items()} == {1: False, 2: False, 3: True, 4: True}
+    assert got[1]["lang_pred"] == "en"
+
+
 def test_langid(spark, odd, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
@@ -339,6 +368,10 @@ def test_pipeline(spark):
     assert len({t.lower() for t in texts.values()}) == len(texts)
     fps = {i: simhash.fingerprint(t, 3) for i, t in texts.items()}
     assert brute_components(fps, 3) == {i: i for i in fps}
+    twice = spark.createDataFrame([(1, "one two three four"), (3, "one two three four"), (3, "quite another text here"),
+                                   (4, "quite another text here"), (None, "one two three four")], "doc_id bigint, text string")
+    near = sorted((r["doc_id"] or 0, r["text"][:3]) for r in corpus_pipeline.drop_near_copies(spark, twice, SF).collect())
+    assert near == [(0, "one"), (1, "one"), (3, "one"), (3, "qui")]
     final = corpus_pipeline.run(spark, SF).collect()
     assert {r["doc_id"] for r in final} == set(texts)
     assert all(tuple(r)[1:] == expected_bpe(texts[r["doc_id"]]) for r in final[:40])
