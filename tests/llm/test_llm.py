@@ -354,6 +354,38 @@ def test_mixing_meets_targets(spark, odd, none):
     assert mixed.columns == odd.columns and mixed.where("text is null").count() >= 1
 
 
+def made_members(spark, posteriors):
+    rows = [(i, 100 + i % 7, [float(x) for x in q]) for i, q in enumerate(posteriors)]
+    return spark.createDataFrame(rows, "doc_id bigint, n_tokens bigint, posteriors array<double>")
+
+
+def test_mixing_meets_targets_of_a_rare_domain(spark):
+    rnd = np.random.default_rng(5)
+    at = np.repeat(np.arange(5), [8000, 6000, 3000, 2990, 10])
+    z = rnd.normal(0, 1.5, (len(at), 5))
+    z[np.arange(len(at)), at] += 9
+    p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+    n = 100.0 + np.arange(len(at)) % 7
+    members = made_members(spark, p).cache()
+    for wanted in (np.full(5, n.sum() / 5), (n @ p) * [1, 1, 1, 1, 0.05], (n @ p) * [1, 0.5, 1, 1, 50]):
+        rates = mixing.solve_rates(members, 5, wanted)(p)
+        assert (rates >= 0).all() and np.abs((n * rates) @ p / wanted - 1).max() < mixing.TOLERANCE
+    members.unpersist()
+
+
+def test_mixing_names_missed_targets(spark):
+    members = made_members(spark, [[0.6, 0.4]] * 5 + [[0.7, 0.3]] * 5)
+    rates = mixing.solve_rates(members, 2, np.array([500.0, 500.0]))
+    with pytest.raises(ValueError, match="not met.*a .*b "):
+        rates.report(("a", "b"), stated=True)
+    with pytest.warns(UserWarning, match="not met"):
+        rates.report(("a", "b"), stated=False)
+    docs = spark.createDataFrame([(i, f"{'abc' if i % 2 else 'xyz'} {i}", "ab"[i % 2]) for i in range(20)], "doc_id bigint, text string, domain string")
+    for targets in ({"a": 10.0, "c": 5.0}, {"a": 1e-9, "b": 1e9}):
+        with pytest.raises(ValueError, match="mixing targets"):
+            mixing.mixing_rates(docs, docs.select("doc_id", "domain"), targets)
+
+
 def test_pipeline(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact_dedup", "near_dedup", "mixing", "bpe"]
     docs = spark.read.parquet(f"{SF}/documents.parquet")
