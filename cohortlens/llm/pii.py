@@ -7,12 +7,23 @@ pattern cuts a text into gaps and hits; a hit is permuted in an eight-round
 Feistel network whose two halves are residues modulo ``a`` and ``b``; a value
 domain is a product of the two, so the permutation never leaves it:
 
-* phone numbers and social security numbers: their digits,
-* card numbers (13 to 19 digits, valid check digit): all digits but the last,
-  which is computed anew; other runs of that length: all digits,
+* phone numbers (grouped 3-3-4, ten digits in a run, or ``+`` and 8 to 15 digits
+  in any groups): their digits without the country code,
+* social security numbers: their digits,
+* card numbers (13 to 19 digits in a run, 4-4-4-4, 4-6-5 or 4-6-4; valid check
+  digit): all digits but the last, which is computed anew; other numbers of
+  these forms: all digits,
 * IPv4 addresses: two 16-bit halves,
-* dates of 1900-01-01 to 2100-01-01: the day number, 73,050 = 150 x 487 days,
+* dates of 1900-01-01 to 2100-01-01: the day number, 73,050 = 150 x 487 days;
+  NN/NN/NNNN and NN.NN.NNNN are read day first, or month first if only that is
+  a date, and written back in the same order,
 * e-mail addresses: no numeric format, so a keyed name at a reserved domain.
+
+Left as they are: dates with one-digit days or months, two-digit years, dashes
+(NN-NN-NNNN) or month names, and dates outside the range; national phone numbers
+in groups other than 3-3-4, local ones, and ``00`` for ``+`` (save ten digits in a
+run); cards in other groups; IPv6 addresses; social security numbers without
+dashes or that cannot be issued. Any ten digits in a run count as a phone number.
 """
 
 from __future__ import annotations
@@ -31,9 +42,16 @@ IPV4 = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])"
 PHONE = r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
 GROUPED = r"(?<![0-9A-Za-z])[0-9]{4}(?:[ -][0-9]{4}){3}(?![0-9A-Za-z])"
+# 15 and 14 digit cards
+GROUPED_6 = r"(?<![0-9A-Za-z])[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}(?![0-9A-Za-z])"
 LONG_NUMBER = r"(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z])"
 DATE_DMY = r"(?<![0-9./])[0-9]{2}(?:\.[0-9]{2}\.|/[0-9]{2}/)[0-9]{4}(?![0-9])"
-COMBINED = "|".join((EMAIL, DATE_YMD, DATE_DMY, IPV4, SSN, PHONE, GROUPED, LONG_NUMBER))
+# a plus before one of the other forms is no part of it
+PHONE_PLUS = (r"(?<![0-9A-Za-z+])\+(?!" + "|".join((DATE_YMD, DATE_DMY, IPV4, SSN, GROUPED, GROUPED_6)) +
+              r")[1-9](?:[ .()-]{0,2}[0-9]){7,14}(?![0-9])")
+PHONE_RUN = r"(?<![0-9A-Za-z_])(?<![0-9]\.)[0-9]{10}(?![0-9A-Za-z_]|\.[0-9])"
+COUNTRY = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+COMBINED = "|".join((EMAIL, DATE_YMD, DATE_DMY, IPV4, SSN, PHONE, PHONE_PLUS, GROUPED, GROUPED_6, LONG_NUMBER, PHONE_RUN))
 # the order in which a hit takes its kind
 KINDS = ("email", "date", "ip", "ssn", "phone", "card", "number")
 
@@ -79,23 +97,28 @@ def _luhn_sum(digits: Column, shift: int) -> Column:
 
 
 def _regroup(digits: Column, hit: Column) -> Column:
-    """``digits`` in the separators of a 4-4-4-4 number, or as they are."""
-    mark = F.substr(hit, F.lit(5), F.lit(1))
-    groups = [F.substr(digits, F.lit(1 + 4 * i), F.lit(4)) for i in range(4)]
-    return F.when(mark.rlike("[ -]"), F.concat_ws("", groups[0], mark, groups[1], F.substr(hit, F.lit(10), F.lit(1)),
-                                                  groups[2], F.substr(hit, F.lit(15), F.lit(1)), groups[3])
-                  ).otherwise(digits)
+    """``digits`` in the places of the digits of ``hit``."""
+    pairs = F.arrays_zip(F.split(hit, "[0-9]", -1).alias("gap"), F.split(digits, "").alias("digit"))
+    return F.array_join(F.transform(pairs, lambda x: F.concat(x["gap"], F.coalesce(x["digit"], F.lit("")))), "")
 
 
 def _bare(hit: Column) -> Column:
     return F.regexp_replace(hit, "[^0-9]", "")
 
 
+def _day_first(hit: Column) -> Column:
+    return F.try_to_timestamp(F.concat_ws("-", F.substr(hit, F.lit(7), F.lit(4)), F.substr(hit, F.lit(4), F.lit(2)),
+                                          F.substr(hit, F.lit(1), F.lit(2))), F.lit("yyyy-MM-dd")).cast("date")
+
+
+def _month_first(hit: Column) -> Column:
+    return F.try_to_timestamp(F.concat_ws("-", F.substr(hit, F.lit(7), F.lit(4)), F.substr(hit, F.lit(1), F.lit(2)),
+                                          F.substr(hit, F.lit(4), F.lit(2))), F.lit("yyyy-MM-dd")).cast("date")
+
+
 def _date_of(hit: Column) -> Column:
-    iso = F.when(hit.rlike("^[0-9]{4}-"), hit).otherwise(
-        F.concat_ws("-", F.substr(hit, F.lit(7), F.lit(4)), F.substr(hit, F.lit(4), F.lit(2)),
-                    F.substr(hit, F.lit(1), F.lit(2))))
-    return F.try_to_timestamp(iso, F.lit("yyyy-MM-dd")).cast("date")
+    return F.when(hit.rlike("^[0-9]{4}-"), F.try_to_timestamp(hit, F.lit("yyyy-MM-dd")).cast("date")).otherwise(
+        F.coalesce(_day_first(hit), _month_first(hit)))
 
 
 def kind_of(hit: Column) -> Column:
@@ -108,7 +131,7 @@ def kind_of(hit: Column) -> Column:
                   F.when(day.between(0, DAYS_A * DAYS_B - 1), "date"))
             .when(hit.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), F.when(F.forall(octets, lambda o: o <= 255), "ip"))
             .when(hit.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), F.when(ssn, "ssn"))
-            .when(hit.rlike("^[0-9]{13,19}$|^[0-9]{4}([ -][0-9]{4}){3}$"),
+            .when(hit.rlike("^[0-9]{13,19}$|^[0-9]{4}([ -][0-9]{4}){3}$|^[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}$"),
                   F.when(_luhn_sum(_bare(hit), 0) % 10 == 0, "card").otherwise("number"))
             .otherwise("phone"))
 
@@ -121,11 +144,9 @@ def _pseudonym(hit: Column, kind: Column, key: str) -> Column:
     ssn = F.transform(F.array(permute_digits(digits, key, "ssn")), lambda p: F.concat_ws(
         "-", F.substr(p, F.lit(1), F.lit(3)), F.substr(p, F.lit(4), F.lit(2)), F.substr(p, F.lit(6), F.lit(4))))[0]
     # a phone number keeps its country code and separators
-    tail = r"(\(?)[0-9]{3}(\)?[ .-]?)[0-9]{3}([ .-])[0-9]{4}$"
-    lead = F.regexp_replace(hit, tail, "")
-    phone = F.transform(F.array(permute_digits(F.right(digits, F.lit(10)), key, "phone")), lambda p: F.concat(
-        lead, F.regexp_extract(hit, tail, 1), F.substr(p, F.lit(1), F.lit(3)), F.regexp_extract(hit, tail, 2),
-        F.substr(p, F.lit(4), F.lit(3)), F.regexp_extract(hit, tail, 3), F.substr(p, F.lit(7), F.lit(4))))[0]
+    kept = F.when(hit.rlike(f"^(?:{PHONE})$"), F.char_length(digits) - 10).when(
+        hit.startswith("+"), F.char_length(F.regexp_extract(hit, COUNTRY, 0)) - 1).otherwise(F.lit(0))
+    phone = _regroup(F.concat(F.substr(digits, F.lit(1), kept), permute_digits(F.substr(digits, kept + 1), key, "phone")), hit)
     octet = F.transform(F.split(hit, r"\."), lambda o: o.cast("bigint"))
     wide = F.lit(65536)
     ip = F.transform(F.array(_feistel(octet[0] * 256 + octet[1], octet[2] * 256 + octet[3], wide, wide, key, F.lit("ip"))),
@@ -136,6 +157,8 @@ def _pseudonym(hit: Column, kind: Column, key: str) -> Column:
                                          F.lit("date"))),
                         lambda s: F.date_add(F.to_date(F.lit(FIRST_DAY)), (s["l"] * DAYS_B + s["r"]).cast("int")))[0]
     date = (F.when(hit.rlike("^[0-9]{4}-"), F.date_format(moved, "yyyy-MM-dd"))
+            .when(_day_first(hit).isNull(), F.when(hit.contains("/"), F.date_format(moved, "MM/dd/yyyy")).otherwise(
+                F.date_format(moved, "MM.dd.yyyy")))
             .when(hit.contains("/"), F.date_format(moved, "dd/MM/yyyy")).otherwise(F.date_format(moved, "dd.MM.yyyy")))
     name = F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(hit)), 256)
     email = F.concat(F.lit("user-"), F.substring(name, 1, 16), F.lit("@example.invalid"))

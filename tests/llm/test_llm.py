@@ -274,6 +274,29 @@ def test_pii(spark, odd, none):
     assert pii.pseudonymise(odd, "k").count() == len(ODD) and pii.pseudonymise(none, "k").count() == 0
 
 
+def test_pii_further_shapes(spark):
+    rows = ["on 12/31/1999 or", "on 31/12/1999 or", "a 1999-12-31 b", "a 12.31.1999 b", "a 31/31/1999 b", "a 12/31/2100 b",
+            "c 3782 822463 10005", "c 378282246310005", "c 3782-822463-10006 d", "c 3056 930902 5904",
+            "t +44 20 7946 0958, x", "t +442079460958.", "t (207) 946-0958", "t 2079460958.", "t +44 207 946 0958",
+            "t +380 (44) 123-45-67", "+2001-02-03 +4111 1111 1111 1111 +10.200.30.40", "v 1234567890.5 id_1234567890 123456789"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    got = sorted(pii.pseudonymise(docs, "k").collect(), key=lambda r: r["doc_id"])
+    out = [r["text"] for r in got]
+    for i, kind in enumerate(["date"] * 4 + [None] * 2 + ["card"] * 2 + ["number", "card"] + ["phone"] * 6):
+        shape = re.sub("[0-9]", "#", out[i])
+        assert shape == re.sub("[0-9]", "#", rows[i]) and (out[i] != rows[i]) == (kind is not None), rows[i]
+        assert got[i]["n_private"] == (kind is not None) and (kind is None or got[i][f"n_{kind}"] == 1), rows[i]
+    year, month, day = out[2].split()[1].split("-")
+    assert out[0].split()[1] == f"{month}/{day}/{year}" and out[1].split()[1] == f"{day}/{month}/{year}"
+    assert out[3].split()[1] == f"{month}.{day}.{year}"
+    digits = [re.sub("[^0-9]", "", t) for t in out]
+    assert digits[6] == digits[7] and luhn(digits[6]) and luhn(digits[9])
+    assert {d[-10:] for d in digits[10:15]} == {digits[13]} and all(digits[i][:2] == "44" for i in (10, 11, 14))
+    assert digits[15].startswith("380")
+    assert (got[16]["n_date"], got[16]["n_card"], got[16]["n_ip"], got[16]["n_private"]) == (1, 1, 1, 3)
+    assert out[17] == rows[17]
+
+
 def test_feistel_is_a_permutation(spark):
     from pyspark.sql import functions as F
 
