@@ -54,11 +54,14 @@ def _parts(text: Column, kind: str, pattern: str, value_length: int | None = Non
     return F.when(text.rlike(pattern), rows).otherwise(F.array()).cast(_PART)
 
 
-def _masked(text: Column, pattern: str) -> Column:
-    """The text with each match blanked out, code point for code point."""
+def _masked(text: Column, pattern: str, value_length: int | None = None) -> Column:
+    """The text with each match blanked out, code point for code point; one with too short a value stays."""
     gaps, hits = _gaps_and_hits(text, pattern)
-    pairs = F.arrays_zip(gaps.alias("gap"), F.concat(hits, F.array(F.lit(""))).alias("hit"))
-    blank = F.transform(pairs, lambda x: F.concat(x["gap"], F.repeat(F.lit(" "), F.char_length(x["hit"]))))
+    ok = hits if value_length is None else F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
+    end = F.array(F.lit(""))
+    pairs = F.arrays_zip(gaps.alias("gap"), F.concat(hits, end).alias("hit"), F.concat(ok, end).alias("value"))
+    blank = F.transform(pairs, lambda x: F.concat(x["gap"], F.when(
+        F.char_length(x["value"]) >= (value_length or 0), F.repeat(F.lit(" "), F.char_length(x["hit"]))).otherwise(x["hit"])))
     return F.when(text.rlike(pattern), F.array_join(blank, "")).otherwise(text)
 
 
@@ -67,8 +70,8 @@ def _found(rows: DataFrame) -> DataFrame:
     base = F.concat(_parts(F.col("text"), "assign", ASSIGN, ASSIGN_VALUE),
                     _parts(F.col("text"), "access", ACCESS), _parts(F.col("text"), "hex", HEX))
     masked = rows.withColumn("base", base)
-    for pattern in (ASSIGN, ACCESS, HEX):
-        masked = masked.withColumn("text", _masked(F.col("text"), pattern))
+    for pattern, length in ((ASSIGN, ASSIGN_VALUE), (ACCESS, None), (HEX, None)):
+        masked = masked.withColumn("text", _masked(F.col("text"), pattern, length))
     weak = [_parts(F.col("text"), kind, pattern) for kind, pattern, _ in WEAK]
     # equal rows give equal parts: distinct keeps repeated rows from counting twice
     parts = (masked.select("doc_id", "key", F.explode(F.concat("base", *weak)).alias("p"))

@@ -247,6 +247,14 @@ def test_secrets(spark, real, none):
     assert secrets.scan_secrets(none).count() == 0
 
 
+def test_secrets_keep_parts_under_a_short_assignment(spark):
+    key = "Kx9" * 6 + "Qz"
+    texts = [f"token: https://vault.example/x {key}", f"secret: login: bob {key}", f"token: abcdefgh {key}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = [r["spans"] for r in sorted(secrets.scan_secrets(docs).collect(), key=lambda r: r["doc_id"])]
+    assert got == ["endpoint:7:30,keylike:31:51", "user:8:18,keylike:19:39", "assign:0:15"]
+
+
 def luhn(d):
     return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
 
