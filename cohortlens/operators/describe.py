@@ -1,6 +1,7 @@
 """Distribution summaries (A10, H1-H3, B7): the data behind each chart.
 
-All statistics of all columns come from one aggregate pass; histograms are
+Descriptive and box statistics read the wanted columns as stored doubles
+(:func:`.quantile.stored_columns`), so what lies below runs once; histograms are
 one min/max aggregate (read through a scalar subquery or a per-group join of
 a tiny frame) plus one grouped count. Empty bins are listed with 0 by
 joining a generated bin index (n rows per group) - no row-level data leaves
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import add_equal_width_bin, bin_edge, round_half_even
-from .quantile import exact_quantiles
+from .quantile import exact_quantiles, stored_columns
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
            T.DoubleType, T.DecimalType)
@@ -29,9 +30,9 @@ def numeric_columns(df: DataFrame) -> list[str]:
 QUARTILES = (0.25, 0.5, 0.75)
 
 
-def quartiles(df: DataFrame, cols: list[str]) -> dict[str, Column]:
-    """Exact quartiles per column as an array of literals, all columns in the same passes."""
-    found = exact_quantiles(df, [(c, q) for c in cols for q in QUARTILES])
+def quartiles(numbers: DataFrame, cols: list[str]) -> dict[str, Column]:
+    """Exact quartiles per stored column as an array of literals, all columns in the same passes."""
+    found = exact_quantiles(numbers, [(c, q) for c in cols for q in QUARTILES], stored=True)
     return {c: F.array(*[F.lit(found[(c, q)]).cast("double") for q in QUARTILES]) for c in cols}
 
 
@@ -41,15 +42,16 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, digits: int =
     ``DataFrame.summary`` the percentiles are exact and come from
     bounded passes shared by all columns (``exact_quantiles``)."""
     cols = list(columns) if columns is not None else numeric_columns(df)
-    qexpr = quartiles(df, cols)
+    numbers = stored_columns(df, cols)
+    qexpr = quartiles(numbers, cols)
     aggs = []
     for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
+        x = F.col(c)
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"),
                  F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"lo{i}"),
                  F.first(qexpr[c]).alias(f"q{i}"),
                  F.max(x).alias(f"hi{i}")]
-    one = df.agg(*aggs)
+    one = numbers.agg(*aggs)
     rows = F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").cast("long").alias("count"),
                  F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("std"),
@@ -137,8 +139,8 @@ def revenue_histogram(profile_f: DataFrame, bins: int = 70, shared_bins: bool =
 def box_stats(df: DataFrame, column: str, whisker: float = 1.5, digits: int = 6) -> DataFrame:
     """Box-plot numbers (H2): quartiles (exact, linear), whiskers at the most
     extreme points within ``whisker`` x IQR of the box, and outlier counts."""
-    x = F.col(column).cast("double")
-    data = df.where(x.isNotNull())
+    x = F.col(column)
+    data = stored_columns(df, [column])
     qs = quartiles(data, [column])[column]
     q1, med, q3 = qs[0], qs[1], qs[2]
     iqr = q3 - q1

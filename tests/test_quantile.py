@@ -9,7 +9,9 @@ import pytest
 from conftest import SF_MID
 from pyspark.sql import functions as F
 
-from cohortlens.operators.quantile import exact_quantiles, outlier_cut
+from cohortlens.operators import quantile
+from cohortlens.operators.describe import box_stats, describe
+from cohortlens.operators.quantile import exact_quantiles, outlier_cut, outlier_volume
 from cohortlens.plans.pipeline import Study
 
 QS = [0.0, 0.01, 0.25, 0.5, 0.77, 0.99, 1.0]
@@ -70,3 +72,50 @@ def test_random_data(spark):
 
 def test_revenue_cut(spark):
     assert outlier_cut(Study.from_fixtures(spark, SF_MID).fx_core, "revenue_rub").count() == 4831
+
+
+@pytest.fixture
+def passes(monkeypatch):
+    """Plans of the passes that a search makes."""
+    seen = []
+    kept = quantile._pass
+
+    def counted(stored, aggregates):
+        seen.append(stored.agg(*aggregates)._jdf.queryExecution().optimizedPlan().toString())
+        return kept(stored, aggregates)
+
+    monkeypatch.setattr(quantile, "_pass", counted)
+    return seen
+
+
+def test_joins_run_once(spark, passes):
+    """Two passes over the stored columns, whatever lies below them."""
+    fx = Study.from_fixtures(spark, SF_MID).fx_core
+    runs = [lambda: outlier_cut(fx, "revenue_rub"), lambda: outlier_volume(fx, "revenue_rub"),
+            lambda: describe(fx), lambda: box_stats(fx, "revenue_rub")]
+    for run in runs:
+        passes.clear()
+        run()
+        assert len(passes) == 2
+        assert all("Join" not in p and "Relation" in p for p in passes)
+    final = outlier_volume(fx, "revenue_rub")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in final
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 50, 999, 20_001, 300_000])
+def test_two_passes_at_any_size(spark, passes, n):
+    df = spark.range(n).selectExpr("cast((id * 7919) % 1000003 as double) as x")
+    got = exact_quantiles(df, [("x", q) for q in QS])
+    assert len(passes) == 2
+    for (_, q), v in got.items():
+        assert v == percentile(df, "x", q)
+
+
+def test_more_rounds_without_lists(spark, passes, monkeypatch):
+    """Beyond what a pass may list, the next round looks between two ends."""
+    monkeypatch.setattr(quantile, "LISTED", 0)
+    df = spark.range(50_000).selectExpr("cast((id * 7919) % 1000003 as double) as x")
+    got = exact_quantiles(df, [("x", q) for q in (0.25, 0.99)], 100)
+    assert len(passes) > 2
+    for (_, q), v in got.items():
+        assert v == percentile(df, "x", q)
