@@ -69,7 +69,7 @@ def add_days_since_prev(df: DataFrame) -> DataFrame:
     may have been added."""
     cols = [c for c in EXTRACT_COLUMNS if c in df.columns or c == "days_since_prev"]
     cols += [c for c in df.columns if c not in cols]
-    out = neighbor_time(df, "user_id", "order_dt", "order_id", direction="prev", out="__prev_order_dt")
+    out = neighbor_time(df, "user_id", "order_dt", "order_id", direction="prev", out="__prev_order_dt", grain="day")
     return (out.withColumn("days_since_prev", whole_days("__prev_order_dt", "order_dt"))
                .select(*cols))
 

@@ -135,7 +135,15 @@ class Study:
     @cached_property
     def profile(self) -> DataFrame:
         """Profile over the cleaned purchases (uncut)."""
-        return self._keep(customer_profile(self.clean), "profile", self.profile_mode)
+        return self._keep(customer_profile(self.clean, values=self.attribute_values), "profile", self.profile_mode)
+
+    @property
+    def attribute_values(self) -> dict[str, DataFrame]:
+        """Where the values of the first-order attributes are read, without the joins of the extract."""
+        t = self.tables
+        kinds = t.purchases.select("device_type_canonical", "service_name")
+        return {"device_type_canonical": kinds, "service_name": kinds, "region_name": t.regions,
+                "event_type_main": t.events}
 
     @cached_property
     def profile_f(self) -> DataFrame:

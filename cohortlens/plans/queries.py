@@ -115,7 +115,7 @@ def r_customer_profile(st: Study) -> DataFrame:
 
 
 def r_first_order_attrs(st: Study) -> DataFrame:
-    return first_order_attrs(st.clean)
+    return first_order_attrs(st.clean, values=st.attribute_values)
 
 
 def r_order_gap_mean(st: Study) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from decimal import Decimal
+
 from conftest import SF_MID, SF_SMALL
 
 from cohortlens.operators import buckets
+from cohortlens.operators import profile as profiles
 from cohortlens.operators.fx import fx_normalise
 from cohortlens.plans.pipeline import Study
 from cohortlens.plans.queries import FILE_REPORTS, REPORTS
@@ -37,6 +41,36 @@ def test_gaps_and_profile_stay_in_the_jvm(spark):
         assert "MapInPandas" not in p and "EvalPython" not in p
 
 
+def test_profile_hashes_and_does_not_sort_orders(spark):
+    st = Study.from_fixtures(spark, SF_MID)
+    for df in (st.profile, REPORTS["first_order_attrs"](st)):
+        p = plan(df)
+        assert "SortAggregate" not in p and "ObjectHashAggregate" not in p and "HashAggregate" in p
+    # the windows over (user, hour) and user sort aggregated rows only
+    assert "Sort " not in plan(REPORTS["first_order_attrs"](st))
+
+
+def test_ranked_first_attributes_equal_structs(spark, monkeypatch):
+    """Ties, nulls, rows without a time, times before 1970, more values than are ranked."""
+    t = [dt.datetime(1969, 5, 1, 3), dt.datetime(1969, 5, 1, 3, 0, 0, 1), dt.datetime(2024, 1, 1, 10), None]
+    rows = [(u, t[(u * 7 + k * 3) % 4 if u % 5 else 3], k, *[None if (u + k + j) % 3 == 0 else f"v{(u * k * (j + 3)) % 11}" for j in range(4)],
+             Decimal("1.5"), 2) for u in range(1, 60) for k in range(u % 6 + 1)]
+    rows.append((None, t[2], 1, "a", "b", "c", "d", Decimal("1"), 1))
+    df = spark.createDataFrame(rows, "user_id bigint, order_ts timestamp_ntz, order_id bigint, device_type_canonical string, "
+                                     "region_name string, service_name string, event_type_main string, "
+                                     "revenue_rub decimal(24,6), tickets_count int")
+    ranked = [profiles.customer_profile(df), profiles.first_order_attrs(df)]
+    monkeypatch.setattr(profiles, "attribute_ranks", lambda values: None)
+    structs = [profiles.customer_profile(df), profiles.first_order_attrs(df)]
+    for a, b in zip(ranked, structs):
+        assert a.schema == b.schema and a.count() == b.count() == 59 and a.exceptAll(b).isEmpty()
+    monkeypatch.undo()
+    assert profiles.attribute_ranks({"service_name": df}, limit=3) is None
+    wide = profiles.attribute_ranks({"service_name": df, "region_name": df})
+    assert [r.value for r in wide.where("attr = 'region_name'").orderBy("rank").collect()] == sorted(
+        {r[4] for r in rows if r[4]})
+
+
 def test_orders_are_not_shuffled_by_day_for_the_rates(spark):
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")

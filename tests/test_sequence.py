@@ -26,10 +26,11 @@ def plain(df, direction):
 
 
 def check(df, direction):
-    a, b = neighbor_time(df, "user_id", "ts", "event_id", direction, "nb"), plain(df, direction)
-    assert a.columns == b.columns
-    assert a.count() == b.count() == df.count()
-    assert a.exceptAll(b).isEmpty()
+    for grain in ("hour", "day"):
+        a, b = neighbor_time(df, "user_id", "ts", "event_id", direction, "nb", grain), plain(df, direction)
+        assert a.columns == b.columns
+        assert a.count() == b.count() == df.count()
+        assert a.exceptAll(b).isEmpty()
 
 
 def test_neighbor_time_matches_window(spark):
@@ -68,3 +69,29 @@ def test_gap_stats_matches_window(spark):
                     F.count("nb").alias("c")).collect()}
         assert got == exp
         assert got[-1][1] == ev.where("user_id = -1").count() - 1
+
+
+def test_day_keys_take_fewer_exchanges(spark):
+    days = skewed_events(spark).withColumn("ts", F.date_trunc("day", "ts"))
+    plans = [neighbor_time(days, "user_id", "ts", "event_id", "prev", "nb", grain)._jdf.queryExecution().executedPlan()
+             .toString().count("Exchange hashpartitioning") for grain in ("hour", "day")]
+    assert plans[1] < plans[0]
+
+
+def test_rows_without_a_key_are_spread(spark):
+    """A third of the rows has no user: no task of the join gets many of them."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        ev = skewed_events(spark).withColumn("user_id", F.when(F.col("user_id") >= 0, F.col("user_id")))
+        ev = ev.withColumn("ts", F.when(F.col("event_id") % 2 == 0, F.date_trunc("year", "ts")).otherwise(F.date_trunc("day", "ts")))
+        out = neighbor_time(ev, "user_id", "ts", "event_id", "prev", "nb", "day")
+        sizes = [r.n for r in out.groupBy(F.spark_partition_id())
+                 .agg(F.count_if(F.col("user_id").isNull()).alias("n"), F.count("nb")).collect()]
+        nulls = ev.where("user_id is null").count()
+        assert nulls > ev.count() / 4 and sum(sizes) == nulls and max(sizes) < 2 * nulls / 8
+        check(ev, "prev")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
