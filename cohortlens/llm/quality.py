@@ -89,11 +89,11 @@ def _codes(texts: pa.Array, index: dict[str, int], n_words: int, known: dict[str
     """
     pieces = all_rows(texts, spaced_pieces, _own_pieces)
     known = {} if known is None else known
-    for p in pieces.values:
+    for p in pieces.words():
         if p not in known:
             word = index.get(token_of(p))
             known[p] = word if word is not None else n_words + SHAPES.index(shape(p))
-    rows = np.fromiter((known[p] for p in pieces.values), np.int64, len(pieces.values))
+    rows = np.fromiter((known[p] for p in pieces.words()), np.int64, len(pieces.values))
     return (rows[pieces.codes] if len(rows) else np.zeros(0, np.int64)), pieces.ends, pieces.codes
 
 
@@ -142,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, voca
                 pieces = all_rows(b.column(0).slice(i, j - i), spaced_pieces, _own_pieces)
                 n = np.bincount(pieces.codes, minlength=len(pieces.values))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([token_of(p) for p in pieces.values], pa.string()), pa.array(n.astype(np.int64))],
+                    [pa.array([token_of(p) for p in pieces.words()], pa.string()), pa.array(n.astype(np.int64))],
                     names=["token", "n"])
 
     words = tuple(r[0] for r in sample.select("text").mapInArrow(count, "token string, n bigint").groupBy("token")

@@ -36,10 +36,13 @@ LOWER = np.array([ord(chr(cp).lower()) if len(chr(cp).lower()) == 1 else cp for
 class Pieces:
     """Pieces of some rows: ``values[codes[k]]`` for k in ``ends[r-1]:ends[r]`` of row r."""
 
-    values: list[str]
+    values: list[str] | pa.Array
     codes: np.ndarray
     ends: np.ndarray  # one longer than the rows, starts with 0
 
+    def words(self) -> list[str]:
+        return self.values.to_pylist() if isinstance(self.values, pa.Array) else self.values
+
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets (from 0) and bytes of a string array without nulls."""
@@ -54,9 +57,9 @@ def plain_rows(texts: pa.Array, marker: str = "<|") -> np.ndarray:
     offsets, data = buffers(texts)
     odd = data >= 0xC6
     odd[:-1] |= (data[:-1] == 0xC4) & (data[1:] == 0xB0)
-    before = np.concatenate([[0], np.cumsum(odd)])
+    before = np.searchsorted(np.flatnonzero(odd), offsets)
     has_marker = pc.match_substring(texts, marker).to_numpy(zero_copy_only=False)
-    return (before[offsets[1:]] == before[offsets[:-1]]) & ~has_marker
+    return (before[1:] == before[:-1]) & ~has_marker
 
 
 def _classified(data: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -118,14 +121,16 @@ def spaced_pieces(texts: pa.Array) -> Pieces:
     _, kinds = _classified(data, lower=False)
     cut, row_end = _runs(kinds, offsets)
     # a white run keeps its last character apart, unless the text ends there
-    after = np.flatnonzero(cut[1:] & (kinds[:-1] == SPACE)) + 1
-    after = after[~row_end[after]]
-    last = after - np.where(data[after - 1] >= 0x80, 2, 1)
-    cut[last] = True
-    cut[after[data[last] == 0x20]] = False  # a blank joins what follows
+    white = kinds == SPACE
+    last = np.zeros(len(data), bool)
+    last[:-1] = white[:-1] & ~white[1:] & ~row_end[1:len(data)]
+    wide = np.flatnonzero(last & (data >= 0x80))  # of two bytes
+    cut |= last
+    cut[wide - 1], cut[wide] = True, False
+    cut[1:] &= ~(last[:-1] & (data[:-1] == 0x20))  # a blank joins what follows
     _contractions(data, kinds, cut, row_end)
     coded, ends = _coded(data, np.flatnonzero(cut), offsets)
-    return Pieces(coded.dictionary.to_pylist(), coded.indices.to_numpy(), ends)
+    return Pieces(coded.dictionary, coded.indices.to_numpy(), ends)
 
 
 def lower_words(texts: pa.Array) -> Pieces:
@@ -151,7 +156,7 @@ def all_rows(texts: pa.Array, fast: Callable[[pa.Array], Pieces], slow: Callable
     if plain.all():
         return fast(texts)
     done = fast(texts.filter(pa.array(plain)))
-    index = {v: i for i, v in enumerate(done.values)}
+    index = {v: i for i, v in enumerate(done.words())}
     parts, ends, taken = [], [0], 0
     for r, easy in enumerate(plain):
         if easy:
