@@ -7,27 +7,39 @@ pattern cuts a text into gaps and hits; a hit is permuted in an eight-round
 Feistel network whose two halves are residues modulo ``a`` and ``b``; a value
 domain is a product of the two, so the permutation never leaves it:
 
-* phone numbers (grouped 3-3-4, ten digits in a run, or ``+`` and 8 to 15 digits
-  in any groups): their digits without the country code,
-* social security numbers: their digits,
+* phone numbers (grouped 3-3-4, ten digits in a run that a national number can
+  have, or ``+`` and 8 to 15 digits in any groups): their digits without the
+  country code,
+* social security numbers that can be issued: their digits,
 * card numbers (13 to 19 digits in a run, 4-4-4-4, 4-6-5 or 4-6-4; valid check
-  digit): all digits but the last, which is computed anew; other numbers of
-  these forms: all digits,
+  digit): all digits but the last, which is computed anew,
 * IPv4 addresses: two 16-bit halves,
 * dates of 1900-01-01 to 2100-01-01: the day number, 73,050 = 150 x 487 days;
   NN/NN/NNNN and NN.NN.NNNN are read day first, or month first if only that is
   a date, and written back in the same order,
 * e-mail addresses: no numeric format, so a keyed name at a reserved domain.
 
-Left as they are: dates with one-digit days or months, two-digit years, dashes
-(NN-NN-NNNN) or month names, and dates outside the range; national phone numbers
-in groups other than 3-3-4, local ones, and ``00`` for ``+`` (save ten digits in a
-run); cards in other groups; IPv6 addresses; social security numbers without
-dashes or that cannot be issued. Any ten digits in a run count as a phone number.
+Made values are valid again: where a permutation leaves the values that can be
+issued (social security numbers) or dialled (ten-digit phone numbers, which
+keep being one or keep being none), it is applied again until it doesn't, which
+is a permutation of those values; ``WALK`` bounds the steps, far beyond what
+any value takes (a chance below 10^-15).
+
+Left as they are: numbers in the form of a card without its check digit, ten
+digits in a run that no national number can have (so times in seconds), 13
+digits and more without a check digit (times in milliseconds); dates with
+one-digit days or months, two-digit years, dashes (NN-NN-NNNN) or month names,
+and dates outside the range; national phone numbers in groups other than
+3-3-4, local ones, and ``00`` for ``+``; cards in other groups; IPv6 addresses;
+social security numbers without dashes or that cannot be issued.
+
+Repeated groups in the patterns are possessive: a chain of a million labels or
+digits is matched in a loop, without recursion, and as a whole.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -36,7 +48,7 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 FIRST_DAY, DAYS_A, DAYS_B = "1900-01-01", 150, 487
 
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 DATE_YMD = r"(?<![0-9.-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9])"
 IPV4 = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])"
@@ -49,11 +61,14 @@ DATE_DMY = r"(?<![0-9./])[0-9]{2}(?:\.[0-9]{2}\.|/[0-9]{2}/)[0-9]{4}(?![0-9])"
 # a plus before one of the other forms is no part of it
 PHONE_PLUS = (r"(?<![0-9A-Za-z+])\+(?!" + "|".join((DATE_YMD, DATE_DMY, IPV4, SSN, GROUPED, GROUPED_6)) +
               r")[1-9](?:[ .()-]{0,2}[0-9]){7,14}(?![0-9])")
-PHONE_RUN = r"(?<![0-9A-Za-z_])(?<![0-9]\.)[0-9]{10}(?![0-9A-Za-z_]|\.[0-9])"
+# fixed value: area code and exchange of the national numbering plan
+NATIONAL = r"[2-9][0-8][0-9][2-9][0-9]{6}"
+PHONE_RUN = rf"(?<![0-9A-Za-z_])(?<![0-9]\.){NATIONAL}(?![0-9A-Za-z_]|\.[0-9])"
 COUNTRY = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 COMBINED = "|".join((EMAIL, DATE_YMD, DATE_DMY, IPV4, SSN, PHONE, PHONE_PLUS, GROUPED, GROUPED_6, LONG_NUMBER, PHONE_RUN))
 # the order in which a hit takes its kind
-KINDS = ("email", "date", "ip", "ssn", "phone", "card", "number")
+KINDS = ("email", "date", "ip", "ssn", "phone", "card")
+WALK = 64
 
 
 def _power(n: Column) -> Column:
@@ -86,6 +101,16 @@ def permute_digits(digits: Column, key: str, domain: str) -> Column:
     return pair[0]
 
 
+def _walked(value: Column, step: Callable[[Column], Column], fits: Callable[[Column], Column]) -> Column:
+    """``step`` applied once, and again while the value doesn't fit."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), step(value), lambda v, _: F.when(fits(v), v).otherwise(step(v)))
+
+
+def issuable(digits: Column) -> Column:
+    """Social security numbers that can be issued."""
+    return digits.rlike("^(?!000|666|9)[0-9]{3}(?!00)[0-9]{2}(?!0000)[0-9]{4}$")
+
+
 def _luhn_sum(digits: Column, shift: int) -> Column:
     """Luhn sum; ``shift`` 0: the last digit counts once, 1: doubled (a check digit will follow)."""
     def add(total: Column, i: Column) -> Column:
@@ -125,14 +150,13 @@ def kind_of(hit: Column) -> Column:
     """Kind of a hit of ``COMBINED``; null if it fails its validation (it then stays as it is)."""
     day = F.datediff(_date_of(hit), F.to_date(F.lit(FIRST_DAY)))
     octets = F.transform(F.split(hit, r"\."), lambda o: o.cast("int"))
-    ssn = (~hit.rlike("^(000|666|9)")) & (~hit.rlike("^...-00-")) & (~hit.rlike("0000$"))
     return (F.when(hit.contains("@"), "email")
             .when(hit.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$|^[0-9]{2}([./])[0-9]{2}\1[0-9]{4}$"),
                   F.when(day.between(0, DAYS_A * DAYS_B - 1), "date"))
             .when(hit.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), F.when(F.forall(octets, lambda o: o <= 255), "ip"))
-            .when(hit.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), F.when(ssn, "ssn"))
+            .when(hit.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), F.when(issuable(_bare(hit)), "ssn"))
             .when(hit.rlike("^[0-9]{13,19}$|^[0-9]{4}([ -][0-9]{4}){3}$|^[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}$"),
-                  F.when(_luhn_sum(_bare(hit), 0) % 10 == 0, "card").otherwise("number"))
+                  F.when(_luhn_sum(_bare(hit), 0) % 10 == 0, "card"))
             .otherwise("phone"))
 
 
@@ -141,12 +165,16 @@ def _pseudonym(hit: Column, kind: Column, key: str) -> Column:
     body = F.substr(digits, F.lit(1), F.char_length(digits) - 1)
     card = F.transform(F.array(permute_digits(body, key, "card")), lambda p: F.concat(
         p, F.pmod(-_luhn_sum(p, 1), F.lit(10)).cast("string")))[0]
-    ssn = F.transform(F.array(permute_digits(digits, key, "ssn")), lambda p: F.concat_ws(
+    issued = _walked(digits, lambda d: permute_digits(d, key, "ssn"), issuable)
+    ssn = F.transform(F.array(issued), lambda p: F.concat_ws(
         "-", F.substr(p, F.lit(1), F.lit(3)), F.substr(p, F.lit(4), F.lit(2)), F.substr(p, F.lit(6), F.lit(4))))[0]
     # a phone number keeps its country code and separators
     kept = F.when(hit.rlike(f"^(?:{PHONE})$"), F.char_length(digits) - 10).when(
         hit.startswith("+"), F.char_length(F.regexp_extract(hit, COUNTRY, 0)) - 1).otherwise(F.lit(0))
-    phone = _regroup(F.concat(F.substr(digits, F.lit(1), kept), permute_digits(F.substr(digits, kept + 1), key, "phone")), hit)
+    dialled = F.transform(F.array(F.substr(digits, kept + 1)), lambda own: _walked(
+        own, lambda d: permute_digits(d, key, "phone"),
+        lambda d: (F.char_length(d) != 10) | (d.rlike(f"^{NATIONAL}$") == own.rlike(f"^{NATIONAL}$"))))[0]
+    phone = _regroup(F.concat(F.substr(digits, F.lit(1), kept), dialled), hit)
     octet = F.transform(F.split(hit, r"\."), lambda o: o.cast("bigint"))
     wide = F.lit(65536)
     ip = F.transform(F.array(_feistel(octet[0] * 256 + octet[1], octet[2] * 256 + octet[3], wide, wide, key, F.lit("ip"))),
@@ -162,8 +190,7 @@ def _pseudonym(hit: Column, kind: Column, key: str) -> Column:
             .when(hit.contains("/"), F.date_format(moved, "dd/MM/yyyy")).otherwise(F.date_format(moved, "dd.MM.yyyy")))
     name = F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(hit)), 256)
     email = F.concat(F.lit("user-"), F.substring(name, 1, 16), F.lit("@example.invalid"))
-    made = {"email": email, "date": date, "ip": ip, "ssn": ssn, "phone": phone, "card": _regroup(card, hit),
-            "number": _regroup(permute_digits(digits, key, "number"), hit)}
+    made = {"email": email, "date": date, "ip": ip, "ssn": ssn, "phone": phone, "card": _regroup(card, hit)}
     return reduce(lambda c, k: c.when(kind == k, made[k]), KINDS[1:], F.when(kind == KINDS[0], made[KINDS[0]])
                   ).otherwise(hit)
 
