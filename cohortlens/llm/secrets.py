@@ -81,25 +81,41 @@ def _found(rows: DataFrame) -> DataFrame:
             .select("doc_id", "key", "kind", (F.col("stop") - F.col("size")).alias("start"), "stop"))
 
 
+def _owned(parts: DataFrame) -> DataFrame:
+    """``parts`` with ``owner``: the start of the endpoint that an endpoint is or a key overlaps, null for the others.
+
+    Neither endpoints nor keys overlap their like, so a key that begins before
+    its endpoint has it as the next of both.
+    """
+    where, either = F.col("kind") == "endpoint", F.col("kind").isin("endpoint", "keylike")
+    order = Window.partitionBy("doc_id", "key", either).orderBy("start", F.when(where, 0).otherwise(1))
+    endpoint = F.when(where, F.struct("start", "stop"))
+    last = F.last(endpoint, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    following = F.lead(endpoint).over(order)
+    owner = F.when(last["stop"] > F.col("start"), last["start"]).when(following["start"] < F.col("stop"), following["start"])
+    return parts.withColumn("owner", F.when(either, owner))
+
+
 def _linked(found: DataFrame, scope: int) -> DataFrame:
-    """Weak candidates with a complementary part in scope."""
+    """Weak candidates with a complementary part in scope; an endpoint and a key inside it are one part."""
     roles = {**ROLE_OF_BASE, **{kind: role for kind, _, role in WEAK}}
     role = F.create_map(*[F.lit(x) for kv in roles.items() for x in kv])[F.col("kind")]
-    parts = found.withColumn("role", role)
+    parts = _owned(found.withColumn("role", role))
     bins = (parts.withColumn("bin", F.explode(F.sequence((F.col("start") / scope).cast("int"),
                                                          ((F.col("stop") - 1) / scope).cast("int"))))
-            .groupBy("doc_id", "key", "role", "bin")
+            .groupBy("doc_id", "key", "role", "bin", "owner")
             .agg(F.min("start").alias("first"), F.max("stop").alias("last")))
     wanted = F.when(F.col("role") == "key", F.array(F.lit("who"), F.lit("where"))).otherwise(F.array(F.lit("key")))
     reach = F.sequence(F.floor((F.col("start") - scope) / scope).cast("int"),
                        ((F.col("stop") + scope) / scope).cast("int"))
     weak = (parts.where(~F.col("kind").isin(*BASE_KINDS))
-            .select("doc_id", "key", "kind", "start", "stop", F.explode(wanted).alias("role"), reach.alias("reach"))
+            .select("doc_id", "key", "kind", "start", "stop", "owner", F.explode(wanted).alias("role"), reach.alias("reach"))
             .withColumn("bin", F.explode("reach")).drop("reach").alias("w"))
     b = bins.alias("b")
     same = (F.col("w.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("w.key") == F.col("b.key"))
             & (F.col("w.role") == F.col("b.role")) & (F.col("w.bin") == F.col("b.bin")))
-    meets = (F.col("b.last") >= F.col("w.start") - scope) & (F.col("b.first") <= F.col("w.stop") + scope)
+    meets = ((F.col("b.last") >= F.col("w.start") - scope) & (F.col("b.first") <= F.col("w.stop") + scope)
+             & (F.col("w.owner").isNull() | F.col("b.owner").isNull() | (F.col("w.owner") != F.col("b.owner"))))
     return weak.join(b, same & meets, "left_semi").select("doc_id", "key", "kind", "start", "stop").distinct()
 
 
