@@ -12,7 +12,7 @@ and of one vector, and no rate is stored, joined or gathered.
 from __future__ import annotations
 
 import warnings
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +26,9 @@ from .common import hashed_sample, materialise
 
 BUCKETS = 2_048
 SAMPLE_PER_DOMAIN = 400
+#: bounds of the fit on the driver, whatever the labels hold: rows in all (of 8 KB each), and domains
+SAMPLE_IN_ALL = 8_000
+MOST_DOMAINS = 64
 TOLERANCE = 1e-4
 MOST_STEPS = 400  # far above what was seen; targets missed there are reported
 RIDGE, LEAST_RIDGE = 1e-3, 1e-9
@@ -58,25 +61,31 @@ def features(text: str | None) -> np.ndarray:
 
 
 def fit_classifier(docs: DataFrame, labelled: DataFrame, per_domain: int = SAMPLE_PER_DOMAIN) -> Classifier:
-    """Softmax regression on at most ``per_domain`` rows of ``labelled(doc_id, domain)`` each, whole texts.
+    """Softmax regression on at most ``per_domain`` rows of ``labelled(doc_id, domain)`` each, whole texts,
+    and at most ``SAMPLE_IN_ALL`` over all domains.
 
-    Null domains are no label. Without any label there is one domain, ``all``.
-    A repeated id is learnt once, by its smallest text.
+    Null domains are no label. Without any label there is one domain, ``all``;
+    more than ``MOST_DOMAINS`` are an error. A repeated id is learnt once, by
+    its smallest text.
     """
-    chosen = hashed_sample(labelled.where("domain is not null and doc_id is not null"), "domain", per_domain)
+    known = labelled.where("domain is not null and doc_id is not null")
+    n_domains = known.select("domain").distinct().count()
+    if n_domains > MOST_DOMAINS:
+        raise ValueError(f"{n_domains} domains; at most {MOST_DOMAINS} can be mixed")
+    chosen = hashed_sample(known, "domain", min(per_domain, SAMPLE_IN_ALL // max(n_domains, 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [features(t.as_py()).astype(np.float32) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float32()))], names=["domain", "x"])
+            x = [features(t.as_py()).astype("<f4").tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary())], names=["domain", "x"])
 
     rows = (docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
-            .groupBy("doc_id", "domain").agg(F.min("text").alias("text")).select("domain", "text").mapInArrow(run, "domain string, x array<float>").collect())
+            .groupBy("doc_id", "domain").agg(F.min("text").alias("text")).select("domain", "text").mapInArrow(run, "domain string, x binary").collect())
     domains = tuple(sorted({r[0] for r in rows})) or ("all",)
     if len(domains) == 1:
         return Classifier(domains, np.zeros((BUCKETS, 1)), np.zeros(1))
-    rows.sort(key=lambda r: (r[0], r[1]))
-    x = np.array([r[1] for r in rows], np.float64)
+    rows.sort(key=lambda r: (r[0], bytes(r[1])))
+    x = np.frombuffer(b"".join(bytes(r[1]) for r in rows), "<f4").reshape(len(rows), BUCKETS).astype(np.float64)
     y = np.eye(len(domains))[[domains.index(r[0]) for r in rows]]
     w, b, vw, vb = np.zeros((BUCKETS, len(domains))), np.zeros(len(domains)), 0.0, 0.0
     for _ in range(300):
@@ -125,6 +134,21 @@ class Rates:
             warnings.warn(said, stacklevel=3)
 
 
+@dataclass(frozen=True)
+class Weights:
+    """Target weights of domains; ``other`` is that of every domain that is not named."""
+
+    by_domain: Mapping[str, float]
+    other: float = 1.0
+
+    def targets(self, domains: Sequence[str], expected: np.ndarray) -> np.ndarray:
+        """Token targets in these proportions, large enough that no domain shrinks."""
+        weights = np.where(expected > 0, [self.by_domain.get(d, self.other) for d in domains], 0)
+        if not weights.sum():
+            return expected
+        return weights * np.max(expected[weights > 0] / weights[weights > 0]) * HEADROOM
+
+
 def tempered_targets(expected: np.ndarray, temper: float = TEMPER) -> np.ndarray:
     """Token targets with weights ``share ** temper``, large enough that no domain shrinks."""
     weights = np.where(expected > 0, np.power(np.maximum(expected, 1e-300) / max(expected.sum(), 1e-300), temper), 0)
@@ -133,11 +157,12 @@ def tempered_targets(expected: np.ndarray, temper: float = TEMPER) -> np.ndarray
     return weights * np.max(expected[weights > 0] / weights[weights > 0]) * HEADROOM
 
 
-def solve_rates(members: DataFrame, n_domains: int, targets: np.ndarray | None = None,
+def solve_rates(members: DataFrame, n_domains: int, targets: np.ndarray | Callable[[np.ndarray], np.ndarray] = tempered_targets,
                 tolerance: float = TOLERANCE) -> Rates:
     """Projected gradient from rate 1 with lazy projection, one aggregation a step.
 
-    ``targets`` are tokens per domain (default: :func:`tempered_targets`).
+    ``targets`` are tokens per domain, or a function that makes them of the
+    expected tokens (default: :func:`tempered_targets`).
     Domains without a target are left out of the fit. It stops when every
     relative miss is below ``tolerance``; targets that no rates meet, or that
     are not met in ``MOST_STEPS``, leave their misses in ``Rates.misses``.
@@ -146,7 +171,7 @@ def solve_rates(members: DataFrame, n_domains: int, targets: np.ndarray | None =
     n = F.col("n_tokens").cast("double")
     row = members.agg(F.coalesce(F.sum(n), F.lit(0.0)), *[F.coalesce(F.sum(n * x), F.lit(0.0)) for x in p]).first()
     total, expected = float(row[0]), np.array(row[1:], float)
-    wanted = tempered_targets(expected) if targets is None else np.asarray(targets, float)
+    wanted = targets(expected) if callable(targets) else np.asarray(targets, float)
     use = (wanted > 0) & (expected > 0)
     scale = np.where(use, total / np.where(use, wanted, 1), 0.0)
     none_there = np.where((wanted > 0) & (expected <= 0) & (total > 0), -1.0, 0.0)
@@ -230,24 +255,33 @@ def copies_of(rates: np.ndarray, ids: list) -> np.ndarray:
     return np.floor(rates + draw).astype(np.int64)
 
 
-def _reported_rates(members: DataFrame, classifier: Classifier, targets: dict[str, float] | None = None) -> Rates:
+#: tokens per domain, or weights that they shall have
+Targets = Mapping[str, float] | Weights
+
+
+def _reported_rates(members: DataFrame, classifier: Classifier, targets: Targets | None = None) -> Rates:
     """Rates for ``targets``; a missed target, or one of an unknown domain, does not pass in silence."""
-    wanted = None if targets is None else np.array([targets.get(d, 0.0) for d in classifier.domains])
-    rates = solve_rates(members, len(classifier.domains), wanted)
-    unknown = [d for d, t in (targets or {}).items() if t > 0 and d not in classifier.domains]
-    if unknown and rates.scale.any():
-        raise ValueError(f"mixing targets for domains without a labelled document: {', '.join(sorted(unknown))}")
-    rates.report(classifier.domains, targets is not None)
+    domains = classifier.domains
+    if isinstance(targets, Weights):
+        rates = solve_rates(members, len(domains), lambda expected: targets.targets(domains, expected))
+    elif targets is None:
+        rates = solve_rates(members, len(domains))
+    else:
+        rates = solve_rates(members, len(domains), np.array([targets.get(d, 0.0) for d in domains]))
+        unknown = [d for d, t in targets.items() if t > 0 and d not in domains]
+        if unknown and rates.scale.any():
+            raise ValueError(f"mixing targets for domains without a labelled document: {', '.join(sorted(unknown))}")
+    rates.report(domains, targets is not None)
     return rates
 
 
-def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: Targets | None = None) -> DataFrame:
     """One row per input row: ``doc_id, n_tokens, domain, posterior, rate, expected_tokens, copies``.
 
     ``domain`` is the likeliest one and ``posterior`` its probability.
-    ``targets`` gives tokens per domain; if no rates meet them, a
-    ``ValueError`` names the misses (for the default ones, a warning). Repeated rows count as often as they
-    stand there and get equal rows; a null id is drawn as the text ``None``;
+    ``targets`` gives tokens per domain, or :class:`Weights`; if no rates meet
+    them, a ``ValueError`` names the misses (for the default ones, a warning).
+    Repeated rows count as often as they stand there and get equal rows; a null id is drawn as the text ``None``;
     extra columns are ignored; an empty table gives an empty result.
     """
     classifier = fit_classifier(docs, labelled)
@@ -267,10 +301,10 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
                                     "expected_tokens double, copies bigint")
 
 
-def mix_documents(docs: DataFrame, labelled: DataFrame) -> DataFrame:
-    """``docs`` with each row as often as its rate says (all columns, no shuffle of texts)."""
+def mix_documents(docs: DataFrame, labelled: DataFrame, targets: Targets | None = None) -> DataFrame:
+    """``docs`` with each row as often as its rate says (all columns, no shuffle of texts); cases as in :func:`mixing_rates`."""
     classifier = fit_classifier(docs, labelled)
-    rates = _reported_rates(materialise(membership(docs, classifier), "membership"), classifier)
+    rates = _reported_rates(materialise(membership(docs, classifier), "membership"), classifier, targets)
     text, ident = docs.columns.index("text"), docs.columns.index("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

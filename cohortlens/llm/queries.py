@@ -30,9 +30,13 @@ def domain_labels(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return docs.select("doc_id", docs["lang"].alias("domain")).join(covered, "doc_id", "left_semi")
 
 
+#: target weights of the mixture: English two parts, every other language one, whatever the corpus holds
+DOMAIN_WEIGHTS = mixing.Weights({"en": 2.0})
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_documents(spark, sf_dir, "doc_id", "text", "lang")
-    return mixing.mixing_rates(docs, domain_labels(spark, docs, sf_dir))
+    return mixing.mixing_rates(docs, domain_labels(spark, docs, sf_dir), DOMAIN_WEIGHTS)
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
