@@ -16,10 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import ascii_lower, materialise
+from .common import ascii_lower, materialise, row_slices
 
 SCHEMA = ("doc_id bigint, text_sha256 string, range_keep bigint, range_size bigint, "
           "range_id int, run int, edge boolean")
@@ -101,10 +103,66 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                          F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
 
-def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that :func:`exact_groups` drops; a repeated kept row stays once."""
-    sha = F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256)
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    rows = docs.withColumn("_text_sha", sha)
-    same = rows.doc_id.eqNullSafe(kept["_id"]) & (rows["_text_sha"] == kept["_sha"])
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text_sha"]).drop("_text_sha")
+def _first_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each run of equal texts in one sorted range, with its whole columns.
+
+    The range's first and last run may go on in another one: those carry the
+    digest of their text. Held at a time: the last text, and one open row.
+    """
+    from pyspark import TaskContext
+
+    part, last, run, open_row = TaskContext.get().partitionId(), None, -1, None
+
+    def made(rows: pa.RecordBatch, sha: list, runs: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [rows.column(0), pa.array(sha, pa.string()), pa.array([part] * len(sha), pa.int32()), pa.array(runs, pa.int64())],
+            names=["row", "sha", "range_id", "run"])
+
+    def digest(norm: bytes) -> str:
+        return hashlib.sha256(norm).hexdigest()
+
+    for b in batches:
+        for i, j in row_slices(b.column(1)):
+            starts = []
+            for k, raw in enumerate(pc.cast(b.column(1).slice(i, j - i), pa.binary()).to_pylist()):
+                norm = raw.lower()  # of bytes: A-Z only
+                if norm != last:
+                    starts.append((k, norm))
+                    last = norm
+            if not starts:
+                continue
+            if open_row is not None:  # another run follows, so its run ends here
+                yield made(open_row[0], [digest(open_row[1]) if run == 0 else None], [run])
+            rows = b.slice(i, j - i).take(pa.array([k for k, _ in starts]))
+            inner = len(starts) - 1
+            if inner:
+                yield made(rows.slice(0, inner), [digest(n) if run + 1 + x == 0 else None for x, (_, n) in enumerate(starts[:-1])],
+                           list(range(run + 1, run + 1 + inner)))
+            run += len(starts)
+            open_row = (pa.RecordBatch.from_arrays([c.take(pa.array([inner])) for c in rows.columns], schema=rows.schema), starts[-1][1])
+    if open_row is not None:
+        yield made(open_row[0], [digest(open_row[1])], [run])
+
+
+def drop_exact_copies(docs: DataFrame, ranges: int | None = None) -> DataFrame:
+    """One row of each set of equal texts: that with the largest id, with all its columns.
+
+    The rows themselves go through the content sort, so each is shuffled once.
+    A null text counts as empty, a null id is the smallest; of rows with equal
+    texts and the same id any one stays. Columns may have any name.
+    """
+    n = ranges or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ident, text = F.col("row")["doc_id"], F.coalesce(F.col("row")["text"], F.lit(""))
+    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    keyed = packed.select("row", F.substring(ascii_lower(text), 1, 32).alias("head"), F.xxhash64(ascii_lower(text)).alias("h"))
+    # the whole text is compared only where head and hash are equal
+    ordered = (keyed.repartitionByRange(n, "head", "h", ident.desc())
+               .sortWithinPartitions("head", "h", ascii_lower(text), ident.desc()).select("row", text.alias("text")))
+    schema = T.StructType([T.StructField("row", packed.schema["row"].dataType), T.StructField("sha", T.StringType()),
+                           T.StructField("range_id", T.IntegerType()), T.StructField("run", T.LongType())])
+    runs = materialise(ordered.mapInArrow(_first_of_runs, schema), "content-runs")
+    # at most two rows per range, whatever the number of documents
+    edges = runs.where("sha is not null").select("sha", "range_id", "run", ident.alias("id"))
+    place = Window.partitionBy("sha").orderBy(F.desc_nulls_last("id"), "range_id", "run")
+    over = edges.withColumn("place", F.row_number().over(place)).where("place > 1").select("range_id", "run")
+    return runs.join(F.broadcast(over), ["range_id", "run"], "left_anti").select("row.*")

@@ -52,16 +52,18 @@ def fingerprint(text: str | None, width: int) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp`` per row, fp the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text",
+                 keep: str | None = None) -> DataFrame:
+    """``doc_id, fp`` per row, fp the fingerprint as a signed long; ``keep`` names a string column to carry."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.fromiter((fingerprint(t.as_py(), width) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:]],
+                                             names=["doc_id", "fp", *([keep] if keep else [])])
 
-    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, "doc_id bigint, fp bigint")
+    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), *([keep] if keep else []))
+    return source.mapInArrow(run, "doc_id bigint, fp bigint" + (f", {keep} string" if keep else ""))
 
 
 def _ball(value: Column, bits: int, flip_if: Column) -> Column:
@@ -155,6 +157,15 @@ def near_duplicate_components(docs: DataFrame, width: int = 3, radius: int = RAD
         raise ValueError(f"radius must be 0 to {RADIUS}")
     fps = materialise(fingerprints(docs, width, id_col, text_col), "simhash")
     distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    rooted = _rooted(distinct, radius, bucket_rows)
+    lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    labels = rooted.join(lowest, "root").select("fp", "component_id")
+    return fps.join(labels, "fp").select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _rooted(distinct: DataFrame, radius: int, bucket_rows: int) -> DataFrame:
+    """``distinct(fp, ...)`` with the ``root`` of each fingerprint's component."""
     links = _bucket_links(distinct, radius, bucket_rows)
     if radius == RADIUS:
         links = links.unionByName(_ball_links(distinct, bucket_rows))
@@ -162,9 +173,31 @@ def near_duplicate_components(docs: DataFrame, width: int = 3, radius: int = RAD
         met = _ball_links(distinct, bucket_rows)
         links = links.unionByName(met.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
     components = connected_components(links)
-    rooted = distinct.join(components, distinct.fp == components.node, "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = rooted.join(lowest, "root").select("fp", "component_id")
-    return fps.join(labels, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return distinct.join(components, distinct.fp == components.node, "left").select(
+        *distinct.columns, F.coalesce("root", "fp").alias("root"))
+
+
+def drop_near_copies(docs: DataFrame, width: int = 3, radius: int = RADIUS, bucket_rows: int = 4096) -> DataFrame:
+    """One row of each component of near copies, with all its columns.
+
+    It is the one with the smallest id (rows without an id only stand for
+    components without any), of several texts under that id the one with the
+    smallest digest, and of repeated rows any one. Rows are decided by
+    component, id and text, so null and repeated ids keep no near copy.
+    Columns may have any name.
+    """
+    text = F.coalesce(F.col("row")["text"], F.lit(""))
+    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    named = packed.select(F.col("row")["doc_id"].alias("id"), F.sha2(text, 256).alias("sha"), text.alias("text"))
+    # the digest takes the id's place through the fingerprints: equal texts have equal ones
+    tagged = materialise(fingerprints(named.select("id", "sha", "text"), width, "id", "text", keep="sha"), "simhash")
+    firsts = tagged.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    rooted = materialise(_rooted(materialise(firsts, "simhash-distinct"), radius, bucket_rows).select("fp", "first", "root"), "simhash-roots")
+    lowest = rooted.groupBy("root").agg(F.min("first").alias("low"))
+    rows = tagged.join(rooted.select("fp", "root").join(lowest, "root"), "fp")
+    stands = rows.where(F.col("doc_id").eqNullSafe(F.col("low"))).groupBy("root").agg(
+        F.min("low").alias("stay_id"), F.min("sha").alias("stay_sha"))
+    keyed = packed.select("row", F.col("row")["doc_id"].alias("id"), F.sha2(text, 256).alias("sha"))
+    kept = keyed.join(stands.select("stay_id", "stay_sha"),
+                      F.col("id").eqNullSafe(F.col("stay_id")) & (F.col("sha") == F.col("stay_sha")), "left_semi")
+    return kept.dropDuplicates(["id", "sha"]).select("row.*")
