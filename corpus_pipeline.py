@@ -8,11 +8,10 @@ the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cohortlens.llm import bpe, exact_dedup, mixing, quality, simhash
 from cohortlens.llm.common import materialise, read_documents
-from cohortlens.llm.queries import WORD_BPE, domain_labels, tokenizer_path
+from cohortlens.llm.queries import DOMAIN_WEIGHTS, WORD_BPE, domain_labels, tokenizer_path
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,20 +26,13 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest id) of each SimHash component.
-
-    Documents without an id stay; so does an id with several texts if one of
-    them stands for its component.
-    """
-    groups = simhash.near_duplicate_components(docs, width=3, radius=3).where("doc_id is not null")
-    dropped = groups.groupBy("doc_id").agg(F.every(F.col("doc_id") != F.col("component_id")).alias("none_stays"))
-    dropped = dropped.where("none_stays").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each SimHash component."""
+    return simhash.drop_near_copies(docs, width=3, radius=3)
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture asks for."""
-    return mixing.mix_documents(docs, domain_labels(spark, docs, sf_dir))
+    """Documents as often as the mixture asks for, each once at least."""
+    return mixing.mix_documents(docs, domain_labels(spark, docs, sf_dir), DOMAIN_WEIGHTS)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
