@@ -36,15 +36,36 @@ from pyspark.sql import types as T
 
 from ..functions import add_equal_width_bin, round_half_even
 
-# 48-point Gauss-Legendre rule on [-1, 1] (computed, not tabulated).
+# 64-point Gauss-Legendre rule on [-1, 1] (computed, not tabulated).
 _GL_X, _GL_W = np.polynomial.legendre.leggauss(64)
 
 
+#: bins of an interval column that nobody has chosen
+DEFAULT_BINS = 10
+
+
+def inferred_interval_bins(df: DataFrame, columns: Sequence[str], bins: int = DEFAULT_BINS) -> dict[str, int]:
+    """Interval columns among ``columns``: numbers (no booleans) with more distinct values than ``bins`` (K2).
+
+    One pass estimates the distinct values of all numeric columns; only where
+    the estimate is small are they counted exactly, in sets of that size.
+    """
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    numeric = [c for c in columns if isinstance(kinds[c], T.NumericType)]
+    if not numeric:
+        return {}
+    estimates = dict(zip(numeric, df.agg(*[F.approx_count_distinct(c) for c in numeric]).first()))
+    few = [c for c in numeric if estimates[c] <= 4 * bins]
+    exact = dict(zip(few, df.agg(*[F.size(F.collect_set(c)) for c in few]).first())) if few else {}
+    return {c: bins for c in numeric if exact.get(c, estimates[c]) > bins}
+
+
 def binned_columns(df: DataFrame, columns: Sequence[str],
                    interval_bins: Mapping[str, int] | None = None) -> DataFrame:
     """Columns as category labels: interval columns as their 0-based
-    equal-width bin, the others as strings; nulls stay null."""
-    interval_bins = dict(interval_bins or {})
+    equal-width bin, the others as strings; nulls stay null. Without
+    ``interval_bins`` they are inferred; ``{}`` means none."""
+    interval_bins = inferred_interval_bins(df, columns) if interval_bins is None else dict(interval_bins)
     out = []
     if interval_bins:
         # one aggregate, read through one scalar subquery
@@ -63,19 +84,18 @@ def binned_columns(df: DataFrame, columns: Sequence[str],
     return df.select(*out)
 
 
-def contingency(binned: DataFrame, columns: Sequence[str], preaggregate: bool = True) -> DataFrame:
+def contingency(binned: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Long contingency tables of every unordered column pair:
     ``(var_x, var_y, val_x, val_y, n)``, rows with a null in the pair dropped.
 
-    With ``preaggregate`` the rows are first counted per combination of all
+    The rows are first counted per combination of all
     binned columns (partial aggregation: each task ships at most one row per
     combination it saw), and the pairs are exploded from those combinations,
     so the per-row work is one hash update instead of one per column pair.
     """
     cols = list(columns)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    src = binned.groupBy(*cols).agg(F.count(F.lit(1)).alias("__w")) if preaggregate \
-        else binned.withColumn("__w", F.lit(1).cast("long"))
+    src = binned.groupBy(*cols).agg(F.count(F.lit(1)).alias("__w"))
     cells = F.array(*[
         F.struct(F.lit(a).alias("var_x"), F.lit(b).alias("var_y"),
                  F.col(a).alias("val_x"), F.col(b).alias("val_y"), F.col("__w").alias("w"))

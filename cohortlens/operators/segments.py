@@ -4,14 +4,100 @@ Every report is one aggregate over the profile (one row per user), so the
 shuffle carries at most one partial row per segment and map task. Shares
 need the total user count: it comes from a scalar subquery (one more small
 aggregate), never from a driver round trip.
+
+Reports over the same profile can share one scan: :func:`segment_cube` counts
+all segment keys by grouping sets, and every report takes its counts from a
+``CubeCounts`` as well as from the profile itself.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import round_half_even
+from .. import schemas
+from ..functions import left_closed_bucket, round_half_even, weekday_monday0
+
+#: the segment keys of the reports; the last six are derived from the profile
+CUBE_KEYS = {
+    "first_event_type": "string", "first_order_device": "string", "first_order_region": "string",
+    "first_service_name": "string", "day_of_week": "int", "cnt_tickets_cat": "string",
+    "cnt_tickets_cat_v2": "string", "loyalty": "boolean", "total_orders_cnt": "bigint", "all_users": "boolean",
+}
+
+
+def with_segment_keys(profile: DataFrame) -> DataFrame:
+    """The profile with weekday, ticket and order bucket of each user (C3, C6, C7), and among users
+    with 2+ orders whether they have 5+ (``loyalty``)."""
+    return profile.withColumns({
+        "day_of_week": weekday_monday0("min_order_ts"),
+        "cnt_tickets_cat": left_closed_bucket("avg_cnt_per_order", schemas.TICKET_BUCKET_EDGES, schemas.TICKET_BUCKET_LABELS),
+        "cnt_tickets_cat_v2": left_closed_bucket("total_orders_cnt", schemas.ORDER_BUCKET_EDGES, schemas.ORDER_BUCKET_LABELS),
+        "loyalty": F.when(F.col("is_two"), F.col("is_five")),
+        "all_users": F.lit(True),
+    })
+
+
+def _measures() -> list[Column]:
+    return [F.count("user_id").alias("users_cnt"), F.count_if(F.col("is_two")).alias("returners_cnt"),
+            F.count_if(F.col("is_five")).alias("five_cnt"), F.sum("date_difference_d").alias("gap_sum"),
+            F.count("date_difference_d").alias("gap_cnt")]
+
+
+def segment_cube(profile: DataFrame, keys: tuple[str, ...] = tuple(CUBE_KEYS)) -> DataFrame:
+    """``segment, value, users_cnt, returners_cnt, five_cnt, gap_sum, gap_cnt`` for every value of every key.
+
+    One scan and one exchange by grouping sets, a row per (key, value); a null
+    value is the users without that key. ``all_users`` is the whole profile.
+    """
+    keyed = with_segment_keys(profile)
+    # grouped copies: a measure over a column that is also a key would see the emptied key
+    named = keyed.select("user_id", "is_two", "is_five", "date_difference_d",
+                         *[F.col(k).cast("string").alias(f"k_{k}") for k in keys])
+    cols = [F.col(f"k_{k}") for k in keys]
+    segment = F.coalesce(*[F.when(F.grouping(f"k_{k}") == 0, F.lit(k)) for k in keys])
+    grouped = named.groupingSets([[c] for c in cols], *cols).agg(segment.alias("segment"), *_measures())
+    value = F.coalesce(*[F.when(F.col("segment") == k, F.col(f"k_{k}")) for k in keys])
+    return grouped.select("segment", value.alias("value"), "users_cnt", "returners_cnt", "five_cnt", "gap_sum", "gap_cnt")
+
+
+class ProfileCounts:
+    """Counts per segment by an aggregate over the profile each."""
+
+    def __init__(self, profile: DataFrame):
+        self.profile = profile
+        self.spark = profile.sparkSession
+
+    def by(self, key: str) -> DataFrame:
+        """``key`` and the measures of :func:`segment_cube` per non-null value (Q16)."""
+        return with_segment_keys(self.profile).where(F.col(key).isNotNull()).groupBy(key).agg(*_measures())
+
+    def total(self, measure: str) -> Column:
+        """A measure over all users, as a scalar."""
+        return self.profile.agg(*_measures()).select(measure).scalar()
+
+
+class CubeCounts(ProfileCounts):
+    """The same counts read from a (stored) segment cube."""
+
+    def __init__(self, cube: DataFrame):
+        self.cube = cube
+        self.spark = cube.sparkSession
+
+    def by(self, key: str) -> DataFrame:
+        rows = self.cube.where((F.col("segment") == key) & F.col("value").isNotNull())
+        return rows.withColumn(key, F.col("value").cast(CUBE_KEYS[key])).drop("segment", "value")
+
+    def total(self, measure: str) -> Column:
+        return self.cube.where("segment = 'all_users'").agg(F.coalesce(F.max(measure), F.lit(0)).alias(measure)).scalar()
+
+
+Counted = DataFrame | ProfileCounts
+
+
+def counts_of(source: Counted) -> ProfileCounts:
+    """Counts of a profile, or the counts given."""
+    return ProfileCounts(source) if isinstance(source, DataFrame) else source
 
 
 def profile_summary(profile: DataFrame, resolution: int = 1) -> DataFrame:
@@ -35,23 +121,24 @@ def profile_summary(profile: DataFrame, resolution: int = 1) -> DataFrame:
     )
 
 
-def segment_share(profile: DataFrame, key: str, ordered: bool = True) -> DataFrame:
+def segment_share(profile: Counted, key: str, ordered: bool = True) -> DataFrame:
     """Users per segment and their share of all users in % (R2, A11), largest
     segment first with the key as tiebreak (O2, Q12).
 
     Users whose segment is null are not a segment (Q16) but count in the
     denominator, as in the study.
     """
-    total = profile.agg(F.count("user_id").alias("n")).scalar()
-    rep = (profile.where(F.col(key).isNotNull())
-                  .groupBy(key)
-                  .agg(F.count("user_id").alias("users_cnt"))
-                  .select(key, F.col("users_cnt").cast("long"),
-                          (F.col("users_cnt").cast("double") / total * F.lit(100.0)).alias("share")))
+    counts = counts_of(profile)
+    share = F.col("users_cnt").cast("double") / counts.total("users_cnt") * F.lit(100.0)
+    rep = counts.by(key).select(key, F.col("users_cnt").cast("long"), share.alias("share"))
     return rep.orderBy(F.col("users_cnt").desc(), F.col(key).asc()) if ordered else rep
 
 
-def segment_return(profile: DataFrame, key: str, flag: str = "is_two",
+#: flags of the profile and the measure that counts them
+_FLAGS = {"is_two": "returners_cnt", "is_five": "five_cnt"}
+
+
+def segment_return(profile: Counted, key: str, flag: str = "is_two",
                    include_zero: bool = False, min_users: int = 0,
                    sort_by: str | None = "key") -> DataFrame:
     """Per segment: users with ``flag`` (returners), all users, and the
@@ -62,10 +149,7 @@ def segment_return(profile: DataFrame, key: str, flag: str = "is_two",
     ``sort_by`` orders the report descending by ``"key"``, ``"users_cnt"`` or
     ``"is_two_share"`` (key as tiebreak; O2), or not at all with ``None``.
     """
-    rep = (profile.where(F.col(key).isNotNull())
-                  .groupBy(key)
-                  .agg(F.count_if(F.col(flag)).alias("returners_cnt"),
-                       F.count("user_id").alias("users_cnt")))
+    rep = counts_of(profile).by(key).select(key, F.col(_FLAGS[flag]).alias("returners_cnt"), "users_cnt")
     if not include_zero:
         rep = rep.where(F.col("returners_cnt") > 0)
     if min_users:
@@ -108,12 +192,11 @@ def mean_of(df: DataFrame, column: str, alias: str, digits: int = 6) -> DataFram
     return df.agg(round_half_even(F.avg(column), digits).alias(alias))
 
 
-def segment_lift(profile: DataFrame, key: str, flag: str = "is_two") -> DataFrame:
+def segment_lift(profile: Counted, key: str, flag: str = "is_two") -> DataFrame:
     """Segment return rate minus the overall rate, in percentage points."""
-    overall = profile.agg(
-        (F.try_divide(F.count_if(F.col(flag)).cast("double"), F.count("user_id")) * F.lit(100.0)).alias("r")
-    ).scalar()
-    rep = segment_return(profile, key, flag, include_zero=True)
+    counts = counts_of(profile)
+    overall = F.try_divide(counts.total(_FLAGS[flag]).cast("double"), counts.total("users_cnt")) * F.lit(100.0)
+    rep = segment_return(counts, key, flag, include_zero=True)
     rate = F.col("returners_cnt").cast("double") / F.col("users_cnt") * F.lit(100.0)
     return rep.select(key, "returners_cnt", "users_cnt",
                       round_half_even(rate, 6).alias("return_rate"),
@@ -121,11 +204,10 @@ def segment_lift(profile: DataFrame, key: str, flag: str = "is_two") -> DataFram
                       round_half_even(rate - overall, 6).alias("lift_pp"))
 
 
-def segment_compare(profile: DataFrame, key: str, a: str, b: str, flag: str = "is_two") -> DataFrame:
+def segment_compare(profile: Counted, key: str, a: str, b: str, flag: str = "is_two") -> DataFrame:
     """Return rates of two segments and their difference in points."""
-    rates = (profile.where(F.col(key).isin(a, b))
-                    .groupBy(key)
-                    .agg(F.count_if(F.col(flag)).alias("r"), F.count("user_id").alias("n")))
+    rates = counts_of(profile).by(key).where(F.col(key).isin(a, b)).select(
+        key, F.col(_FLAGS[flag]).alias("r"), F.col("users_cnt").alias("n"))
     pick = lambda seg, c: F.max(F.when(F.col(key) == seg, F.col(c)))
     one = rates.agg(pick(a, "r").alias("ra"), pick(a, "n").alias("na"),
                     pick(b, "r").alias("rb"), pick(b, "n").alias("nb"))

@@ -2,8 +2,8 @@
 
 Every statement starts from the driver's raw tables (views ``orders``,
 ``lineitem``, ``part``, ``supplier``, ``nation``, ``events``) and rebuilds
-the fixture mapping in CTEs, so the oracle shares no code with the Spark
-side. Arithmetic is written in the same order as the Spark expressions and
+the fixture mapping in CTEs; it shares the names of columns, levels and
+compared values with the Spark side, but no computation. Arithmetic is written in the same order as the Spark expressions and
 doubles are rounded the same way (half-even on the scaled value), so values
 hash equal.
 """
@@ -14,6 +14,9 @@ import numpy as np
 
 from .queries import (
     COMPARE_GENRES,
+    FREQUENT_COLUMNS,
+    FREQUENT_SHARE,
+    FREQUENT_VALUES,
     MIN_SEGMENT_USERS,
     PHIK_K1_BINS,
     PHIK_K1_COLUMNS,
@@ -541,6 +544,20 @@ FROM lab l LEFT JOIN bc ON l.cnt_tickets_cat_v2 = bc.cnt_tickets_cat_v2""")
     q["bucket_values"] = with_base(
         "SELECT DISTINCT total_orders_cnt FROM profile_b WHERE cnt_tickets_cat_v2 = '5+'")
 
+    q["unbucketed_users"] = with_base("""
+SELECT CAST(count(user_id) AS BIGINT) AS users_cnt,
+  CAST(sum(CASE WHEN cnt_tickets_cat IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS no_ticket_bucket,
+  CAST(sum(CASE WHEN cnt_tickets_cat_v2 IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS no_order_bucket
+FROM profile_b""")
+    cube_keys = {k: k for k in ("first_event_type", "first_order_device", "first_order_region", "first_service_name",
+                                "day_of_week", "cnt_tickets_cat", "cnt_tickets_cat_v2", "total_orders_cnt")}
+    cube_keys |= {"loyalty": "CASE WHEN is_two THEN is_five END", "all_users": "true"}
+    q["segment_cube"] = with_base("\nUNION ALL\n".join(
+        f"SELECT '{k}' AS segment, CAST({x} AS VARCHAR) AS value, CAST(count(user_id) AS BIGINT) AS users_cnt, "
+        f"CAST(sum(CASE WHEN is_two THEN 1 ELSE 0 END) AS BIGINT) AS returners_cnt, "
+        f"CAST(sum(CASE WHEN is_five THEN 1 ELSE 0 END) AS BIGINT) AS five_cnt, {rhe('avg(date_difference_d)', 6)} AS mean_gap_d "
+        f"FROM profile_b GROUP BY {x}" for k, x in cube_keys.items()))
+
     q["tickets_histogram"] = histogram_sql("hdata AS (SELECT tickets_count FROM fx_core)", "tickets_count", 100)
     q["revenue_box"] = with_base_ctes(f"""
 qs AS (SELECT quantile_cont({D('revenue_rub')}, 0.25) AS q1, quantile_cont({D('revenue_rub')}, 0.5) AS med,
@@ -591,6 +608,31 @@ FROM fx_core, fe WHERE revenue_rub IS NOT NULL""")
     q["duplicate_region_days"] = with_base("""
 SELECT region_name, order_dt, CAST(count(*) AS BIGINT) AS n_rows
 FROM fx_core GROUP BY region_name, order_dt HAVING count(*) > 1""")
+    q["duplicate_purchases"] = with_base("""
+SELECT *, CAST(count(*) AS BIGINT) AS n_rows
+FROM (SELECT * FROM fx_core UNION ALL SELECT * FROM fx_core WHERE order_id % 10 = 0) GROUP BY ALL HAVING count(*) > 1""")
+    freq = "\n  UNION ALL\n".join(f"  SELECT '{c}' AS column_name, {c} AS value, count(*) AS cnt FROM fx_core GROUP BY {c}"
+                               for c in FREQUENT_COLUMNS)
+    q["frequent_values"] = with_base_ctes(f"""
+vals AS ({freq}),
+marked AS (SELECT *, cnt > {D('sum(cnt) OVER (PARTITION BY column_name)')} * {D(FREQUENT_SHARE)} AS common FROM vals),
+placed AS (SELECT *, row_number() OVER (PARTITION BY column_name, common
+             ORDER BY cnt DESC, coalesce(value, ''), value NULLS FIRST) AS place FROM marked),
+kept AS (SELECT *, common AND place <= {FREQUENT_VALUES} AS kept FROM placed)""", """
+SELECT column_name, value, CAST(cnt AS BIGINT) AS cnt, CAST(place AS INTEGER) AS place, false AS is_rest,
+  (value IS NULL OR lower(trim(value)) IN ('другое', 'нет данных', 'unknown', 'other')) AS is_sentinel
+FROM kept WHERE kept
+UNION ALL
+SELECT column_name, NULL, CAST(sum(cnt) AS BIGINT), 0, true, false FROM kept WHERE NOT kept GROUP BY column_name""")
+    q["monthly_users"] = with_base_ctes("""
+um AS (SELECT DISTINCT user_id, strftime(order_ts, '%Y-%m') AS month FROM clean WHERE user_id IS NOT NULL AND order_ts IS NOT NULL),
+uf AS (SELECT user_id, min(month) AS month FROM um GROUP BY user_id),
+un AS (SELECT month, count(*) AS new_users FROM uf GROUP BY month),
+uc AS (SELECT month, count(*) AS users FROM um GROUP BY month)""", """
+SELECT month, CAST(users AS BIGINT) AS users_cnt, CAST(coalesce(new_users, 0) AS BIGINT) AS new_users_cnt,
+  CAST(sum(coalesce(new_users, 0)) OVER (ORDER BY month) AS BIGINT) AS users_to_date
+FROM uc LEFT JOIN un USING (month)""")
+    q["profile_from_store"] = q["customer_profile"]
     return q
 
 

@@ -9,8 +9,7 @@ reports over them read a stored table instead of recomputing the joins, and
 lost executors only recompute from there. ``materialize="parquet"`` writes
 them as parquet tables in that folder instead (one write job; later reads
 prune columns and push filters - the better choice for many narrow reports
-over a wide table at scale, slower on small data). ``materialize="cache"``
-keeps them on the executors (cheaper for short lineages).
+over a wide table at scale, slower on small data).
 """
 
 from __future__ import annotations
@@ -19,15 +18,15 @@ import uuid
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.extract import STUDY_EXCLUDED_GENRE, add_days_since_prev, extract_purchases, typed_purchases
 from ..operators.fx import fx_normalise
 from ..operators.profile import customer_profile
 from ..operators.quantile import outlier_cut
+from ..operators.segments import CubeCounts, ProfileCounts, segment_cube
 from ..schemas import assert_unique
-from ..session import checkpoint_dir, prepare
+from ..session import checkpoint_dir, prepare, write_shared
 from ..sources.fixtures import EXCLUDED_GENRE, Snowflake, load_snowflake
 
 
@@ -44,11 +43,11 @@ class Study:
     spark: SparkSession
     tables: Snowflake
     params: StudyParams = field(default_factory=StudyParams)
-    materialize: bool | str = False  # False, "cache", "checkpoint" (True) or "parquet"
+    materialize: bool | str = False  # False, "checkpoint" (True) or "parquet"
     source_dir: str | None = None    # folder of the raw tables, when read from files
     purchases_mode: str | None = None  # override of `materialize` for the cleaned purchases
     profile_mode: str | None = None    # override of `materialize` for the profile
-    _kept: list = field(default_factory=list, repr=False)
+    cube: bool = False               # reports read one segment cube instead of the profile each
 
     @classmethod
     def from_fixtures(cls, spark: SparkSession, sf_dir: str, **kw) -> Study:
@@ -56,13 +55,6 @@ class Study:
         kw.setdefault("params", StudyParams(exclude_genre=EXCLUDED_GENRE))  # the fixtures' own genre
         return cls(spark, load_snowflake(spark, sf_dir), source_dir=sf_dir, **kw)
 
-    def release(self) -> None:
-        """Unpersist what this study kept on the executors (results already
-        collected or written stay valid)."""
-        for df in self._kept:
-            df.unpersist()
-        self._kept.clear()
-
     def validate(self) -> Study:
         """Fail if a dimension key or a (day, currency) rate repeats: a repeated
         key would silently multiply purchases in the left joins (§1.2). One
@@ -87,19 +79,6 @@ class Study:
         if mode in (True, "checkpoint"):
             # Reliable checkpoint: written to spark.checkpoint.dir, cuts the lineage.
             return df.checkpoint(eager=True)
-        if mode == "cache":
-            # Kept on the executors (memory, spilling to disk); a lost block is
-            # recomputed from the lineage.
-            kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-            self._kept.append(kept)
-            return kept
-        if mode == "cache_eager":
-            # As "cache", filled by one job now so that concurrent branches
-            # (subqueries) of the next query all read it.
-            kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-            self._kept.append(kept)
-            kept.count()
-            return kept
         return df
 
     @cached_property
@@ -137,6 +116,14 @@ class Study:
         """Profile over the cleaned purchases (uncut)."""
         return self._keep(customer_profile(self.clean, values=self.attribute_values), "profile", self.profile_mode)
 
+    @cached_property
+    def segments(self) -> DataFrame | ProfileCounts:
+        """What the segment and bucket reports count: the cut profile, or with
+        ``cube`` its stored segment cube, one scan of the profile for all of them."""
+        if not self.cube:
+            return self.profile_f
+        return CubeCounts(write_shared(segment_cube(self.profile_f), "segment-cube"))
+
     @property
     def attribute_values(self) -> dict[str, DataFrame]:
         """Where the values of the first-order attributes are read, without the joins of the extract."""

@@ -14,12 +14,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import buckets, describe, phik, quality, segments
+from ..functions import round_half_even
+from ..operators import buckets, describe, phik, quality, segments, user_counts
 from ..operators.fx import fx_normalise
-from ..operators.profile import customer_lifetime, first_order_attrs, order_gap_mean, user_count
+from ..operators.profile import customer_lifetime, customer_profile, first_order_attrs, order_gap_mean, user_count
 from ..operators.quantile import outlier_volume
 from ..operators.sequence import gap_stats
 from ..session import checkpoint_dir
+from ..sources import store
 from ..sources.readers import read_rates_csv, table_overview
 from .pipeline import Study
 
@@ -42,6 +44,7 @@ PHIK_K1_BINS = {"total_orders_cnt": 3}
 PHIK_K2_COLUMNS = ["first_order_device", "first_order_region", "first_service_name",
                    "first_event_type", "cnt_tickets_cat_v2", "is_two", "is_five",
                    "day_of_week", "avg_cnt_per_order", "date_difference_d"]
+# what the call without arguments should infer; the SQL bins these
 PHIK_K2_BINS = {"day_of_week": 10, "avg_cnt_per_order": 10, "date_difference_d": 10}
 
 # The two genres compared in the hypothesis check.
@@ -104,6 +107,11 @@ def r_user_count(st: Study) -> DataFrame:
     return user_count(st.clean)
 
 
+def r_monthly_users(st: Study) -> DataFrame:
+    ids = st.clean.select(F.col("user_id").cast("bigint").alias("user_id"), "order_ts")
+    return user_counts.monthly_users(user_counts.monthly_bitmaps(ids))
+
+
 def r_days_since_prev(st: Study) -> DataFrame:
     return st.extract.select("user_id", "order_id", "order_dt", "days_since_prev")
 
@@ -114,6 +122,17 @@ def r_customer_profile(st: Study) -> DataFrame:
     return st.profile
 
 
+#: buckets of the store that ``profile_from_store`` writes
+STORE_BUCKETS = 4
+
+
+def r_profile_from_store(st: Study) -> DataFrame:
+    """The profile from a store of the cleaned purchases, co-partitioned by user."""
+    name = uuid.uuid4().hex
+    store.write_user_store(st.clean, name, f"{checkpoint_dir(st.spark).rstrip('/')}/user-store-{name}", STORE_BUCKETS)
+    return customer_profile(store.read_user_store(st.spark, name), values=st.attribute_values)
+
+
 def r_first_order_attrs(st: Study) -> DataFrame:
     return first_order_attrs(st.clean, values=st.attribute_values)
 
@@ -155,7 +174,7 @@ def r_customer_lifetime(st: Study) -> DataFrame:
 # --- segment reports ------------------------------------------------------------------------
 
 def _share(key):
-    return lambda st: segments.segment_share(st.profile_f, key)
+    return lambda st: segments.segment_share(st.segments, key)
 
 
 # The order each return report is read in (region by size, service by rate).
@@ -164,11 +183,11 @@ RETURN_ORDER = {"first_event_type": "key", "first_order_device": "key",
 
 
 def _ret(key):
-    return lambda st: segments.segment_return(st.profile_f, key, sort_by=RETURN_ORDER[key])
+    return lambda st: segments.segment_return(st.segments, key, sort_by=RETURN_ORDER[key])
 
 
 def _chart(key):
-    return lambda st: segments.chart_frame(segments.segment_return(st.profile_f, key, sort_by=None), key)
+    return lambda st: segments.chart_frame(segments.segment_return(st.segments, key, sort_by=None), key)
 
 
 #: smallest segment that the reduced return report shows
@@ -176,38 +195,38 @@ MIN_SEGMENT_USERS = 30
 
 
 def r_segment_return_region_min(st: Study) -> DataFrame:
-    return segments.segment_return(st.profile_f, SEGMENTS["region"], min_users=MIN_SEGMENT_USERS)
+    return segments.segment_return(st.segments, SEGMENTS["region"], min_users=MIN_SEGMENT_USERS)
 
 
 def r_segment_share_region_top(st: Study) -> DataFrame:
-    rep = segments.segment_share(st.profile_f, SEGMENTS["region"])
+    rep = segments.segment_share(st.segments, SEGMENTS["region"])
     return segments.top_segments(rep, SEGMENTS["region"], "users_cnt", 10)
 
 
 def r_segment_share_service_top(st: Study) -> DataFrame:
-    rep = segments.segment_share(st.profile_f, SEGMENTS["service"])
+    rep = segments.segment_share(st.segments, SEGMENTS["service"])
     return segments.top_segments(rep, SEGMENTS["service"], "users_cnt", 10)
 
 
 def r_segment_return_region_top(st: Study) -> DataFrame:
-    rep = segments.segment_return(st.profile_f, SEGMENTS["region"])
+    rep = segments.segment_return(st.segments, SEGMENTS["region"])
     return segments.top_segments(rep, SEGMENTS["region"], "users_cnt", 15)
 
 
 def r_region_top10(st: Study) -> DataFrame:
-    rep = segments.segment_return(st.profile_f, SEGMENTS["region"])
+    rep = segments.segment_return(st.segments, SEGMENTS["region"])
     return segments.top_segments(rep, SEGMENTS["region"], "users_cnt", 10) \
                    .select("first_order_region", "is_two_share")
 
 
 def r_region_tail_mean(st: Study) -> DataFrame:
-    rep = segments.segment_return(st.profile_f, SEGMENTS["region"])
+    rep = segments.segment_return(st.segments, SEGMENTS["region"])
     tail = segments.tail_segments(rep, SEGMENTS["region"], "users_cnt", 10)
     return segments.mean_of(tail, "is_two_share", "mean_is_two_share")
 
 
 def r_service_top(st: Study) -> DataFrame:
-    rep = segments.segment_return(st.profile_f, SEGMENTS["service"])
+    rep = segments.segment_return(st.segments, SEGMENTS["service"])
     return segments.top_segments(rep, SEGMENTS["service"], "is_two_share", 10)
 
 
@@ -217,15 +236,15 @@ def r_service_top_mean(st: Study) -> DataFrame:
 
 
 def r_segment_lift(st: Study) -> DataFrame:
-    return segments.segment_lift(st.profile_f, SEGMENTS["event"])
+    return segments.segment_lift(st.segments, SEGMENTS["event"])
 
 
 def r_segment_compare(st: Study) -> DataFrame:
-    return segments.segment_compare(st.profile_f, SEGMENTS["event"], *COMPARE_GENRES)
+    return segments.segment_compare(st.segments, SEGMENTS["event"], *COMPARE_GENRES)
 
 
 def r_service_top_by_users(st: Study) -> DataFrame:
-    rep = segments.segment_return(st.profile_f, SEGMENTS["service"])
+    rep = segments.segment_return(st.segments, SEGMENTS["service"])
     return segments.top_segments(rep, SEGMENTS["service"], "users_cnt", 10)
 
 
@@ -237,27 +256,36 @@ def r_tickets_bucket(st: Study) -> DataFrame:
 
 
 def r_tickets_bucket_stats(st: Study) -> DataFrame:
-    return buckets.tickets_bucket_stats(st.profile_f)
+    return buckets.tickets_bucket_stats(st.segments)
 
 
 def r_tickets_bucket_return(st: Study) -> DataFrame:
-    return buckets.tickets_bucket_return(st.profile_f)
+    return buckets.tickets_bucket_return(st.segments)
 
 
 def r_weekday_return(st: Study) -> DataFrame:
-    return buckets.weekday_return(st.profile_f)
+    return buckets.weekday_return(st.segments)
 
 
 def r_gap_by_loyalty(st: Study) -> DataFrame:
-    return buckets.gap_by_loyalty(st.profile_f)
+    return buckets.gap_by_loyalty(st.segments)
 
 
 def r_order_bucket_counts(st: Study) -> DataFrame:
-    return buckets.order_bucket_counts(st.profile_f)
+    return buckets.order_bucket_counts(st.segments)
 
 
 def r_bucket_values(st: Study) -> DataFrame:
-    return buckets.bucket_values(st.profile_f)
+    return buckets.bucket_values(st.segments)
+
+
+def r_unbucketed_users(st: Study) -> DataFrame:
+    return buckets.unbucketed_users(st.segments)
+
+
+def r_segment_cube(st: Study) -> DataFrame:
+    mean = round_half_even(F.try_divide(F.col("gap_sum"), F.col("gap_cnt")), 6).alias("mean_gap_d")
+    return segments.segment_cube(st.profile_f).select("segment", "value", "users_cnt", "returners_cnt", "five_cnt", mean)
 
 
 # --- distributions --------------------------------------------------------------------------
@@ -293,7 +321,7 @@ def r_phik_chi2(st: Study) -> DataFrame:
 
 def r_phik_chi2_default(st: Study) -> DataFrame:
     p = _phik_frame(st)
-    cells = phik.contingency(phik.binned_columns(p, PHIK_K2_COLUMNS, PHIK_K2_BINS), PHIK_K2_COLUMNS)
+    cells = phik.contingency(phik.binned_columns(p, PHIK_K2_COLUMNS), PHIK_K2_COLUMNS)
     return phik.pair_chi2(cells)
 
 
@@ -302,7 +330,7 @@ def r_phik_matrix(st: Study) -> DataFrame:
 
 
 def r_phik_matrix_default(st: Study) -> DataFrame:
-    return phik.phik_matrix(_phik_frame(st), PHIK_K2_COLUMNS, PHIK_K2_BINS)
+    return phik.phik_matrix(_phik_frame(st), PHIK_K2_COLUMNS)
 
 
 def r_phik_target(st: Study) -> DataFrame:
@@ -330,6 +358,20 @@ def r_duplicate_region_days(st: Study) -> DataFrame:
     return quality.duplicate_rows(st.fx_core, ["region_name", "order_dt"])
 
 
+def r_duplicate_purchases(st: Study) -> DataFrame:
+    """Whole purchases that occur twice, in all purchases and every tenth of them once more."""
+    return quality.duplicate_rows(st.fx_core.unionByName(st.fx_core.where("order_id % 10 = 0")))
+
+
+#: columns, values a column, and share of the rows that a frequent value exceeds
+FREQUENT_COLUMNS = ["device_type_canonical", "currency_code", "event_type_main", "service_name", "region_name", "event_name"]
+FREQUENT_VALUES, FREQUENT_SHARE = 10, 0.001
+
+
+def r_frequent_values(st: Study) -> DataFrame:
+    return quality.frequent_values(st.fx_core, FREQUENT_COLUMNS, FREQUENT_VALUES, FREQUENT_SHARE)
+
+
 REPORTS: dict[str, Report] = {
     "extract_purchases": r_extract_purchases,
     "table_overview": r_table_overview,
@@ -340,8 +382,10 @@ REPORTS: dict[str, Report] = {
     "outlier_volume": r_outlier_volume,
     "outlier_volume_95": r_outlier_volume_95,
     "user_count": r_user_count,
+    "monthly_users": r_monthly_users,
     "days_since_prev": r_days_since_prev,
     "customer_profile": r_customer_profile,
+    "profile_from_store": r_profile_from_store,
     "first_order_attrs": r_first_order_attrs,
     "order_gap_mean": r_order_gap_mean,
     "events_gap_stats": r_events_gap_stats,
@@ -372,6 +416,8 @@ REPORTS: dict[str, Report] = {
     "gap_by_loyalty": r_gap_by_loyalty,
     "order_bucket_counts": r_order_bucket_counts,
     "bucket_values": r_bucket_values,
+    "unbucketed_users": r_unbucketed_users,
+    "segment_cube": r_segment_cube,
     "tickets_histogram": r_tickets_histogram,
     "revenue_box": r_revenue_box,
     "revenue_histogram": r_revenue_histogram,
@@ -386,6 +432,8 @@ REPORTS: dict[str, Report] = {
     "category_profile": r_category_profile,
     "duplicate_orders": r_duplicate_orders,
     "duplicate_region_days": r_duplicate_region_days,
+    "duplicate_purchases": r_duplicate_purchases,
+    "frequent_values": r_frequent_values,
 }
 
 

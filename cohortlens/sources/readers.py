@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Mapping
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,25 @@ def jdbc_options(url: str | None = None, user: str | None = None,
     return {k: v for k, v in opts.items() if v != ""}
 
 
+@dataclass(frozen=True)
+class Split:
+    """How a table is read by many tasks: ranges of a numeric column or hash buckets of any column."""
+
+    column: str
+    parts: int = 64
+    lower: int | None = None   # bounds of a numeric column; asked from the database if missing
+    upper: int | None = None
+    by_hash: bool = False
+    #: bucket of a row, from 0, in the database's SQL
+    bucket_sql: str = "mod(hashtext(cast({column} as text)) & 2147483647, {parts})"
+
+    def predicates(self) -> list[str]:
+        """One WHERE clause per task; every row meets exactly one, a null column the first."""
+        bucket = self.bucket_sql.format(column=self.column, parts=self.parts)
+        return [f"({self.column} IS NOT NULL AND {bucket} = {i})" + (f" OR {self.column} IS NULL" if i == 0 else "")
+                for i in range(self.parts)]
+
+
 def read_jdbc_table(spark: SparkSession, table: str, options: Mapping[str, str],
                     partition_column: str | None = None, lower_bound: int | None = None,
                     upper_bound: int | None = None, num_partitions: int = 64) -> DataFrame:
@@ -42,6 +62,11 @@ def read_jdbc_table(spark: SparkSession, table: str, options: Mapping[str, str],
     range queries; without it the table is read by a single task, which is
     only acceptable for small dimension tables.
     """
+    return _reader(spark, table, options, partition_column, lower_bound, upper_bound, num_partitions).load()
+
+
+def _reader(spark: SparkSession, table: str, options: Mapping[str, str], partition_column: str | None,
+            lower_bound: int | None, upper_bound: int | None, num_partitions: int):
     reader = spark.read.format("jdbc").options(**options).option("dbtable", table)
     if partition_column is not None:
         if lower_bound is None or upper_bound is None:
@@ -50,7 +75,7 @@ def read_jdbc_table(spark: SparkSession, table: str, options: Mapping[str, str],
                         .option("lowerBound", str(lower_bound))
                         .option("upperBound", str(upper_bound))
                         .option("numPartitions", str(num_partitions)))
-    return reader.load()
+    return reader
 
 
 def read_jdbc_predicates(spark: SparkSession, table: str, options: Mapping[str, str],
@@ -61,29 +86,56 @@ def read_jdbc_predicates(spark: SparkSession, table: str, options: Mapping[str,
     return spark.read.jdbc(options["url"], table, predicates=predicates, properties=props)
 
 
+def bounds_query(table: str, column: str) -> str:
+    """The smallest and largest value of a column, found by the database (an index look-up for a key)."""
+    return f"SELECT min({column}) AS lo, max({column}) AS hi FROM {table}"
+
+
+def _ask(spark: SparkSession, options: Mapping[str, str], query: str) -> tuple:
+    return tuple(spark.read.format("jdbc").options(**options).option("query", query).load().first())
+
+
+def planned_split(spark: SparkSession, table: str, options: Mapping[str, str], split: Split) -> Split:
+    """``split`` with the bounds of its column, asked from the database where they are missing.
+
+    The upper bound is one above the largest value, so the last range is no
+    longer than the others. An empty table gets the bounds 0 and 1.
+    """
+    if split.by_hash or (split.lower is not None and split.upper is not None):
+        return split
+    lo, hi = _ask(spark, options, bounds_query(table, split.column))
+    lo, hi = (0, 0) if lo is None else (lo, hi)
+    return replace(split, lower=int(lo) if split.lower is None else split.lower,
+                   upper=int(hi) + 1 if split.upper is None else split.upper)
+
+
+def read_jdbc_split(spark: SparkSession, table: str, options: Mapping[str, str], split: Split | None) -> DataFrame:
+    """Read a large table by many tasks. Without a split it is an error: one task would read it all."""
+    if split is None:
+        raise ValueError(f"{table} is read by many tasks: name a Split (a numeric key, or by_hash for any other)")
+    if split.by_hash:
+        return read_jdbc_predicates(spark, table, options, split.predicates())
+    s = planned_split(spark, table, options, split)
+    return read_jdbc_table(spark, table, options, s.column, s.lower, s.upper, s.parts)
+
+
 def snowflake_from_jdbc(spark: SparkSession, options: Mapping[str, str], rates_csv: str,
-                        schema: str = "public", order_id_bounds: tuple[int, int] | None = None,
-                        num_partitions: int = 64, event_predicates: list[str] | None = None):
+                        schema: str = "public", purchases: Split | None = Split("order_id"),
+                        events: Split | None = Split("event_id", by_hash=True)):
     """The study's four base tables over JDBC plus the rates CSV.
 
-    Purchases are read in ``num_partitions`` ranges of ``order_id``; events
-    optionally by predicates; city and regions are small dimensions read by
-    one task each. Only the columns the extract uses are selected, so the
-    database ships nothing else. Keys are checked for uniqueness later with
-    ``schemas.assert_unique`` if the caller wants it.
+    Purchases are read in ranges of ``order_id`` (bounds asked from the
+    database if the split has none), events in hash buckets of ``event_id``;
+    ``None`` for either is an error. City and regions are small dimensions
+    read by one task each. Only the columns the extract uses are selected, so
+    the database ships nothing else. Keys are checked for uniqueness later
+    with ``schemas.assert_unique`` if the caller wants it.
     """
     from .fixtures import Snowflake
-    purchases = read_jdbc_table(
-        spark, f"{schema}.purchases", options,
-        partition_column="order_id" if order_id_bounds else None,
-        lower_bound=order_id_bounds[0] if order_id_bounds else None,
-        upper_bound=order_id_bounds[1] if order_id_bounds else None,
-        num_partitions=num_partitions)
-    events = (read_jdbc_predicates(spark, f"{schema}.events", options, event_predicates)
-              if event_predicates else read_jdbc_table(spark, f"{schema}.events", options))
+
     return Snowflake(
-        purchases=purchases.select(*[f.name for f in schemas.PURCHASES]),
-        events=events.select(*[f.name for f in schemas.EVENTS]),
+        purchases=read_jdbc_split(spark, f"{schema}.purchases", options, purchases).select(*[f.name for f in schemas.PURCHASES]),
+        events=read_jdbc_split(spark, f"{schema}.events", options, events).select(*[f.name for f in schemas.EVENTS]),
         city=read_jdbc_table(spark, f"{schema}.city", options).select(*[f.name for f in schemas.CITY]),
         regions=read_jdbc_table(spark, f"{schema}.regions", options).select(
             *[f.name for f in schemas.REGIONS]),

@@ -37,11 +37,3 @@ def test_sf0001_anchors(spark):
 
 def test_dimension_keys_unique(spark):
     Study.from_fixtures(spark, SF_SMALL).validate()
-
-
-def test_release_unpersists(spark):
-    st = Study.from_fixtures(spark, SF_SMALL, materialize="cache")
-    st.profile.count()
-    assert st.profile.is_cached
-    st.release()
-    assert not st.profile.is_cached

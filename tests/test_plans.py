@@ -7,7 +7,7 @@ from decimal import Decimal
 
 from conftest import SF_MID, SF_SMALL
 
-from cohortlens.operators import buckets
+from cohortlens.operators import buckets, segments
 from cohortlens.operators import profile as profiles
 from cohortlens.operators.fx import fx_normalise
 from cohortlens.plans.pipeline import Study
@@ -101,6 +101,41 @@ def test_reports_come_ordered(spark):
     assert shares == sorted(shares) and len(shares) > 5
 
 
+CUBE_REPORTS = [n for n in REPORTS if n.startswith(("segment_", "chart_", "region_", "service_", "tickets_bucket_", "weekday_", "gap_",
+                                                    "order_bucket", "bucket_", "unbucketed")) and n != "segment_cube"]
+
+
+def test_reports_from_one_cube(spark):
+    """Every segment and bucket report from the cube equals its own query, and none of them reads the profile."""
+    own = Study.from_fixtures(spark, SF_MID, materialize="checkpoint", purchases_mode=False)
+    shared = Study(spark, own.tables, own.params, "checkpoint", own.source_dir, cube=True)
+    shared.profile_f = own.profile_f
+    cube = shared.segments.cube
+    assert "Expand" in plan(segments.segment_cube(own.profile_f)) and plan(segments.segment_cube(own.profile_f)).count("Scan ExistingRDD") == 1
+    assert len(CUBE_REPORTS) == 30
+    shared.profile_f = None
+    for name in CUBE_REPORTS:
+        a, b = REPORTS[name](own), REPORTS[name](shared)
+        assert a.schema.simpleString() == b.schema.simpleString(), name
+        assert [tuple(r) for r in a.collect()] == [tuple(r) for r in b.collect()], name
+    assert cube.where("segment = 'all_users'").count() == 1
+
+
+def test_counts_of_odd_profiles(spark):
+    """No users, and users without a segment, a first time or a bucket."""
+    st = Study.from_fixtures(spark, SF_SMALL)
+    row = (("u1", None, None, None, None, None, None, 200, 1.0, 20.0, None, True, True),)
+    for rows in ((), row):
+        profile = spark.createDataFrame(rows, st.profile.schema)
+        cube = segments.CubeCounts(segments.segment_cube(profile))
+        for source in (profile, cube):
+            assert segments.segment_share(source, "first_order_region").count() == 0
+            assert buckets.weekday_return(source).count() == 0
+            assert [tuple(r) for r in buckets.tickets_bucket_stats(source).collect()] == [
+                (x, 0.0 if rows else None, 0) for x in TICKET_BUCKET_LABELS]
+            assert tuple(buckets.unbucketed_users(source).first()) == ((1, 1, 1) if rows else (0, 0, 0))
+
+
 def test_report_pack_without_a_folder(spark, tmp_path):
     st = Study.from_fixtures(spark, SF_SMALL, materialize="checkpoint")
     st.source_dir = None
