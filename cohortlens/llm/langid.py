@@ -1,35 +1,40 @@
 """Language identification by cross-parsing entropy.
 
-A suffix automaton per language holds the commonest words of a bounded sample
-of labelled documents. A document is parsed word by word into the longest
-phrases that the automaton of a language knows; the language that needs the
-fewest phrases wins, each phrase counted with the bits that a place in that
-language's sample costs, and divided by the length parsed. Words are parsed
-with the blanks around them, so a phrase does not cross a word and equal words
-of a batch are parsed once; every word of the whole text counts.
+A suffix automaton per language is built over running text of a bounded
+labelled sample. A document is parsed from its start into the longest phrases
+that the automaton knows, across blanks; the language that needs the fewest
+phrases wins, each phrase counted with the bits that a place in that
+language's sample costs, and divided by the letters parsed.
+
+The automata become one table of transitions, in which a missing transition
+already starts the next phrase, so that a step is one look-up. Texts are cut
+into segments of ``SEGMENT`` characters (a phrase ends there too), and all
+segments of a slice advance together, all languages at once, as arrays.
 """
 
 from __future__ import annotations
 
 import math
-import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import hashed_sample, row_slices
-from .text import all_rows, lower_words
 
 UNKNOWN = "und"
 DOCS_PER_LANGUAGE = 200
-WORDS_PER_LANGUAGE = 4_000
+#: bounds of the sample: characters of a language and of all, and languages
+SAMPLE_CHARS, SAMPLE_IN_ALL, MOST_LANGUAGES = 30_000, 160_000, 64
+#: characters that the table knows, the commonest of the samples; others match nothing
+ALPHABET = 126
+SEGMENT = 2_048
+SLICE_BYTES = 4 << 20
 SHARPNESS = 12.0
-CACHE_WORDS = 300_000
-_WORD = re.compile(r"[^\W\d_]+")
 
 
 class SuffixAutomaton:
@@ -64,46 +69,65 @@ class SuffixAutomaton:
             last = state
         self.nexts = nexts
 
-    def phrases(self, text: str) -> int:
-        """Number of longest-match phrases; an unknown character is one by itself."""
-        nexts = self.nexts
-        root, state, count, held = nexts[0], nexts[0], 0, False
-        for ch in text:
-            to = state.get(ch)
-            if to is None:
-                count += 1 if held else 0
-                to = root.get(ch)
-                if to is None:
-                    count += 1
-                    state, held = root, False
-                    continue
-            state, held = nexts[to], True
-        return count + (1 if held else 0)
-
 
 class Parser:
-    """Phrase costs of words for every language of a model."""
+    """Phrases of many texts for every language of a model."""
 
     def __init__(self, samples: tuple[tuple[str, str], ...]):
         self.languages = [name for name, _ in samples]
-        self.automata = [SuffixAutomaton(text) for _, text in samples]
         self.bits = np.array([math.log2(len(text) + 2) for _, text in samples])
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def counts(self, words: list[str]) -> np.ndarray:
-        """Phrases per word and language, of the letters in it; zero for pieces without a letter."""
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        known, none = self.known, (0,) * len(self.languages)
-        for w in words:
-            if w not in known:
-                core = letters_of(w)
-                known[w] = tuple(a.phrases(f" {core} ") for a in self.automata) if core else none
-        return np.array([known[w] for w in words], np.float64).reshape(len(words), len(self.languages))
-
-
-def letters_of(piece: str) -> str:
-    return piece if piece.isalpha() else "".join(filter(str.isalpha, piece))
+        common = Counter("".join(text for _, text in samples)).most_common(ALPHABET)
+        self.width = len(common) + 2  # 0: behind the end, last: unknown
+        self.symbols = np.full(0x110000, self.width - 1, np.uint8)
+        for i, (ch, _) in enumerate(sorted(common), 1):
+            self.symbols[ord(ch)] = i
+        tables, self.roots = [], np.zeros(len(samples), np.int64)
+        held = 0
+        for k, (_, text) in enumerate(samples):
+            self.roots[k] = held
+            tables.append(self._table(SuffixAutomaton(text), held))
+            held += len(tables[-1])
+        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+
+    def _table(self, automaton: SuffixAutomaton, root: int) -> np.ndarray:
+        """For each state and symbol: 4 x the next state + the phrases that end with the step."""
+        edges = [(i, self.symbols[ord(ch)], to) for i, nexts in enumerate(automaton.nexts) for ch, to in nexts.items()]
+        at, symbol, to = (np.array(x, np.int64) for x in zip(*edges))
+        known = symbol < self.width - 1
+        nexts = np.full((len(automaton.nexts), self.width), -1, np.int64)
+        nexts[at[known], symbol[known]] = to[known]
+        start = nexts[0]  # where a phrase that begins with the symbol is; none: the symbol stands alone
+        missing = nexts < 0
+        ended = missing & (np.arange(len(nexts)) > 0)[:, None]
+        alone = missing & (start < 0)[None, :]
+        out = (np.where(missing, np.maximum(start, 0)[None, :], nexts) + root) * 4 + ended + alone
+        out[:, 0] = root * 4 + (np.arange(len(nexts)) > 0)  # the end closes an open phrase
+        return out.astype(np.int32)
+
+    def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases per text and language, and letters per text, of normalised texts."""
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        symbols = self.symbols[codes]
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        ends = np.cumsum(sizes)
+        letters = np.add.reduceat(np.append(codes != 32, False), np.append(ends - sizes, len(codes)))[:-1] * (sizes > 0)
+        parts = -(-sizes // SEGMENT)
+        row = np.repeat(np.arange(len(texts)), parts)
+        first = (ends - sizes)[row] + SEGMENT * (np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts))
+        length = np.minimum(SEGMENT, ends[row] - first)
+        order = np.argsort(-length, kind="stable")  # those still going stand in front
+        row, first, length = row[order], first[order], length[order]
+        going = np.searchsorted(-length, -np.arange(length.max(initial=0)), side="left")
+        state = np.repeat(self.roots[:, None], len(row), axis=1).astype(np.int32)
+        count = np.zeros(state.shape, np.int32)
+        for t, n in enumerate(going.tolist()):
+            step = self.table[state[:, :n] * self.width + symbols[first[:n] + t]]
+            count[:, :n] += step & 3
+            state[:, :n] = step >> 2
+        count += state != self.roots[:, None]
+        out = np.zeros((len(texts), len(self.languages)), np.int64)
+        np.add.at(out, row, count.T)
+        return out, letters
 
 
 @lru_cache(maxsize=2)
@@ -116,28 +140,38 @@ def labelled(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
 
 
-def held_out():
+def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE,
-        words_per_language: int = WORDS_PER_LANGUAGE) -> tuple[tuple[str, str], ...]:
-    """``(language, words of the sample)`` from at most ``docs_per_language`` whole documents each.
+def normalised(text: Column) -> Column:
+    """Lower-cased letters, and one blank for whatever stands around and between their runs."""
+    return F.regexp_replace(F.concat(F.lit(" "), F.lower(F.coalesce(text, F.lit(""))), F.lit(" ")), r"[^\p{L}]+", " ")
 
-    The sample has the smallest hashes of the id, so it does not depend on
-    the partitioning; the words are the ``words_per_language`` commonest.
+
+def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, chars: int = SAMPLE_CHARS) -> tuple[tuple[str, str], ...]:
+    """``(language, running text)`` of at most ``docs_per_language`` labelled documents and ``chars`` characters each.
+
+    The sample has the smallest hashes of the id, in their order, until the
+    characters are reached; the last text is cut there. It does not depend on
+    the partitioning. More than ``MOST_LANGUAGES`` are an error.
     """
-    chosen = hashed_sample(labelled(docs), "lang", docs_per_language)
-    texts = labelled(docs).select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
-    words = (texts.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("w"))
-             .groupBy("lang", "w").count())
-    common = Window.partitionBy("lang").orderBy(F.col("count").desc(), "w")
-    rows = (words.withColumn("n", F.row_number().over(common)).where(F.col("n") <= words_per_language)
-            .orderBy("lang", "n").select("lang", "w").collect())
-    samples: dict[str, list[str]] = {}
-    for lang, w in rows:
-        samples.setdefault(lang, []).append(w)
-    return tuple((lang, " " + " ".join(words) + " ") for lang, words in sorted(samples.items()))
+    known = labelled(docs)
+    n_languages = known.select("lang").distinct().count()
+    if n_languages > MOST_LANGUAGES:
+        raise ValueError(f"{n_languages} languages; at most {MOST_LANGUAGES} can be told apart")
+    chars = min(chars, SAMPLE_IN_ALL // max(n_languages, 1))
+    chosen = hashed_sample(known, "lang", docs_per_language)
+    texts = (known.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
+             .groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+             .select("lang", F.xxhash64("doc_id").alias("h"), "doc_id", F.substring(normalised(F.col("text")), 1, chars).alias("text")))
+    # at most docs_per_language rows of a language
+    before = F.sum(F.char_length("text")).over(Window.partitionBy("lang").orderBy("h", "doc_id")) - F.char_length("text")
+    rows = texts.withColumn("before", before).where(F.col("before") < chars).orderBy("lang", "h", "doc_id").select("lang", "text").collect()
+    samples: dict[str, str] = {}
+    for lang, text in rows:
+        samples[lang] = (samples.get(lang, "").rstrip(" ") + text)[:chars]
+    return tuple(sorted(samples.items()))
 
 
 def predict(docs: DataFrame, samples: tuple[tuple[str, str], ...], sharpness: float = SHARPNESS) -> DataFrame:
@@ -153,14 +187,11 @@ def predict(docs: DataFrame, samples: tuple[tuple[str, str], ...], sharpness: fl
         names = np.array([*parser.languages, UNKNOWN], object)
         k = len(parser.languages)
         for b in batches:
-            for i, j in row_slices(b.column(2)):
-                pieces = all_rows(b.column(2).slice(i, j - i), lower_words, lambda t: _WORD.findall(t.lower()))
-                per_word = parser.counts(pieces.values)
-                sizes = np.array([len(letters_of(w)) for w in pieces.values], np.float64)
-                letters = _row_sums(sizes[:, None], pieces.codes, pieces.ends)[:, 0]
+            for i, j in row_slices(b.column(2), SLICE_BYTES):
                 best, score = np.full(j - i, k), np.zeros(j - i)
                 if k:
-                    cost = _row_sums(per_word, pieces.codes, pieces.ends) * parser.bits / np.maximum(letters, 1)[:, None]
+                    phrases, letters = parser.phrases(b.column(2).slice(i, j - i).to_pylist())
+                    cost = phrases * parser.bits / np.maximum(letters, 1)[:, None]
                     low = cost.min(axis=1)
                     weight = np.exp(-sharpness * (cost - low[:, None]))
                     best = np.where(letters > 0, cost.argmin(axis=1), k)
@@ -169,19 +200,10 @@ def predict(docs: DataFrame, samples: tuple[tuple[str, str], ...], sharpness: fl
                     [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(names[best], pa.string()),
                      pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out().alias("held_out"), "text")
+    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out().alias("held_out"), normalised(F.col("text")))
     return source.mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
-def _row_sums(per_value: np.ndarray, codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Sum over each row's pieces of a value per distinct piece."""
-    out = np.zeros((len(ends) - 1, per_value.shape[1]))
-    for c in range(per_value.shape[1]):
-        running = np.concatenate([[0.0], np.cumsum(per_value[codes, c])]) if len(codes) else np.zeros(1)
-        out[:, c] = running[ends[1:]] - running[ends[:-1]]
-    return out
-
-
 def identify(docs: DataFrame) -> DataFrame:
     """Fit on the labelled sample of ``docs`` and predict all of them."""
     return predict(docs, fit(docs))

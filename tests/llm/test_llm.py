@@ -124,6 +124,12 @@ def test_bpe_matches_the_library(odd, none, block_bytes):
     assert bpe.encode_digests(none, path).count() == 0
 
 
+def test_block_tables_can_be_dropped(spark, odd):
+    out = bpe.encode_digests(odd, queries.tokenizer_path(queries.WORD_BPE))
+    rows = out.count()
+    assert bpe.drop_block_tables(spark) >= 1 and bpe.drop_block_tables(spark) == 0 and rows == len(ODD)
+
+
 def test_bpe_on_the_table(spark, real):
     got = by_id(queries.op1_bpe(spark, SF))
     for r in real.collect():
@@ -474,10 +480,60 @@ def test_feistel_is_a_permutation(spark):
 
 # --- learnt operators --------------------------------------------------------
 
-def test_suffix_automaton():
-    a = langid.SuffixAutomaton("abracadabra")
-    for word, n in (("abra", 1), ("cadabra", 1), ("brab", 2), ("xyz", 3), ("", 0), ("abrax", 2)):
-        assert a.phrases(word) == n
+def brute_phrases(text, sample, segment):
+    """Longest matches from the left, by searching the sample; an unknown character is one phrase."""
+    count = 0
+    for at in range(0, len(text), segment):
+        part, i = text[at:at + segment], 0
+        while i < len(part):
+            n = 1
+            while i + n < len(part) and part[i:i + n + 1] in sample:
+                n += 1
+            i, count = i + n, count + 1
+    return count
+
+
+@pytest.mark.parametrize("segment", [3, 7, 2_048])
+def test_cross_parsing(segment, monkeypatch):
+    monkeypatch.setattr(langid, "SEGMENT", segment)
+    rnd = random.Random(segment)
+    samples = tuple((name, "".join(rnd.choices(letters, k=n))) for name, letters, n in
+                    (("a", "ab c", 300), ("b", "bcd ", 120), ("c", "é日ab", 50), ("d", "x", 1)))
+    texts = ["", " ", "abracadabra", "zzz", "日本 é", "😀a"] + ["".join(rnd.choices("abcd é日z", k=rnd.randint(1, 60))) for _ in range(200)]
+    got, letters = langid.Parser(samples).phrases(texts)
+    assert got.tolist() == [[brute_phrases(t, s, segment) for _, s in samples] for t in texts]
+    assert letters.tolist() == [len(t.replace(" ", "")) for t in texts]
+
+
+def test_cross_parsing_knows_the_commonest_characters(monkeypatch):
+    monkeypatch.setattr(langid, "ALPHABET", 2)
+    got, _ = langid.Parser((("a", "aaabbbcab"),)).phrases(["abc", "cab", "cc"])
+    assert got[:, 0].tolist() == [2, 2, 2]  # c is not among them
+
+
+def test_langid_on_short_texts(spark):
+    """Held-out accuracy on the first letters of a text."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    samples = langid.fit(docs)
+    assert all(len(t) <= langid.SAMPLE_CHARS for _, t in samples)
+    for n, least in ((8, 0.85), (15, 0.95), (30, 0.98), (60, 0.99)):
+        cut = docs.select("doc_id", "lang", F.substring("text", 1, n).alias("text"))
+        rows = langid.predict(cut, samples).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang_pred <> 'und'").collect()
+        right = np.mean([r["lang"] == r["lang_pred"] for r in rows])
+        print(n, len(rows), right)
+        assert right > least
+
+
+def test_langid_bounds_its_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
+    docs = spark.createDataFrame([(i, "some words", f"l{i}") for i in range(12)], "doc_id bigint, text string, lang string")
+    with pytest.raises(ValueError, match="languages"):
+        langid.fit(docs)
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 20)
+    monkeypatch.setattr(langid, "SAMPLE_IN_ALL", 40)
+    assert all(len(t) <= 5 for _, t in langid.fit(docs))
 
 
 def test_hashed_sample(spark):
