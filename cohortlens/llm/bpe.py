@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
@@ -31,6 +31,8 @@ from .common import row_slices
 from .text import all_rows, lower_words, ragged_take
 
 BLOCK_BYTES = 32 << 20
+#: every call writes a bucketed table of this prefix; see :func:`drop_block_tables`
+BLOCK_TABLES = "bpe_blocks_"
 BLOCK_SCHEMA = "block bigint, idx int, word string, doc_id bigint, seq binary"
 ANSWER_SCHEMA = "block bigint, idx binary, sizes binary, ids binary"
 
@@ -173,6 +175,17 @@ def _restore(path: str, finish: Callable, names: list[str]):
     return run
 
 
+def drop_block_tables(spark: SparkSession) -> int:
+    """Forget the block tables of earlier calls; results that have not been read yet need theirs.
+
+    Returns how many there were. Their files stay in the shared folder.
+    """
+    names = [t.name for t in spark.catalog.listTables() if t.name.startswith(BLOCK_TABLES)]
+    for name in names:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return len(names)
+
+
 def decode(ids: np.ndarray, pieces: np.ndarray) -> str:
     """Pieces of ``ids`` joined by blanks: what the library does for a file without a decoder."""
     return " ".join(pieces[ids].tolist())
@@ -191,7 +204,7 @@ def _through_words(docs: DataFrame, path: str, finish: Callable, schema: str, bl
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    name = f"bpe_blocks_{uuid.uuid4().hex}"
+    name = f"{BLOCK_TABLES}{uuid.uuid4().hex}"
     (source.mapInArrow(_split_blocks(path, block_bytes), BLOCK_SCHEMA).write.format("parquet")
      .option("compression", "zstd").option("path", f"{checkpoint_dir(spark).rstrip('/')}/{name}")
      .bucketBy(buckets, "block").saveAsTable(name))
