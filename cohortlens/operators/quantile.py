@@ -162,9 +162,14 @@ def threshold_scalar(df: DataFrame, column: str, q: float = 0.99, stored: bool =
     return F.lit(exact_quantiles(df, [(column, q)], stored=stored)[(column, q)]).cast("double")
 
 
-def outlier_cut(df: DataFrame, column: str, q: float = 0.99) -> DataFrame:
-    """Rows with ``column <= quantile(q)``; null and NaN values are dropped (Q14)."""
-    return df.where(_number(column) <= threshold_scalar(df, column, q))
+def outlier_cut(df: DataFrame, column: str, q: float = 0.99, numbers: DataFrame | None = None) -> DataFrame:
+    """Rows with ``column <= quantile(q)``; null and NaN values are dropped (Q14).
+
+    ``numbers`` is what :func:`stored_columns` has written of ``df``, if it has.
+    """
+    if numbers is None:
+        numbers = stored_columns(df, [column])
+    return df.where(_number(column) <= threshold_scalar(numbers, column, q, stored=True))
 
 
 def outlier_volume(df: DataFrame, column: str, q: float = 0.99) -> DataFrame:

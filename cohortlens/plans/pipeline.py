@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators.extract import STUDY_EXCLUDED_GENRE, add_days_since_prev, extract_purchases, typed_purchases
 from ..operators.fx import fx_normalise
 from ..operators.profile import customer_profile
-from ..operators.quantile import outlier_cut
+from ..operators.quantile import outlier_cut, stored_columns
 from ..operators.segments import CubeCounts, ProfileCounts, segment_cube
 from ..schemas import assert_unique
 from ..session import checkpoint_dir, prepare, write_shared
@@ -105,11 +105,16 @@ class Study:
         study's ``merged_df``)."""
         return typed_purchases(add_days_since_prev(self.fx_core))
 
+    @cached_property
+    def revenue_numbers(self) -> DataFrame:
+        """``revenue_rub`` of every purchase as stored numbers; counting its rows runs no join."""
+        return stored_columns(self.fx_core, ["revenue_rub"])
+
     @cached_property
     def clean(self) -> DataFrame:
         """Purchases with ``revenue_rub`` at or below its ``revenue_q`` quantile.
         ``days_since_prev`` is not carried: nothing after the cut uses it."""
-        return outlier_cut(self.fx_core, "revenue_rub", self.params.revenue_q)
+        return outlier_cut(self.fx_core, "revenue_rub", self.params.revenue_q, self.revenue_numbers)
 
     @cached_property
     def profile(self) -> DataFrame:

@@ -122,14 +122,12 @@ def r_customer_profile(st: Study) -> DataFrame:
     return st.profile
 
 
-#: buckets of the store that ``profile_from_store`` writes
-STORE_BUCKETS = 4
-
-
 def r_profile_from_store(st: Study) -> DataFrame:
     """The profile from a store of the cleaned purchases, co-partitioned by user."""
     name = uuid.uuid4().hex
-    store.write_user_store(st.clean, name, f"{checkpoint_dir(st.spark).rstrip('/')}/user-store-{name}", STORE_BUCKETS)
+    # the rows before the cut, about 1 % more than the store's
+    buckets = store.buckets_for(st.revenue_numbers.count())
+    store.write_user_store(st.clean, name, f"{checkpoint_dir(st.spark).rstrip('/')}/user-store-{name}", buckets)
     return customer_profile(store.read_user_store(st.spark, name), values=st.attribute_values)
 
 

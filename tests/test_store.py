@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 import uuid
 
 import pytest
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 
 from cohortlens.operators.profile import customer_profile, order_gap_mean
 from cohortlens.plans.pipeline import Study
+from cohortlens.plans.queries import QUERIES
+from cohortlens.session import write_shared
 from cohortlens.sources import readers, store
 
 
@@ -64,6 +68,53 @@ def test_a_hot_user_is_read_as_plain_files(spark, named, tmp_path):
     assert "hashpartitioning(user_id" in plan(gaps) and gaps.exceptAll(order_gap_mean(odd)).isEmpty()
 
 
+@pytest.fixture
+def tables(spark, tmp_path):
+    """3,000 orders of 300 customers over 700 days, some without a customer or a total."""
+    d = tmp_path / "tables"
+    frames = {
+        "orders": spark.range(3000).selectExpr(
+            "id AS o_orderkey", "if(id % 97 = 5, null, id * 7 % 300) AS o_custkey", "if(id % 5 = 0, 'P', 'O') AS o_orderstatus",
+            "if(id % 89 = 3, null, double(id * 31 % 1009)) AS o_totalprice",
+            "cast(date_add(date'1995-01-01', int(id * 13 % 700)) AS timestamp_ntz) AS o_orderdate",
+            "element_at(array('1-URGENT', '2-HIGH', '5-LOW'), int(id % 3) + 1) AS o_orderpriority"),
+        "lineitem": spark.range(6000).selectExpr("id DIV 2 AS l_orderkey", "id * 11 % 40 AS l_partkey", "id * 3 % 30 AS l_suppkey"),
+        "part": spark.range(40).selectExpr("id AS p_partkey", "concat('n', id) AS p_name", "int(id % 20) + 1 AS p_size",
+                                           "if(id % 4 = 0, 'PROMO', concat('t', id % 3)) AS p_type"),
+        "supplier": spark.range(30).selectExpr("id AS s_suppkey", "concat('s', id) AS s_name", "int(id % 5) AS s_nationkey"),
+        "nation": spark.range(5).selectExpr("int(id) AS n_nationkey", "concat('r', id) AS n_name"),
+    }
+    for name, df in frames.items():
+        df.coalesce(1).write.parquet(str(d / f"{name}.parquet"))
+    return str(d)
+
+
+def test_buckets_follow_the_rows(spark, tables, monkeypatch):
+    plain = sorted(map(repr, QUERIES["customer_profile"](spark, tables).collect()))
+    rows = Study.from_fixtures(spark, tables).fx_core.count()
+    for most in (100, 10 * rows):
+        monkeypatch.setattr(store, "BUCKET_ROWS", most, raising=False)
+        own = QUERIES["profile_from_store"](spark, tables)
+        text = plan(own)
+        assert "hashpartitioning(user_id" not in text
+        assert {int(n) for n in re.findall(r"SelectedBucketsCount: \d+ out of (\d+)", text)} == {max(4, math.ceil(rows / most))}
+        assert len(plain) > 100 and sorted(map(repr, own.collect())) == plain
+    assert rows > 1000 and (store.buckets_for(0), store.buckets_for(10**12)) == (4, 100_000)
+
+
+def test_buckets_that_later_months_fill_are_read_as_plain_files(spark, tables, named, tmp_path, monkeypatch):
+    clean = write_shared(Study.from_fixtures(spark, tables).clean, "clean")
+    early = F.coalesce(F.col("order_ts") < F.lit("1995-03-01").cast("timestamp_ntz"), F.lit(False))
+    monkeypatch.setattr(store, "BUCKET_ROWS", 60, raising=False)
+    store.write_user_store(clean.where(early), named, str(tmp_path / "s"), 4)
+    assert "hashpartitioning(user_id" not in plan(order_gap_mean(store.read_user_store(spark, named)))
+    store.write_user_store(clean.where(~early), named, str(tmp_path / "s"), 4)
+    rows = store.read_user_store(spark, named)
+    assert not store.is_hot(spark, named) and rows.count() == clean.count() and rows.exceptAll(clean).isEmpty()
+    gaps = order_gap_mean(rows)
+    assert "hashpartitioning(user_id" in plan(gaps) and gaps.exceptAll(order_gap_mean(clean)).isEmpty()
+
+
 # --- JDBC splits (no database: the questions asked are the test) --------------
 
 def test_hash_predicates_cover_every_row(spark):
